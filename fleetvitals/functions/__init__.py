@@ -3,10 +3,10 @@
 from .keys import SCOPE, join_keys, scope_of
 from .ranking import top_k
 from .sizes import blocks_to_mb, bytes_to_mb, pretty_size, setting_to_mb, spill_severity
-from .text import fingerprint, fixed, grouped, is_wildcard_ilike, is_wildcard_search, query_id, quoted
+from .text import fingerprint, fixed, grouped, is_wildcard_ilike, is_wildcard_search, query_id, quoted, rounded
 
 __all__ = [
     "SCOPE", "join_keys", "scope_of", "top_k", "blocks_to_mb", "bytes_to_mb", "pretty_size",
     "setting_to_mb", "spill_severity", "fingerprint", "fixed", "grouped", "is_wildcard_ilike",
-    "is_wildcard_search", "query_id", "quoted",
+    "is_wildcard_search", "query_id", "quoted", "rounded",
 ]

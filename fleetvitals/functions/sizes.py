@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import rounded
+
 BLOCK_SIZE = 8192
 MIB = 1024 * 1024
 # Spill bands in MB, lower bound inclusive.
@@ -47,12 +49,12 @@ def setting_to_mb(setting: Column, unit: Column) -> Column:
 
 def blocks_to_mb(blocks: Column) -> Column:
     """Temporary blocks as MB, two decimals."""
-    return F.round(blocks.cast("double") * BLOCK_SIZE / MIB, 2)
+    return rounded(blocks.cast("double") * BLOCK_SIZE / MIB, 2)
 
 
 def bytes_to_mb(size: Column) -> Column:
     """Bytes as MB, two decimals."""
-    return F.round(size.cast("double") / MIB, 2)
+    return rounded(size.cast("double") / MIB, 2)
 
 
 def spill_severity(mb: Column) -> Column:

@@ -38,9 +38,19 @@ def is_wildcard_ilike(sql_text: Column) -> Column:
     return sql_text.rlike(WILDCARD_ILIKE)
 
 
+def _digits(value: Column) -> Column:
+    """A number by its decimal digits, so that 64.055 rounds as written."""
+    return value.cast("decimal(28,10)")
+
+
+def rounded(value: Column, digits: int = 2) -> Column:
+    """Rounding half away from zero, as the server rounds NUMERIC."""
+    return F.round(_digits(value), digits).cast("double")
+
+
 def fixed(value: Column, digits: int = 2) -> Column:
     """A number as text with a fixed count of decimals."""
-    return F.round(value.cast("double"), digits).cast(f"decimal(28,{digits})").cast("string")
+    return F.round(_digits(value), digits).cast(f"decimal(28,{digits})").cast("string")
 
 
 def grouped(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import join_keys, scope_of
+from ..functions import join_keys, rounded, scope_of
 
 BLOCK_SIZE = 8192
 PAGE_HEADER = 24
@@ -106,7 +106,7 @@ def autovacuum_disabled(rel: DataFrame) -> DataFrame:
 def dead_tuple_pct() -> Column:
     live, dead = F.col("n_live_tup"), F.col("n_dead_tup")
     share = 100.0 * dead / (live + dead)
-    return F.when(live + dead > 0, F.round(share, 2)).otherwise(F.lit(0.0))
+    return F.when(live + dead > 0, rounded(share, 2)).otherwise(F.lit(0.0))
 
 
 def dead_tuple_band() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, grouped, pretty_size, scope_of
+from ..functions import fixed, grouped, pretty_size, rounded, scope_of
 from ..functions.sizes import MIB
 
 LARGE_TABLE_MB = 500
@@ -41,7 +41,7 @@ def size_mb() -> Column:
 def delete_ratio_pct() -> Column:
     deleted, inserted = F.col("n_tup_del"), F.col("n_tup_ins")
     return F.when(
-        inserted > 0, F.round(F.try_divide(100.0 * deleted, inserted), 2)
+        inserted > 0, rounded(F.try_divide(100.0 * deleted, inserted), 2)
     ).otherwise(F.lit(0.0))
 
 
@@ -105,7 +105,7 @@ def long_sessions(
     if auditor_pid is not None:
         open_now = open_now & (F.col("pid") != auditor_pid)
     aged = latest_sessions(sess).where(open_now).withColumn("_seconds", seconds)
-    minutes = F.round(F.col("_seconds") / 60, 2)
+    minutes = rounded(F.col("_seconds") / 60, 2)
     return aged.where(F.col("_seconds") > MEDIUM_SECONDS).select(
         *scope_of(sess),
         F.col("pid").alias("session_pid"),

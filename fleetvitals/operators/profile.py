@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import rounded
+
 # Values wider than this are counted by their hash and are not shown whole.
 WIDE_BYTES = 1024
 # Stored width of fixed-size types, in bytes (fixed values).
@@ -72,7 +74,7 @@ def column_profile(
         "column_name",
         "n_rows",
         (F.col("n_null") / F.col("n_rows")).alias("null_frac"),
-        F.round(F.try_divide(F.col("bytes"), filled), 4).alias("avg_width"),
+        rounded(F.try_divide(F.col("bytes"), filled), 4).alias("avg_width"),
         "n_distinct",
         F.col("best.value").alias("mcv1"),
         (-F.col("best.order") / F.col("n_rows")).alias("mcf1"),
@@ -105,7 +107,7 @@ def approx_column_profile(
         F.struct(
             F.lit(field.name).alias("column_name"),
             ((F.col("n_rows") - F.col(f"filled_{i}")) / F.col("n_rows")).alias("null_frac"),
-            F.round(f"width_{i}", 4).alias("avg_width"),
+            rounded(F.col(f"width_{i}"), 4).alias("avg_width"),
             F.col(f"distinct_{i}").alias("n_distinct"),
             F.get(f"top_{i}", 0).getField("item").alias("mcv1"),
             (F.get(f"top_{i}", 0).getField("count") / F.col("n_rows")).alias("mcf1"),

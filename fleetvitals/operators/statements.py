@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blocks_to_mb, bytes_to_mb, query_id, scope_of, spill_severity
+from ..functions import blocks_to_mb, bytes_to_mb, query_id, rounded, scope_of, spill_severity
 from ..functions.ranking import ranked_top, top_k
 from .config import keep_tracked, tracking_enabled
 
@@ -128,7 +128,7 @@ def rank_statements(stmt: DataFrame, rules: Sequence[StatementRule]) -> DataFram
 def cache_hit_pct() -> Column:
     hit, read = F.col("shared_blks_hit"), F.col("shared_blks_read")
     return F.when(
-        hit + read > 0, F.round(F.try_divide(100.0 * hit, hit + read), 2)
+        hit + read > 0, rounded(F.try_divide(100.0 * hit, hit + read), 2)
     ).otherwise(F.lit(100.0))
 
 
@@ -158,7 +158,7 @@ def covering_candidates(stmt: DataFrame) -> DataFrame:
         F.left("query", F.lit(200)).alias("query_sample"),
         F.col("calls").alias("total_executions"),
         total_ms().alias("total_time_ms"),
-        F.round(mean_ms(), 2).alias("avg_time_ms"),
+        rounded(mean_ms(), 2).alias("avg_time_ms"),
         F.col("temp_blks_written").alias("temp_blocks"),
         cache_hit_pct().alias("cache_hit_pct"),
     )
@@ -172,7 +172,7 @@ def leading_wildcards(stmt: DataFrame) -> DataFrame:
         F.left("query", F.lit(250)).alias("query_sample"),
         F.col("calls").alias("total_executions"),
         total_ms().alias("total_time_ms"),
-        F.round(mean_ms(), 2).alias("avg_ms"),
+        rounded(mean_ms(), 2).alias("avg_ms"),
         wildcard_kind().alias("anti_pattern_type"),
         wildcard_severity().alias("severity"),
     )
@@ -190,7 +190,7 @@ def spilling_statements(stmt: DataFrame) -> DataFrame:
         F.left("query", F.lit(300)).alias("query_sample"),
         "calls",
         total_ms().alias("total_exec_time"),
-        F.round(mean_ms(), 2).alias("mean_exec_time"),
+        rounded(mean_ms(), 2).alias("mean_exec_time"),
         read.cast("bigint").alias("temp_blks_read"),
         "temp_blks_written",
     )
@@ -225,7 +225,7 @@ def top_time_statements(stmt: DataFrame, ext: DataFrame) -> DataFrame:
         F.left("query", F.lit(300)).alias("query_sample"),
         "calls",
         total_ms().alias("total_exec_time"),
-        F.round(mean_ms(), 2).alias("mean_exec_time"),
+        rounded(mean_ms(), 2).alias("mean_exec_time"),
         F.col("rows_out").alias("rows"),
     )
 

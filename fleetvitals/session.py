@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **extra: str) -> Sp
     settings = {
         **PLAN_SETTINGS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": memory,
         "spark.sql.shuffle.partitions": "8",
         **extra,

@@ -112,6 +112,11 @@ select instance_id, concat('db',cast(instance_id as string)) as datname,
 from {fx_exec} group by instance_id"""
 
 
+# Terms looked for in the documents, and the order seed of the random subset (fixed values).
+SEARCH_TERMS = ("the", "license", "de ", "http", "Copyright", "password", "und ", "@")
+SUBSET_SEED = 7
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
