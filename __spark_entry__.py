@@ -17,6 +17,9 @@ from fleetvitals.plans import findings, report
 from fleetvitals.sources.fixture_views import (
     SEARCH_TERMS, SUBSET_SEED, FixtureTelemetry, table,
 )
+from fleetvitals.streaming import rollup as stream_rollup
+from fleetvitals.streaming import sessions
+from fleetvitals.streaming.run import run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -144,6 +147,22 @@ def _sorted_join(orders: DataFrame, customer: DataFrame) -> DataFrame:
     ).select("o_orderkey", "c_name", "o_totalprice")
 
 
+def _stream(name: str, build: Callable[[DataFrame], DataFrame], relation: str) -> Query:
+    """A streaming operator, run over the files that are there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stream = build(FixtureTelemetry(spark, sf_dir).stream(relation))
+        return run_available(stream, name)
+
+    return run
+
+
+def _daily(log: DataFrame) -> DataFrame:
+    rolled = stream_rollup.stream_statement_rollup(log)
+    return _as_double(rolled, "total_exec_time").withColumns(
+        {n: F.col(n).cast("date") for n in ("window_start", "window_end")})
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; each takes (spark, folder of tables)."""
     statement_plan = ("stmt", "ext", "plan", "exec")
@@ -244,6 +263,9 @@ def queries() -> dict[str, Query]:
         "w09_random_delete": _on_tables(_without_subset, "orders"),
         "w10_json_merge": _on_tables(_merged, "events"),
         "w11_derived_columns": _on_tables(workload.derived_parts, "part"),
+        "t01_stream_statement_rollup": _stream("rollup", _daily, "exec"),
+        "t02_stream_long_sessions": _stream(
+            "sessions", lambda sess: sessions.stream_long_sessions(sess, "app"), "sess"),
     }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint, query_id, rounded, scope_of
 from .config import keep_tracked
-from .statements import SCANS, TOP_TIME, mean_ms, rank_statements, total_ms
+from .statements import SCANS, TOP_TIME, mean_exact, rank_statements, total_ms
 
 # Patterns over plan lines (fixed values).
 EXTERNAL_SORT = "Sort Method: external merge"
@@ -103,7 +103,7 @@ def _explained(
         F.left("query", F.lit(300)).alias("query_sample"),
         "calls",
         total_ms().alias("total_exec_time"),
-        rounded(mean_ms(), 2).alias("mean_exec_time"),
+        rounded(mean_exact()).alias("mean_exec_time"),
         F.col("rows_out").alias("rows"),
         *more,
     )

@@ -41,6 +41,11 @@ def total_ms() -> Column:
     return F.col("total_exec_time").cast("double")
 
 
+def mean_exact() -> Column:
+    """Mean time by its decimal digits."""
+    return F.try_divide(F.col("total_exec_time"), F.col("calls"))
+
+
 def mean_ms() -> Column:
     return F.try_divide(total_ms(), F.col("calls"))
 
@@ -158,7 +163,7 @@ def covering_candidates(stmt: DataFrame) -> DataFrame:
         F.left("query", F.lit(200)).alias("query_sample"),
         F.col("calls").alias("total_executions"),
         total_ms().alias("total_time_ms"),
-        rounded(mean_ms(), 2).alias("avg_time_ms"),
+        rounded(mean_exact()).alias("avg_time_ms"),
         F.col("temp_blks_written").alias("temp_blocks"),
         cache_hit_pct().alias("cache_hit_pct"),
     )
@@ -172,7 +177,7 @@ def leading_wildcards(stmt: DataFrame) -> DataFrame:
         F.left("query", F.lit(250)).alias("query_sample"),
         F.col("calls").alias("total_executions"),
         total_ms().alias("total_time_ms"),
-        rounded(mean_ms(), 2).alias("avg_ms"),
+        rounded(mean_exact()).alias("avg_ms"),
         wildcard_kind().alias("anti_pattern_type"),
         wildcard_severity().alias("severity"),
     )
@@ -190,7 +195,7 @@ def spilling_statements(stmt: DataFrame) -> DataFrame:
         F.left("query", F.lit(300)).alias("query_sample"),
         "calls",
         total_ms().alias("total_exec_time"),
-        rounded(mean_ms(), 2).alias("mean_exec_time"),
+        rounded(mean_exact()).alias("mean_exec_time"),
         read.cast("bigint").alias("temp_blks_read"),
         "temp_blks_written",
     )
@@ -225,7 +230,7 @@ def top_time_statements(stmt: DataFrame, ext: DataFrame) -> DataFrame:
         F.left("query", F.lit(300)).alias("query_sample"),
         "calls",
         total_ms().alias("total_exec_time"),
-        rounded(mean_ms(), 2).alias("mean_exec_time"),
+        rounded(mean_exact()).alias("mean_exec_time"),
         F.col("rows_out").alias("rows"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,46 +40,62 @@ def is_counted(detector: Column, metric: Column) -> Column:
     return counted
 
 
+Field = Column | str | Callable[[], Column]
+
+
 @dataclass(frozen=True)
 class Card:
-    """How rows of an input become findings of one detector."""
+    """How rows of an input become findings of one detector.
+
+    Fields given as functions are built only when a step asks for them.
+    """
 
     detector: str
-    title: Column | str
-    severity: Column | str
-    object_name: Column
-    evidence: Column
-    recommendation: Column | str
-    sql_fix: Column | str
-    metric: Column
-    condition: Column | None = None
-    weight: Column | None = None
+    title: Field
+    severity: Field
+    object_name: Field
+    evidence: Field
+    recommendation: Field
+    sql_fix: Field
+    metric: Callable[[], Column]
+    condition: Callable[[], Column] | None = None
+    weight: Callable[[], Column] | None = None
+
+    def counted(self) -> Column | None:
+        """When a row enters the total; None means always."""
+        if BY_NAME[self.detector].informational:
+            return F.lit(False)
+        if self.detector in COUNTED_ABOVE:
+            return self.metric() > COUNTED_ABOVE[self.detector]
+        return self.metric().isNotNull() if self.detector == "duplicate_indexes" else None
 
     def matches(self, counted_only: bool) -> Column:
-        condition = F.lit(True) if self.condition is None else self.condition
-        if counted_only:
-            condition = condition & is_counted(F.lit(self.detector), self.metric)
-        return condition
+        parts = [] if self.condition is None else [self.condition()]
+        counted = self.counted() if counted_only else None
+        if counted is not None:
+            parts.append(counted)
+        return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+
+    def _weight(self) -> Column:
+        weight = F.lit(BY_NAME[self.detector].weight) if self.weight is None else self.weight()
+        counted = self.counted()
+        return weight if counted is None else F.when(counted, weight).otherwise(F.lit(0))
+
+    def _field(self, name: str) -> Column:
+        if name == "category":
+            return F.lit(BY_NAME[self.detector].category)
+        if name == "detector":
+            return F.lit(self.detector)
+        if name == "metric":
+            return self.metric().cast("double")
+        if name == "weight":
+            return self._weight()
+        value = getattr(self, name)
+        value = value() if callable(value) else value
+        return F.lit(value) if isinstance(value, str) else value
 
     def fields(self, columns: Sequence[str]) -> list[Column]:
-        detector = BY_NAME[self.detector]
-        counted = is_counted(F.lit(self.detector), self.metric)
-        weight = F.lit(detector.weight) if self.weight is None else self.weight
-        made = {
-            "category": detector.category,
-            "detector": self.detector,
-            "severity": self.severity,
-            "object_name": self.object_name,
-            "title": self.title,
-            "evidence": self.evidence,
-            "recommendation": self.recommendation,
-            "sql_fix": self.sql_fix,
-            "metric": self.metric.cast("double"),
-            "weight": F.when(counted, weight).otherwise(F.lit(0)).cast("int"),
-        }
-        return [
-            (F.lit(made[c]) if isinstance(made[c], str) else made[c]).alias(c) for c in columns
-        ]
+        return [self._field(name).alias(name) for name in columns]
 
 
 def emit(
@@ -97,47 +113,58 @@ def emit(
 # Cards by input. Each list holds what one pass over that input can report.
 
 
+def _col(name: str) -> Callable[[], Column]:
+    return lambda: F.col(name)
+
+
+def _no_metric() -> Column:
+    return F.lit(None)
+
+
 def _table_cards(partition_mode: str) -> list[Card]:
     table = text(F.col("schema_name"), ".", F.col("relname"))
     dead = bloat.dead_tuple_pct()
+
+    def by_dead(alarming: str, elevated: str, other: str) -> Column:
+        return (F.when(dead > bloat.DEAD_ALARMING_PCT, F.lit(alarming))
+                .when(dead > bloat.DEAD_ELEVATED_PCT, F.lit(elevated)).otherwise(F.lit(other)))
+
     return [
         Card(
-            "obsolete_stats", "Stale planner statistics", indexes.stale_severity(), table,
-            text("Table ", table, ": the planner expects ", grouped(F.col("reltuples")),
-                 " rows, the collector counts ", grouped(F.col("n_live_tup")), ", ",
-                 fixed(F.coalesce(indexes.divergence_ratio(), F.lit(0.0)), 1), " times apart."),
+            "obsolete_stats", "Stale planner statistics", indexes.stale_severity, table,
+            lambda: text(
+                "Table ", table, ": the planner expects ", grouped(F.col("reltuples")),
+                " rows, the collector counts ", grouped(F.col("n_live_tup")), ", ",
+                fixed(F.coalesce(indexes.divergence_ratio(), F.lit(0.0)), 1), " times apart."),
             "Refresh the statistics; raise the column targets if the gap returns.",
-            text("ANALYZE ", table, ";"),
-            indexes.divergence_ratio(), indexes.has_stale_statistics(),
+            lambda: text("ANALYZE ", table, ";"),
+            indexes.divergence_ratio, indexes.has_stale_statistics,
         ),
         Card(
-            "disabled_autovacuum", "Autovacuum disabled on a table", "HIGH", F.col("relname"),
-            text("Table ", F.col("relname"), " switches autovacuum off in its options: ",
-                 F.col("reloptions"), "."),
+            "disabled_autovacuum", "Autovacuum disabled on a table", "HIGH", _col("relname"),
+            lambda: text("Table ", F.col("relname"), " switches autovacuum off in its options: ",
+                         F.col("reloptions"), "."),
             "Let autovacuum run on this table again.",
-            text("ALTER TABLE ", F.col("relname"), " RESET (autovacuum_enabled);"),
-            F.lit(None), bloat.autovacuum_is_off(),
+            lambda: text("ALTER TABLE ", F.col("relname"), " RESET (autovacuum_enabled);"),
+            _no_metric, bloat.autovacuum_is_off,
         ),
         Card(
-            "dead_tuples", "Dead rows",
-            F.when(dead > bloat.DEAD_ALARMING_PCT, F.lit("HIGH"))
-            .when(dead > bloat.DEAD_ELEVATED_PCT, F.lit("MEDIUM")).otherwise(F.lit("OK")),
-            table,
-            text("Table ", table, " holds ", fixed(dead), "% dead rows (",
-                 grouped(F.col("n_dead_tup")), ")."),
-            F.concat(F.lit("State: "), bloat.dead_tuple_band()),
-            text(F.when(dead > bloat.DEAD_ALARMING_PCT, F.lit("VACUUM FULL ANALYZE "))
-                 .otherwise(F.lit("VACUUM ANALYZE ")), table, ";"),
-            dead,
+            "dead_tuples", "Dead rows", lambda: by_dead("HIGH", "MEDIUM", "OK"), table,
+            lambda: text("Table ", table, " holds ", fixed(dead), "% dead rows (",
+                         grouped(F.col("n_dead_tup")), ")."),
+            lambda: text("State: ", bloat.dead_tuple_band()),
+            lambda: text(by_dead("VACUUM FULL ANALYZE ", "VACUUM ANALYZE ", "VACUUM ANALYZE "),
+                         table, ";"),
+            lambda: dead,
         ),
         Card(
             "partitioning_candidates", "Table to partition", "MEDIUM", table,
-            text("Table ", table, " (", pretty_size(F.col("size_bytes")), ") ",
-                 health.partition_reasons(), "."),
+            lambda: text("Table ", table, " (", pretty_size(F.col("size_bytes")), ") ",
+                         health.partition_reasons(), "."),
             "Split the table by a date range and drop old partitions.",
-            text("CREATE TABLE ", table, "_partitioned (LIKE ", table,
-                 " INCLUDING ALL) PARTITION BY RANGE (created_at);"),
-            health.size_mb(), health.is_partition_candidate(partition_mode),
+            lambda: text("CREATE TABLE ", table, "_partitioned (LIKE ", table,
+                         " INCLUDING ALL) PARTITION BY RANGE (created_at);"),
+            health.size_mb, lambda: health.is_partition_candidate(partition_mode),
         ),
     ]
 
@@ -148,200 +175,228 @@ def _bloat_card() -> Card:
     limit = COUNTED_ABOVE["table_bloat"]
     return Card(
         "table_bloat", "Table bloat",
-        F.when(pct > limit, F.lit("MEDIUM")).otherwise(F.lit("OK")), table,
-        text("Table ", table, " is about ", fixed(pct, 1), "% bloat (",
-             grouped(F.col("bloat_size")), " bytes)."),
-        "Rewrite the table in a quiet hour.", text("VACUUM FULL ", table, ";"), pct,
+        lambda: F.when(pct > limit, F.lit("MEDIUM")).otherwise(F.lit("OK")), table,
+        lambda: text("Table ", table, " is about ", fixed(pct, 1), "% bloat (",
+                     grouped(F.col("bloat_size")), " bytes)."),
+        "Rewrite the table in a quiet hour.", lambda: text("VACUUM FULL ", table, ";"),
+        lambda: pct,
     )
 
 
 def _partial_index_card() -> Card:
     table, column = F.col("table_name"), F.col("column_name")
     share = F.col("percent_occurrence")
+
+    def value() -> Column:
+        return quoted(F.col("dominant_value"))
+
     return Card(
-        "missing_partial", "Missing partial index", "MEDIUM", text(table, ".", column),
-        text("Column ", column, " of ", table, " is ", fixed(share, 1), "% the value ",
-             quoted(F.col("dominant_value")), " and no partial index leaves it out."),
+        "missing_partial", "Missing partial index", "MEDIUM", lambda: text(table, ".", column),
+        lambda: text("Column ", column, " of ", table, " is ", fixed(share, 1), "% the value ",
+                     value(), " and no partial index leaves it out."),
         "Index only the rows without the dominant value.",
-        text("CREATE INDEX CONCURRENTLY idx_", table, "_", column, "_partial ON ", table, " (",
-             column, ") WHERE ", column, " <> ", quoted(F.col("dominant_value")), ";"),
-        share,
+        lambda: text("CREATE INDEX CONCURRENTLY idx_", table, "_", column, "_partial ON ", table,
+                     " (", column, ") WHERE ", column, " <> ", value(), ";"),
+        lambda: share,
     )
 
 
 def _foreign_key_card() -> Card:
     table, column, parent = F.col("table_name"), F.col("column_name"), F.col("referenced_table")
-    safe = F.replace(table, F.lit("."), F.lit("_"))
     return Card(
-        "missing_indexes", "Foreign key without index", "HIGH", F.col("constraint_name"),
-        text("Foreign key ", F.col("constraint_name"), " on ", table, ".", column,
-             " refers to ", parent, " and leads no index."),
+        "missing_indexes", "Foreign key without index", "HIGH", _col("constraint_name"),
+        lambda: text("Foreign key ", F.col("constraint_name"), " on ", table, ".", column,
+                     " refers to ", parent, " and leads no index."),
         "Index the referring column.",
-        text("CREATE INDEX CONCURRENTLY idx_", safe, "_", column, "_fk ON ", table, " (",
-             column, ");"),
-        F.lit(None),
+        lambda: text("CREATE INDEX CONCURRENTLY idx_",
+                     F.replace(table, F.lit("."), F.lit("_")), "_", column, "_fk ON ", table,
+                     " (", column, ");"),
+        _no_metric,
     )
 
 
+def _drop_statements() -> Column:
+    dropped = F.filter(F.split("index_names", ", "), lambda n: n != F.col("keep_name"))
+    return F.array_join(
+        F.transform(dropped, lambda n: text("DROP INDEX CONCURRENTLY ", n, ";")), "\n")
+
+
 def _duplicate_card() -> Card:
-    names = F.split("index_names", ", ")
-    dropped = F.filter(names, lambda n: n != F.col("keep_name"))
-    drops = F.transform(dropped, lambda n: text("DROP INDEX CONCURRENTLY ", n, ";"))
     return Card(
-        "duplicate_indexes", "Duplicate indexes", "MEDIUM", F.col("table_name"),
-        text("Table ", F.col("table_name"), " has ", F.col("count").cast("string"),
-             " indexes on (", F.col("columns"), "): ", F.col("index_names"), "."),
-        text("Keep ", F.col("keep_name"), " and drop the others."),
+        "duplicate_indexes", "Duplicate indexes", "MEDIUM", _col("table_name"),
+        lambda: text("Table ", F.col("table_name"), " has ", F.col("count").cast("string"),
+                     " indexes on (", F.col("columns"), "): ", F.col("index_names"), "."),
+        lambda: text("Keep ", F.col("keep_name"), " and drop the others."),
+        _drop_statements,
         # Further name lists of one large group are the same finding: they have no metric.
-        F.array_join(drops, "\n"), F.when(F.col("part") == 0, F.col("count")),
+        lambda: F.when(F.col("part") == 0, F.col("count")),
     )
 
 
 def _unused_index_card() -> Card:
     return Card(
-        "unused_indexes", "Unused index", "LOW", F.col("index_name"),
-        text("Index ", F.col("index_name"), " on ", F.col("table_name"), " takes ",
-             F.col("size"), " and was never scanned."),
+        "unused_indexes", "Unused index", "LOW", _col("index_name"),
+        lambda: text("Index ", F.col("index_name"), " on ", F.col("table_name"), " takes ",
+                     F.col("size"), " and was never scanned."),
         "Drop it once its use is ruled out.",
-        text("DROP INDEX CONCURRENTLY ", F.col("index_name"), ";"), F.col("size_bytes"),
+        lambda: text("DROP INDEX CONCURRENTLY ", F.col("index_name"), ";"), _col("size_bytes"),
     )
 
 
 def _setting_cards() -> list[Card]:
     name, value = F.col("name"), F.col("setting")
-    mb = fixed(config.value_mb())
 
-    def current(detector: str, setting: str) -> Card:
-        return Card(detector, f"Current {setting}", "OK", name,
-                    text(setting, " = ", value, " ", F.coalesce("unit", F.lit(""))),
-                    "For information.", "", config.value_mb(), name == setting)
+    def mb() -> Column:
+        return fixed(config.value_mb())
+
+    def limit() -> Column:
+        return value.try_cast("int")
+
+    def current(setting: str) -> Card:
+        return Card(setting, f"Current {setting}", "OK", name,
+                    lambda: text(setting, " = ", value, " ", F.coalesce("unit", F.lit(""))),
+                    "For information.", "", config.value_mb, lambda: name == setting)
 
-    limit = value.try_cast("int")
     return [
-        current("work_mem", "work_mem"),
+        current("work_mem"),
         Card("work_mem_evaluation", "Low work_mem", "MEDIUM", name,
-             text("work_mem is ", mb, " MB."),
+             lambda: text("work_mem is ", mb(), " MB."),
              "Raise it with care; sorts and hashes that do not fit go to disk.",
-             "ALTER SYSTEM SET work_mem = '64MB';", config.value_mb(), config.work_mem_is_low()),
-        current("shared_buffers", "shared_buffers"),
+             "ALTER SYSTEM SET work_mem = '64MB';", config.value_mb, config.work_mem_is_low),
+        current("shared_buffers"),
         Card("shared_buffers_evaluation", "Low shared_buffers", "MEDIUM", name,
-             text("shared_buffers is about ", mb, " MB."),
+             lambda: text("shared_buffers is about ", mb(), " MB."),
              "Size it by the memory of the server.",
-             "ALTER SYSTEM SET shared_buffers = '256MB';", config.value_mb(),
-             config.shared_buffers_are_low()),
+             "ALTER SYSTEM SET shared_buffers = '256MB';", config.value_mb,
+             config.shared_buffers_are_low),
         Card("pg_stat_max_evaluation", "Low pg_stat_statements.max", "MEDIUM", name,
-             text("pg_stat_statements.max is ", value, "."),
+             lambda: text("pg_stat_statements.max is ", value, "."),
              "Keep more statements to see the whole workload.",
              "ALTER SYSTEM SET pg_stat_statements.max = 5000;", limit,
-             config.tracking_limit_is_low()),
-        Card("pg_stat_limit", "Statements fall out of tracking", config.tracking_limit_severity(),
-             name, text("Tracking stops at ", value, " statements, below the advised ",
-                        str(config.MIN_TRACKED_STATEMENTS), "."),
+             config.tracking_limit_is_low),
+        Card("pg_stat_limit", "Statements fall out of tracking", config.tracking_limit_severity,
+             name,
+             lambda: text("Tracking stops at ", value, " statements, below the advised ",
+                          str(config.MIN_TRACKED_STATEMENTS), "."),
              "Raise the limit to 5000 to 10000; needs a restart.",
              "ALTER SYSTEM SET pg_stat_statements.max = 5000;", limit,
-             config.tracking_limit_is_low() & F.col("tracked")),
+             lambda: config.tracking_limit_is_low() & F.col("tracked")),
         Card("slow_query_logging", "Slow statements are not logged", "MEDIUM", name,
-             text(name, " is ", value, "."), "Log statements from 1000 ms.",
-             "ALTER SYSTEM SET log_min_duration_statement = '1000ms';", F.lit(None),
-             config.slow_log_is_off()),
+             lambda: text(name, " is ", value, "."), "Log statements from 1000 ms.",
+             "ALTER SYSTEM SET log_min_duration_statement = '1000ms';", _no_metric,
+             config.slow_log_is_off),
     ]
 
 
 def _session_card() -> Card:
     pid = F.col("session_pid").cast("string")
     return Card(
-        "idle_in_transaction", "Long session", F.col("severity"), pid,
-        text("Session ", pid, " has been ", F.col("session_state"), " for ",
-             fixed(F.col("idle_minutes")), " minutes."),
+        "idle_in_transaction", "Long session", _col("severity"), pid,
+        lambda: text("Session ", pid, " has been ", F.col("session_state"), " for ",
+                     fixed(F.col("idle_minutes")), " minutes."),
         "End the session or set idle_in_transaction_session_timeout.",
-        text("SELECT pg_terminate_backend(", pid, ");"), F.col("idle_minutes"),
+        lambda: text("SELECT pg_terminate_backend(", pid, ");"), _col("idle_minutes"),
     )
 
 
 def _extension_cards() -> list[Card]:
     enabled = F.col("enabled")
     return [
-        Card("pg_stat_statements", "Statement statistics", "OK", F.lit(config.TRACKING_EXTENSION),
-             text("Statement statistics are ",
-                  F.when(enabled, F.lit("enabled")).otherwise(F.lit("not enabled")), "."),
-             "For information.", "", enabled.cast("int")),
+        Card("pg_stat_statements", "Statement statistics", "OK", config.TRACKING_EXTENSION,
+             lambda: text("Statement statistics are ",
+                          F.when(enabled, F.lit("enabled")).otherwise(F.lit("not enabled")), "."),
+             "For information.", "", lambda: enabled.cast("int")),
         Card("temp_spills", "Statement statistics are not enabled", "LOW",
-             F.lit(config.TRACKING_EXTENSION), F.lit("The extension pg_stat_statements is missing."),
+             config.TRACKING_EXTENSION, "The extension pg_stat_statements is missing.",
              "Enable it to see slow and spilling statements.",
-             "CREATE EXTENSION IF NOT EXISTS pg_stat_statements;", F.lit(None), ~enabled,
-             F.lit(SPILL_WEIGHTS["LOW"])),
+             "CREATE EXTENSION IF NOT EXISTS pg_stat_statements;", _no_metric, lambda: ~enabled,
+             lambda: F.lit(SPILL_WEIGHTS["LOW"])),
     ]
 
 
-def _spill_weight(mb: Column) -> Column:
-    severity = spill_severity(mb)
-    return F.when(severity == "HIGH", F.lit(SPILL_WEIGHTS["HIGH"])).when(
-        severity == "MEDIUM", F.lit(SPILL_WEIGHTS["MEDIUM"])).otherwise(F.lit(SPILL_WEIGHTS["LOW"]))
+def _spill_weight() -> Column:
+    severity, weight = spill_severity(statements.temp_mb()), F.lit(SPILL_WEIGHTS["LOW"])
+    for level in ("MEDIUM", "HIGH"):
+        weight = F.when(severity == level, F.lit(SPILL_WEIGHTS[level])).otherwise(weight)
+    return weight
 
 
 def _statement_cards() -> list[Card]:
-    sample = F.left("query", F.lit(300))
-    calls, mean = grouped(F.col("calls")), fixed(statements.mean_ms())
-    mb, scanned = statements.temp_mb(), F.col("scanned")
+    scanned = F.col("scanned")
+    explain = "EXPLAIN (ANALYZE, BUFFERS) <statement>;"
+
+    def sample() -> Column:
+        return F.left("query", F.lit(300))
+
+    def calls() -> Column:
+        return grouped(F.col("calls"))
+
+    def mean() -> Column:
+        return fixed(statements.mean_exact())
 
     def of(rule: statements.StatementRule) -> Column:
         return F.col("rule") == rule.name
 
-    explained = of(statements.TOP_TIME) & F.col("tracked") & plans.is_select()
+    def explained(sign: Column) -> Column:
+        return of(statements.TOP_TIME) & F.col("tracked") & plans.is_select() & sign
+
     return [
         Card("covering_candidates", "Covering index candidate", "LOW", sample,
-             text("Run ", calls, " times at ", mean, " ms each with ",
-                  fixed(statements.cache_hit_pct(), 1), "% cache hits."),
+             lambda: text("Run ", calls(), " times at ", mean(), " ms each with ",
+                          fixed(statements.cache_hit_pct(), 1), "% cache hits."),
              "Add the read columns to the index of the filter column.",
              "CREATE INDEX CONCURRENTLY idx_covering ON table_name (filter_column) "
              "INCLUDE (read_columns);",
-             statements.cache_hit_pct(), of(statements.COVERING)),
-        Card("wildcard_searches", "Search with a leading wildcard", statements.wildcard_severity(),
+             statements.cache_hit_pct, lambda: of(statements.COVERING)),
+        Card("wildcard_searches", "Search with a leading wildcard", statements.wildcard_severity,
              sample,
-             text(statements.wildcard_kind(), ", run ", calls, " times at ", mean, " ms each."),
+             lambda: text(statements.wildcard_kind(), ", run ", calls(), " times at ", mean(),
+                          " ms each."),
              "Use a trigram index; ordinary indexes cannot serve this search.",
              "CREATE EXTENSION IF NOT EXISTS pg_trgm;\n"
              "CREATE INDEX CONCURRENTLY idx_trgm ON table_name USING gin (column_name gin_trgm_ops);",
-             statements.mean_ms(), of(statements.WILDCARD)),
-        Card("temp_spills", "Temporary files in use", spill_severity(mb), sample,
-             text("Wrote ", F.col("temp_blks_written").cast("string"), " temporary blocks, about ",
-                  fixed(mb), " MB."),
+             statements.mean_ms, lambda: of(statements.WILDCARD)),
+        Card("temp_spills", "Temporary files in use",
+             lambda: spill_severity(statements.temp_mb()), sample,
+             lambda: text("Wrote ", F.col("temp_blks_written").cast("string"),
+                          " temporary blocks, about ", fixed(statements.temp_mb()), " MB."),
              "Check sorts, groupings and joins, and whether work_mem is enough.",
-             "EXPLAIN (ANALYZE, BUFFERS) <statement>;", mb,
-             of(statements.SPILL) & F.col("tracked") & (mb >= statements.MIN_SPILL_MB),
-             _spill_weight(mb)),
+             explain, statements.temp_mb,
+             lambda: of(statements.SPILL) & F.col("tracked")
+             & (statements.temp_mb() >= statements.MIN_SPILL_MB),
+             _spill_weight),
         Card("top_time_queries", "Statement with a high total time", "MEDIUM", sample,
-             text("Total ", fixed(statements.total_ms()), " ms over ", calls, " calls, mean ",
-                  mean, " ms."),
-             "Study its plan.", "EXPLAIN (ANALYZE, BUFFERS) <statement>;", statements.total_ms(),
-             of(statements.TOP_TIME) & F.col("tracked")),
+             lambda: text("Total ", fixed(F.col("total_exec_time")), " ms over ", calls(),
+                          " calls, mean ", mean(), " ms."),
+             "Study its plan.", explain, statements.total_ms,
+             lambda: of(statements.TOP_TIME) & F.col("tracked")),
         Card("explain_spills", "Sort on disk in the plan", "HIGH", sample,
-             F.lit("A captured plan sorts on disk."),
-             "Check ORDER BY, GROUP BY and DISTINCT, then work_mem.",
-             "EXPLAIN (ANALYZE, BUFFERS) <statement>;", F.lit(None),
-             explained & F.coalesce("sort_on_disk", F.lit(False))),
+             "A captured plan sorts on disk.",
+             "Check ORDER BY, GROUP BY and DISTINCT, then work_mem.", explain, _no_metric,
+             lambda: explained(F.coalesce("sort_on_disk", F.lit(False)))),
         Card("explain_spills", "Hash in batches in the plan", "HIGH", sample,
-             text("A captured plan needs ", F.col("batches").cast("string"), " batches for a hash."),
-             "Check hash joins and groupings, then work_mem.",
-             "EXPLAIN (ANALYZE, BUFFERS) <statement>;", F.col("batches"),
-             explained & (F.coalesce("batches", F.lit(0)) > 1)),
+             lambda: text("A captured plan needs ", F.col("batches").cast("string"),
+                          " batches for a hash."),
+             "Check hash joins and groupings, then work_mem.", explain, _col("batches"),
+             lambda: explained(F.coalesce("batches", F.lit(0)) > 1)),
         Card("seq_scans", "Sequential scan", "MEDIUM", sample,
-             text("Statement ", query_id(F.col("query")), " scans ", scanned,
-                  " in sequence and ran ", calls, " times."),
-             text("Check whether ", scanned, " needs an index."),
-             text("CREATE INDEX CONCURRENTLY idx_", scanned, "_filter ON ", scanned,
-                  " (filter_column);"),
-             F.col("calls"), of(statements.SCANS) & scanned.isNotNull()),
+             lambda: text("Statement ", query_id(F.col("query")), " scans ", scanned,
+                          " in sequence and ran ", calls(), " times."),
+             lambda: text("Check whether ", scanned, " needs an index."),
+             lambda: text("CREATE INDEX CONCURRENTLY idx_", scanned, "_filter ON ", scanned,
+                          " (filter_column);"),
+             _col("calls"), lambda: of(statements.SCANS) & scanned.isNotNull()),
     ]
 
 
 def _database_card() -> Card:
     return Card(
-        "db_temp_usage", "Temporary files in the database", F.col("severity"), F.col("datname"),
-        text("Database ", F.col("datname"), " wrote ", F.col("temp_files").cast("string"),
-             " temporary files, about ", fixed(F.col("temp_mb")), " MB."),
+        "db_temp_usage", "Temporary files in the database", _col("severity"), _col("datname"),
+        lambda: text("Database ", F.col("datname"), " wrote ",
+                     F.col("temp_files").cast("string"), " temporary files, about ",
+                     fixed(F.col("temp_mb")), " MB."),
         "Check sorts, groupings and joins, and work_mem.",
-        "SELECT query FROM pg_stat_statements ORDER BY temp_blks_written DESC;", F.col("temp_mb"),
+        "SELECT query FROM pg_stat_statements ORDER BY temp_blks_written DESC;", _col("temp_mb"),
     )
 
 

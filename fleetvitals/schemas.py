@@ -87,21 +87,25 @@ def conform(name: str, df: DataFrame) -> DataFrame:
     defaults = OPTIONAL.get(name, {})
     if name == "idx" and "indkey" in present:
         defaults = {**defaults, "key1": None}
-    columns, problems = [], []
+    changed, problems = {}, []
     for field in wanted:
-        if field.name in present:
-            if _family(present[field.name]) != _family(field.dataType):
-                problems.append(f"{field.name} is {present[field.name].simpleString()}, "
-                                f"not {field.dataType.simpleString()}")
-            elif isinstance(field.dataType, (T.TimestampNTZType, T.DecimalType)):
-                columns.append(F.col(field.name))
+        kind = field.dataType.simpleString()
+        if field.name not in present:
+            if field.name in defaults:
+                value = "null" if defaults[field.name] is None else str(defaults[field.name])
+                changed[field.name] = f"cast({value} as {kind})"
             else:
-                columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
-        elif field.name in defaults:
-            columns.append(F.lit(defaults[field.name]).cast(field.dataType).alias(field.name))
-        else:
-            problems.append(f"{field.name} is missing")
+                problems.append(f"{field.name} is missing")
+        elif _family(present[field.name]) != _family(field.dataType):
+            problems.append(
+                f"{field.name} is {present[field.name].simpleString()}, not {kind}")
+        elif present[field.name] != field.dataType and not isinstance(
+            field.dataType, (T.TimestampNTZType, T.DecimalType)
+        ):
+            changed[field.name] = f"cast({field.name} as {kind})"
     if problems:
         raise RelationError(f"relation {name}: " + "; ".join(problems))
-    extra = [F.col(c) for c in df.columns if c not in wanted.fieldNames()]
-    return df.select(*columns, *extra)
+    if not changed:
+        return df
+    kept = [c for c in df.columns if c not in changed]
+    return df.selectExpr(*[f"`{c}`" for c in kept], *[f"{v} as {k}" for k, v in changed.items()])

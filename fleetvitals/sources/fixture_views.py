@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.rollup import statement_rollup
 from ..schemas import RELATIONS, conform
+from ..streaming.run import file_stream
 
 REL = """
 select o_custkey as instance_id, o_orderkey as relid,
@@ -160,6 +161,16 @@ class FixtureTelemetry:
             self._made[name] = conform(name, made) if name in RELATIONS else made
         return self._made[name]
 
+    def stream(self, name: str) -> DataFrame:
+        """The log or the sessions as a stream over the events file."""
+        schema = table(self._spark, self._dir, "events").schema
+        events = file_stream(self._spark, self._dir, schema, "events.parquet")
+        if name == "sess":
+            return conform(name, self._sql(SESS, events=events))
+        if name == "exec":
+            return conform(name, self._sql(EXEC_COUNTERS, fx_exec=self._sql(EXEC, events=events)))
+        raise KeyError(name)
+
     def relations(self) -> dict[str, DataFrame]:
         names = ("rel", "col", "idx", "fk", "exec", "stmt", "plan", "sess", "setting", "ext",
                  "dbtemp")

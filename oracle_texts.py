@@ -56,8 +56,8 @@ STMT_COLUMNS = """
  cast(sum(k) as bigint) as rows_out, cast(sum(k*20) as bigint) as temp_blks_written,
  cast(sum(k) as bigint) as shared_blks_hit, cast(sum(k%7) as bigint) as shared_blks_read,
  bool_or(regexp_matches(sql_text, '(?i)\\bI?LIKE\\s+''%[^'']+%''')) as has_wildcard,
- bool_or(regexp_matches(sql_text, '(?i)\\bILIKE\\s+''%[^'']+%''')) as has_ilike,
- min(exec_id) as sample_exec_id"""
+ bool_or(regexp_matches(sql_text, '(?i)\\bILIKE\\s+''%[^'']+%''')) as has_ilike"""
+SAMPLE_ID = ", min(exec_id) as sample_exec_id"
 
 OPERANDS = r"regexp_replace(sql_text,'(= |\()[0-9]+','\1$1','g')"
 ALL_LITERALS = r"""regexp_replace(sql_text,'\$[0-9]+|''[^'']*''|\b[0-9]+(\.[0-9]+)?\b','$1','g')"""
@@ -98,7 +98,7 @@ PARTS = {
     "fx_fk": _bound(fx.FK), "fx_exec": _bound(fx.EXEC), "fx_plan": _bound(fx.PLAN),
     "fx_sess": _bound(fx.SESS), "fx_set": _bound(fx.SETTING), "fx_ext": _bound(fx.EXT),
     "fx_dbtemp": _bound(fx.DBTEMP),
-    "fx_stmt": f"select instance_id, {OPERANDS} as query, {STMT_COLUMNS} from fx_exec group by 1,2",
+    "fx_stmt": f"select instance_id, {OPERANDS} as query, {STMT_COLUMNS} {SAMPLE_ID} from fx_exec group by 1,2",
     "partial_missing": f"""
 select r.instance_id, r.relname as table_name, c.attname as column_name,
  r.reltuples as estimated_rows, c.mcv1 as dominant_value,
@@ -561,7 +561,7 @@ where name = 'log_min_duration_statement' and setting = '-1'""",
 select * replace (cast(total_exec_time as double) as total_exec_time) from fx_stmt""",
     "p02_statement_rollup_all_literals": f"""
 select * replace (cast(total_exec_time as double) as total_exec_time) from
- (select instance_id, {ALL_LITERALS} as query, {STMT_COLUMNS} from fx_exec group by 1,2)""",
+ (select instance_id, {ALL_LITERALS} as query, {STMT_COLUMNS} {SAMPLE_ID} from fx_exec group by 1,2)""",
     "p03_pretty_size": f"""
 select relid, size_bytes, {pretty('size_bytes')} as as_bytes,
  {pretty('size_bytes*n_dead_tup')} as as_product, {pretty('n_dead_tup')} as as_small from fx_rel""",
@@ -647,6 +647,20 @@ select p_partkey, concat('SKU-', lpad(cast(p_partkey as varchar), 6, '0')) as sk
  case when p_retailprice < 950 then 'low' when p_retailprice < 1050 then 'middle' else 'high' end
   as price_band from part""",
 }
+# Streams give out what the watermark has passed: newest row in milliseconds, less the delay.
+QUERIES["t01_stream_statement_rollup"] = f"""
+select * replace (cast(total_exec_time as double) as total_exec_time)
+from (select cast(ts as date) as window_start, cast(ts as date) + 1 as window_end,
+ instance_id, {OPERANDS} as query, {STMT_COLUMNS} from fx_exec group by 1,2,3,4)
+where epoch_ms(cast(window_end as timestamp)) <= (select epoch_ms(max(ts)) - 3600000 from events)"""
+QUERIES["t02_stream_long_sessions"] = """
+select instance_id, pid as session_pid, state as session_state, change_us as since_us
+from (select *, lead(change_us) over (partition by instance_id, pid order by change_us, state)
+   as next_us, (select (epoch_ms(max(state_change)) - 600000) * 1000 from fx_sess
+   where usename = 'app') as mark_us
+ from (select *, epoch_us(state_change) as change_us from fx_sess where usename = 'app'))
+where state in ('active','idle in transaction')
+ and least(coalesce(next_us, mark_us), mark_us) - change_us > 60000000"""
 for _name, _condition in (("d29_partition_candidates", CANDIDATE),
                           ("d29_partition_candidates_any", CANDIDATE_ANY)):
     QUERIES[_name] = f"""
