@@ -93,10 +93,13 @@ def long_sessions(
 ) -> DataFrame:
     """Sessions that stay active or idle in a transaction for more than a minute.
 
-    `as_of` is the moment of the audit; by default the newest change in the
-    capture, never the wall clock. `user` None audits every user.
+    `as_of` is the moment of the audit; by default that of the capture, or where
+    it is not kept the newest change, never the wall clock. `user` None audits
+    every user.
     """
-    if as_of is None:
+    if as_of is None and "captured_at" in sess.columns:
+        as_of = F.col("captured_at")
+    elif as_of is None:
         as_of = sess.agg(F.max("state_change")).scalar()
     seconds = F.timestamp_diff("MICROSECOND", F.col("state_change"), as_of) / 1_000_000
     open_now = F.col("state").isin(*OPEN_STATES)
