@@ -32,12 +32,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _on(build: Callable[..., DataFrame], *names: str, order: tuple = ()) -> Query:
-    """An operator over named relations, in the order the report shows it."""
+    """An operator over named relations, in the order the report shows it ("-": downwards)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         telemetry = FixtureTelemetry(spark, sf_dir)
         result = build(*[telemetry[n] for n in names])
-        return result.orderBy(*order) if order else result
+        columns = [F.col(n[1:]).desc_nulls_last() if n.startswith("-") else F.col(n).asc()
+                   for n in order]
+        return result.orderBy(*columns) if order else result
 
     return run
 
@@ -60,9 +62,9 @@ def _on_all(build: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return run
 
 
-def _desc(*names: str) -> tuple:
+def _desc(first: str, *others: str) -> tuple:
     """Order by the first column downwards, then by the others."""
-    return (F.col(names[0]).desc_nulls_last(), *[F.col(n).asc() for n in names[1:]])
+    return (f"-{first}", *others)
 
 
 def _as_double(df: DataFrame, *names: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,68 +20,71 @@ FIXED_WIDTHS = {
 }
 
 
-def _text(field: T.StructField) -> Column:
-    kind = field.dataType
-    column = F.col(f"`{field.name}`")
+def _text(kind: T.DataType, column: Column) -> Column:
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(column)
     return column.cast("string")
 
 
-def _entry(field: T.StructField) -> Column:
-    """(column_name, value, width) of one cell; a wide value is replaced by its hash."""
-    text = _text(field)
+def _counted(df: DataFrame, field: T.StructField) -> DataFrame:
+    """The values of one column with their width and count.
+
+    A value of fixed size is counted as it is and turned to text afterwards; a
+    wide text is counted by its hash.
+    """
+    cells = df.select(F.col(f"`{field.name}`").alias("cell"))
+    text = _text(field.dataType, F.col("cell"))
+    count = F.count("*").alias("n")
     fixed = FIXED_WIDTHS.get(field.dataType.simpleString())
-    width = F.octet_length(text) if fixed is None else F.lit(fixed)
-    value = text
-    if fixed is None:
-        value = F.when(F.octet_length(text) > WIDE_BYTES,
-                       F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
-    return F.struct(
-        F.lit(field.name).alias("column_name"),
-        value.alias("value"),
-        F.when(text.isNotNull(), width.cast("bigint")).alias("width"),
-    )
+    if fixed is not None:
+        return cells.groupBy("cell").agg(count).select(
+            text.alias("value"), F.lit(fixed).cast("bigint").alias("width"), "n")
+    width = F.octet_length(text)
+    value = F.when(width > WIDE_BYTES, F.concat(F.lit("sha256:"), F.sha2(text, 256))).otherwise(text)
+    return cells.groupBy(value.alias("value"), width.cast("bigint").alias("width")).agg(count)
 
 
 def _fields(df: DataFrame, columns: Sequence[str] | None) -> list[T.StructField]:
     return [f for f in df.schema if columns is None or f.name in columns]
 
 
-def column_profile(
-    df: DataFrame, table_name: str, columns: Sequence[str] | None = None
-) -> DataFrame:
-    """Rows, null share, mean width, distinct values and the most common value per column.
-
-    One scan turns cells into (column, value) pairs, which are counted with a
-    map-side half, so a value that fills most of a column costs one row per
-    task. The second step works on counted values only. Ties for the most
-    common value go to the smallest.
-    """
-    cells = df.select(F.inline(F.array(*[_entry(f) for f in _fields(df, columns)])))
-    counted = cells.groupBy("column_name", "value", "width").agg(F.count("*").alias("n"))
+def _column_row(df: DataFrame, table_name: str, field: T.StructField) -> DataFrame:
     present = F.col("value").isNotNull()
     best = F.min(F.when(present, F.struct((-F.col("n")).alias("order"), F.col("value"))))
-    totals = counted.groupBy("column_name").agg(
-        F.sum("n").alias("n_rows"),
+    totals = _counted(df, field).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.sum(F.when(~present, F.col("n")).otherwise(0)).alias("n_null"),
-        F.sum(F.col("n") * F.col("width")).alias("bytes"),
+        F.sum(F.when(present, F.col("n") * F.col("width"))).alias("bytes"),
         F.count("value").alias("n_distinct"),
         best.alias("best"),
     )
-    filled = F.col("n_rows") - F.col("n_null")
+    rows = F.col("n_rows")
     return totals.select(
         F.lit(table_name).alias("table_name"),
-        "column_name",
+        F.lit(field.name).alias("column_name"),
         "n_rows",
-        (F.col("n_null") / F.col("n_rows")).alias("null_frac"),
-        rounded(F.try_divide(F.col("bytes"), filled), 4).alias("avg_width"),
+        F.try_divide(F.col("n_null"), rows).alias("null_frac"),
+        rounded(F.try_divide(F.col("bytes"), rows - F.col("n_null")), 4).alias("avg_width"),
         "n_distinct",
         F.col("best.value").alias("mcv1"),
-        (-F.col("best.order") / F.col("n_rows")).alias("mcf1"),
+        F.try_divide(-F.col("best.order"), rows).alias("mcf1"),
     )
 
 
+def column_profile(
+    df: DataFrame, table_name: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Rows, null share, mean width, distinct values and the most common value per column.
+
+    Each column is scanned alone, so the file reader touches its bytes only, and
+    counted with a map-side half: a value that fills most of a column costs one
+    row per task. What follows works on counted values, in every task first.
+    Ties for the most common value go to the smallest.
+    """
+    rows = [_column_row(df, table_name, field) for field in _fields(df, columns)]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 def approx_column_profile(
     df: DataFrame, table_name: str, columns: Sequence[str] | None = None, rsd: float = 0.02
 ) -> DataFrame:
@@ -92,7 +96,7 @@ def approx_column_profile(
     fields = _fields(df, columns)
     aggregates = [F.count("*").alias("n_rows")]
     for i, field in enumerate(fields):
-        text = _text(field)
+        text = _text(field.dataType, F.col(f"`{field.name}`"))
         fixed = FIXED_WIDTHS.get(field.dataType.simpleString())
         width = F.octet_length(text) if fixed is None else F.when(text.isNotNull(), F.lit(fixed))
         short = F.when(F.octet_length(text) <= WIDE_BYTES, text)

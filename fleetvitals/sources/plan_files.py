@@ -16,7 +16,8 @@ def read_plan_files(spark: SparkSession, folder: str) -> DataFrame:
 
     A file is one short text, read whole so that its lines keep their numbers.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    files = (spark.read.format("text").option("wholetext", True)
+             .option("recursiveFileLookup", True).load(folder))
     path = F.col("_metadata.file_path")
     lines = files.select(
         F.regexp_extract(path, FILE_PATTERN, 1).try_cast("bigint").alias("instance_id"),
