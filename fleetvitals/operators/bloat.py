@@ -109,22 +109,23 @@ def dead_tuple_pct() -> Column:
     return F.when(live + dead > 0, rounded(share, 2)).otherwise(F.lit(0.0))
 
 
-def dead_tuple_band() -> Column:
+def dead_tuple_band(pct: Column) -> Column:
     return (
-        F.when(dead_tuple_pct() > DEAD_ALARMING_PCT, F.lit("alarming"))
-        .when(dead_tuple_pct() > DEAD_ELEVATED_PCT, F.lit("elevated"))
+        F.when(pct > DEAD_ALARMING_PCT, F.lit("alarming"))
+        .when(pct > DEAD_ELEVATED_PCT, F.lit("elevated"))
         .otherwise(F.lit("optimal"))
     )
 
 
 def dead_tuples(rel: DataFrame) -> DataFrame:
     """Share of dead rows of every table, with its advice band."""
-    return rel.select(
+    measured = rel.withColumn("dead_tuple_pct", dead_tuple_pct())
+    return measured.select(
         *scope_of(rel),
         F.col("schema_name").alias("schemaname"),
         F.col("relname").alias("table_name"),
         "n_live_tup",
         "n_dead_tup",
-        dead_tuple_pct().alias("dead_tuple_pct"),
-        dead_tuple_band().alias("band"),
+        "dead_tuple_pct",
+        dead_tuple_band(F.col("dead_tuple_pct")).alias("band"),
     )

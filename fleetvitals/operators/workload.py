@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to here a subset is drawn by one ordered limit, which each task applies itself.
-SMALL_SUBSET = 100_000
+# Up to here a subset is drawn by one ordered limit: each task sends so many rows to one.
+SMALL_SUBSET = 1000
 HASH_PREFIX = 4
 
 

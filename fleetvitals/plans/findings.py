@@ -121,9 +121,17 @@ def _no_metric() -> Column:
     return F.lit(None)
 
 
+def _measured_tables(rel: DataFrame) -> DataFrame:
+    """Tables with the measures several cards and fields share, computed once per row."""
+    return rel.withColumns({
+        "divergence_ratio": indexes.divergence_ratio(),
+        "dead_tuple_pct": bloat.dead_tuple_pct(),
+        "table_name": text(F.col("schema_name"), ".", F.col("relname")),
+    })
+
+
 def _table_cards(partition_mode: str) -> list[Card]:
-    table = text(F.col("schema_name"), ".", F.col("relname"))
-    dead = bloat.dead_tuple_pct()
+    table, dead, ratio = F.col("table_name"), F.col("dead_tuple_pct"), F.col("divergence_ratio")
 
     def by_dead(alarming: str, elevated: str, other: str) -> Column:
         return (F.when(dead > bloat.DEAD_ALARMING_PCT, F.lit(alarming))
@@ -131,14 +139,15 @@ def _table_cards(partition_mode: str) -> list[Card]:
 
     return [
         Card(
-            "obsolete_stats", "Stale planner statistics", indexes.stale_severity, table,
+            "obsolete_stats", "Stale planner statistics",
+            lambda: indexes.stale_severity(ratio), table,
             lambda: text(
                 "Table ", table, ": the planner expects ", grouped(F.col("reltuples")),
                 " rows, the collector counts ", grouped(F.col("n_live_tup")), ", ",
-                fixed(F.coalesce(indexes.divergence_ratio(), F.lit(0.0)), 1), " times apart."),
+                fixed(F.coalesce(ratio, F.lit(0.0)), 1), " times apart."),
             "Refresh the statistics; raise the column targets if the gap returns.",
             lambda: text("ANALYZE ", table, ";"),
-            indexes.divergence_ratio, indexes.has_stale_statistics,
+            lambda: ratio, lambda: indexes.has_stale_statistics(ratio),
         ),
         Card(
             "disabled_autovacuum", "Autovacuum disabled on a table", "HIGH", _col("relname"),
@@ -152,7 +161,7 @@ def _table_cards(partition_mode: str) -> list[Card]:
             "dead_tuples", "Dead rows", lambda: by_dead("HIGH", "MEDIUM", "OK"), table,
             lambda: text("Table ", table, " holds ", fixed(dead), "% dead rows (",
                          grouped(F.col("n_dead_tup")), ")."),
-            lambda: text("State: ", bloat.dead_tuple_band()),
+            lambda: text("State: ", bloat.dead_tuple_band(dead)),
             lambda: text(by_dead("VACUUM FULL ANALYZE ", "VACUUM ANALYZE ", "VACUUM ANALYZE "),
                          table, ";"),
             lambda: dead,
@@ -460,7 +469,7 @@ def all_findings(
             parts.append(emit(df, cards, columns, counted_only))
 
     if "rel" in relations:
-        add(relations["rel"], _table_cards(partition_mode))
+        add(_measured_tables(relations["rel"]), _table_cards(partition_mode))
     if "table_bloat" in names:
         add(bloat.table_bloat(relations["col"], relations["rel"]), [_bloat_card()])
     if "missing_partial" in names:

@@ -224,3 +224,29 @@ def test_captures_are_audited_apart(spark, shop):
     rows = report.fleet_scores({n: twice(df) for n, df in shop.items()}).collect()
     assert len(rows) == 2
     assert {(r.total_findings, r.penalty) for r in rows} == {(once.total_findings, once.penalty)}
+
+
+def test_audit_job_equals_the_lazy_report(spark, shop, tmp_path):
+    from fleetvitals.plans.audit import run_audit
+
+    relations = {n: df for n, df in shop.items() if n != "stmt"}
+    stored = run_audit(spark, relations, str(tmp_path))
+    lazy, job = report.fleet_scores(shop).first(), stored["scores"].first()
+    assert job.asDict() == lazy.asDict()
+    assert stored["findings"].count() == findings.all_findings(shop).count()
+    assert stored["status"].count() == 25
+    assert stored["documents"].count() == 1
+
+
+def test_one_instance_with_most_findings(spark):
+    """A hot instance changes nothing but the number of its rows."""
+    hot = [dict(relid=n, relname=f"t{n}", reloptions="autovacuum_enabled=false")
+           for n in range(400)]
+    cold = [dict(instance_id=i, relid=i, relname="t") for i in range(2, 30)]
+    relations = {
+        "rel": make(spark, "rel", *hot, *cold),
+        "setting": make(spark, "setting", *[dict(instance_id=i) for i in range(1, 30)]),
+    }
+    scores = {r.instance_id: r for r in report.fleet_scores(relations).collect()}
+    assert (scores[1].total_findings, scores[1].penalty, scores[1].health_score) == (400, 4000, 0)
+    assert all(scores[i].health_score == 100 for i in range(2, 30))
