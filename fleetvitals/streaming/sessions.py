@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.clock import as_instant
 from ..operators.health import MEDIUM_SECONDS, OPEN_STATES
 
 DELAY = "10 minutes"
@@ -74,7 +75,7 @@ def stream_long_sessions(
     if user is not None:
         sess = sess.where(F.col("usename") == user)
     timed = (
-        sess.withColumn("ts", F.col("state_change").cast("timestamp"))
+        sess.withColumn("ts", as_instant(sess, "state_change"))
         .withColumn("change_us", F.unix_micros("ts"))
         .select(*[F.col(k).cast("long").alias(k) for k in KEYS], "state", "change_us", "ts")
         .withWatermark("ts", delay)
@@ -92,7 +93,7 @@ def batch_long_sessions(
     if user is not None:
         sess = sess.where(F.col("usename") == user)
     order = Window.partitionBy(*KEYS).orderBy("change_us", "state")
-    stays = sess.withColumn("change_us", F.unix_micros(F.col("state_change").cast("timestamp")))
+    stays = sess.withColumn("change_us", F.unix_micros(as_instant(sess, "state_change")))
     stays = stays.withColumn("next_us", F.lead("change_us").over(order))
     end = F.least(F.coalesce("next_us", F.lit(until_us)), F.lit(until_us))
     long = F.col("state").isin(*OPEN_STATES) & (end - F.col("change_us") > limit_seconds * 1_000_000)

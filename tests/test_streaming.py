@@ -48,7 +48,7 @@ def test_rollup_equals_batch_for_closed_windows(spark, tmp_path):
     for frame in frames[1:]:
         everything = everything.unionByName(frame)
     batch = rollup.batch_statement_rollup(everything)
-    closed = batch.where(F.col("window_end") <= F.lit(START + timedelta(hours=72)))
+    closed = batch.where(F.col("window_end") <= F.lit(START + timedelta(hours=72)).cast("timestamp_ntz"))
     names = ("window_start", "query", "calls", "total_exec_time", "rows_out")
     assert rows(streamed, *names) == rows(closed, *names)
     assert sum(r.calls for r in streamed.collect()) == 9
@@ -104,3 +104,19 @@ def test_other_users_are_not_followed(spark, tmp_path):
     write_files(frames, folder)
     stream = sessions.stream_long_sessions(stream_of(spark, folder, frames[0].schema), "app")
     assert run_available(stream, "test-users").count() == 0
+
+
+def test_windows_do_not_depend_on_the_session_zone(spark, tmp_path):
+    folder = str(tmp_path)
+    frames = [make(spark, "exec", *[dict(ts=START + timedelta(hours=h)) for h in (0, 23, 24, 60)])]
+    write_files(frames, folder)
+    spark.conf.set("spark.sql.session.timeZone", "America/Mexico_City")
+    try:
+        stream = rollup.stream_statement_rollup(stream_of(spark, folder, frames[0].schema))
+        streamed = run_available(stream, "test-zone").collect()
+        batch = rollup.batch_statement_rollup(frames[0]).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted((r.window_start, r.calls) for r in streamed) == [
+        (START, 2), (START + timedelta(days=1), 1)]
+    assert len(batch) == 3 and {r.window_start for r in streamed} < {r.window_start for r in batch}
