@@ -14,6 +14,7 @@ from fleetvitals.operators import (
     bloat, config, health, indexes, plans, profile, retention, rollup, statements, workload,
 )
 from fleetvitals.plans import findings, report
+from fleetvitals.session import stored
 from fleetvitals.sources.fixture_views import (
     SEARCH_TERMS, SUBSET_SEED, FixtureTelemetry, table,
 )
@@ -117,7 +118,8 @@ def _category_counts(relations: dict[str, DataFrame]) -> DataFrame:
 
 
 def _nested(relations: dict[str, DataFrame]) -> DataFrame:
-    return report.nested_report(findings.all_findings(relations), report.instance_rows(relations))
+    found = stored(findings.all_findings(relations), "findings")
+    return report.nested_report(found, report.instance_rows(relations))
 
 
 def _subset(orders: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the plans of this package rely on; every one can be set by the cluster.
 PLAN_SETTINGS = {
@@ -49,3 +50,13 @@ def shared_folder(spark: SparkSession) -> str:
         folder = os.path.join(tempfile.gettempdir(), "fleetvitals-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that is read more than once to the shared folder, and read it back.
+
+    It cuts the plan as a checkpoint does, and keeps columns prunable.
+    """
+    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
