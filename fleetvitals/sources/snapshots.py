@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import RELATIONS, conform
 
@@ -72,17 +73,17 @@ FROM pg_stat_statements GROUP BY query""",
 
 def read_relation(
     spark: SparkSession, relation: str, path: str, fmt: str = "parquet",
-    captured_at: Column | None = None, **options: str,
+    captured_at: Column | None = None, schema: StructType | None = None, **options: str,
 ) -> DataFrame:
     """One relation from files, checked against its schema.
 
-    Formats without a schema of their own (json, csv) are read with the
-    relation's. Snapshots written by `write_snapshot` are partitioned by
+    Formats without a schema of their own (json, csv) are read with `schema`, by
+    default the relation's own columns. Snapshots written by `write_snapshot` are partitioned by
     capture, so a condition on captured_at prunes folders.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt in ("json", "csv"):
-        reader = reader.schema(RELATIONS[relation])
+        reader = reader.schema(schema or RELATIONS[relation])
     df = reader.load(path)
     if captured_at is not None:
         df = df.where(captured_at)
