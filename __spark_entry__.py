@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -167,8 +168,27 @@ def _daily(log: DataFrame) -> DataFrame:
         {n: F.col(n).cast("date") for n in ("window_start", "window_end")})
 
 
+def _corpus_modules() -> list:
+    """The text corpus queries, where their subpackage is there."""
+    names = ("fleetvitals.llm.queries", "corpus_pipeline")
+    try:
+        return [importlib.import_module(name) for name in names]
+    except ModuleNotFoundError as missing:
+        if missing.name not in (*names, "fleetvitals.llm"):
+            raise
+        return []
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator; each takes (spark, folder of tables)."""
+    found = audit_queries()
+    for module in _corpus_modules():
+        found |= module.queries()
+    return found
+
+
+def audit_queries() -> dict[str, Query]:
+    """The queries on database telemetry."""
     statement_plan = ("stmt", "ext", "plan", "exec")
     by_time = _desc("total_time_ms", "instance_id", "query_sample")
     by_exec = _desc("total_exec_time", "instance_id", "query_sample")
@@ -275,4 +295,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The same queries as SQL; rows-only queries have no entry."""
-    return oracle_texts.all_texts()
+    found = oracle_texts.all_texts()
+    for module in _corpus_modules():
+        found |= module.oracle_sql()
+    return found

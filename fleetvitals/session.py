@@ -55,8 +55,17 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result that is read more than once to the shared folder, and read it back.
 
-    It cuts the plan as a checkpoint does, and keeps columns prunable.
+    It cuts the plan as a checkpoint does, and keeps columns prunable. The folder
+    goes when the driver ends.
     """
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver ends."""
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import shared_folder
+from ..session import new_folder
 
 
 def file_stream(
@@ -28,7 +25,7 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     Both lie in the shared folder of the session, so any executor can take over.
     """
     spark = stream.sparkSession
-    base = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    base = new_folder(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")

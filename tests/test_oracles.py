@@ -20,13 +20,13 @@ def db(small):
 
 
 def test_which_queries_have_no_sql():
-    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == ROWS_ONLY
+    assert set(spark_entry.audit_queries()) - set(spark_entry.oracle_sql()) == ROWS_ONLY
     assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(spark_entry.queries()) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(spark_entry.audit_queries()) - ROWS_ONLY))
 def test_query(spark, small, db, name):
-    df = spark_entry.queries()[name](spark, small)
+    df = spark_entry.audit_queries()[name](spark, small)
     result = db.execute(spark_entry.oracle_sql()[name])
     names = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(names)

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as spark_entry
 
 STREAMED = ("t01", "t02")
-ALL = [n for n in spark_entry.queries() if not n.startswith(STREAMED)]
+ALL = [n for n in spark_entry.audit_queries() if not n.startswith(STREAMED)]
 
 
 @pytest.fixture
