@@ -58,14 +58,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     It cuts the plan as a checkpoint does, and keeps columns prunable. The folder
     goes when the driver ends.
     """
-    path = new_folder(df.sparkSession, name)
+    path = os.path.join(new_folder(df.sparkSession, name), "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, removed when the driver ends."""
+    """A new folder of its own in the shared folder, removed when the driver ends."""
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
     return path
