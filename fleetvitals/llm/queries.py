@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetvitals.session import stored
+from fleetvitals.session import new_folder, stored
 
-from . import chat, decontaminate, minhash, shards, topk, urls
+from . import (
+    bpe, chat, decontaminate, langid, minhash, shards, token_store, topk, toxicity, urls,
+)
+from .text import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
              ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+TOKENIZERS = "/opt/tokenizers"
+END_ID = 2
 MARKED = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -42,6 +47,13 @@ def contamination(spark: SparkSession, folder: str) -> DataFrame:
         (hits > 0).alias("contaminated"))
 
 
+def token_ids(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    store = new_folder(spark, "tokens")
+    token_store.write_store(
+        table(spark, folder, "documents"), store, f"{tokenizers}/word_bpe_49k.json", END_ID)
+    return token_store.read_store(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.sql(f"""
@@ -75,14 +87,36 @@ def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
         F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def toxic_texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = stored(toxicity.fit(docs, table(spark, folder, "labels")), "toxic-weights")
+    held = F.coalesce(fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False))
+    return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def bpe_round_trip(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return bpe.round_trips(table(spark, folder, "documents"), f"{tokenizers}/byte_bpe_50k.json")
+
+
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(fold(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT, F.lit(False))
+    return langid.judged(docs, langid.fit(docs)).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_forest": near_dedup,
         "op2_impact_topk": vector_search,
         "op3_aho_corasick": contamination,
+        "op4_token_store": token_ids,
         "op5_reply_trees": chat_format,
         "op6_url_ratio": url_filter,
         "op7_virtual_slots": virtual_slots,
+        "op8_ftrl_toxicity": toxic_texts,
+        "op9_chunked_bpe": bpe_round_trip,
+        "op10_ppm_language": language,
     }
 
 
