@@ -30,12 +30,12 @@ BIAS = 1 << BITS
 class Rates:
     """FTRL-proximal parameters; `positive` is the weight of a text labelled 1."""
 
-    alpha: float = 0.1
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 15.0
     l2: float = 0.1
-    epochs: int = 4
-    positive: float = 2.0
+    epochs: int = 3
+    positive: float = 4.0
 
 
 def features(text: bytes | None) -> np.ndarray:
