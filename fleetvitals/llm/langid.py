@@ -109,6 +109,8 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS)
 
 def _tables(counts) -> Model:
     """The automaton and code lengths from counts by order, context, byte and language."""
+    if not len(counts):
+        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     langs = sorted(counts["lang"].unique())
     bytes_seen = np.sort(counts["byte"].unique()).astype(int)
     symbol = np.full(256, len(bytes_seen) + 1, np.int32)

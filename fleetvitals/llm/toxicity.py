@@ -76,7 +76,10 @@ def sigmoid(x: float) -> float:
 
 def _fitted(rates: Rates):
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["draw", "label"])
+        found = [part for part in parts if len(part)]
+        if not found:
+            return
+        rows = pd.concat(found, ignore_index=True).sort_values(["draw", "label"])
         learner = Ftrl(rates)
         texts = [np.append(np.frombuffer(x, "<i4").astype(np.int64), BIAS) for x in rows["places"]]
         labels = rows["label"].tolist()

@@ -99,11 +99,11 @@ def _smoothed(c: str) -> Column:
     return F.when(total > 0, (seen + kinds * lower) / (total + kinds)).otherwise(lower)
 
 
-def threshold(scored: DataFrame) -> float | None:
+def threshold(scored: DataFrame) -> float:
     """The score from which on a URL is accepted: least balanced error on unseen URLs.
 
     `scored` has score, accepted and rejected. At most 401 counts come to the driver.
-    None where a class is missing.
+    0 where these lack a class.
     """
     bucket = F.floor(F.least(F.greatest("score", F.lit(-BUCKETS / 2 * BUCKET)),
                              F.lit(BUCKETS / 2 * BUCKET)) / BUCKET)
@@ -111,7 +111,7 @@ def threshold(scored: DataFrame) -> float | None:
         F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).orderBy("bucket").collect()
     all_a, all_r = sum(x.a for x in counts), sum(x.r for x in counts)
     if not all_a or not all_r:
-        return None
+        return 0.0
     edges, lost, kept = [], 0, all_r
     for x in counts:
         edges.append((lost / all_a + kept / all_r, x.bucket))
@@ -147,8 +147,10 @@ def judged(pages: DataFrame, rules: list[Rule], id_col: str = "page_id",
     levels = model(decided.where(~unseen))
     wanted = counted.where(unseen & F.expr("accepted + rejected > 0") | (F.col("open") > 0))
     scored = stored(scores(wanted, levels), "scores")
-    limit = threshold(decided.where(unseen).join(scored, "string"))
-    passes = F.lit(True) if limit is None else F.coalesce(F.col("score") >= limit, F.lit(True))
+    classes = decided.agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).first()
+    passes = F.lit(True)
+    if classes.a and classes.r:
+        passes = F.col("score") >= threshold(decided.where(unseen).join(scored, "string"))
     verdict = F.coalesce("fit.verdict", F.when(passes, "allow").otherwise("block"))
     return parts.join(scored, "string", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"),
