@@ -39,7 +39,7 @@ STEP = LANES // ORDERS
 MIN_DEPTH = 3
 KEY_LANES = 8
 WIDTH = 3
-BLOCK = 1024
+BLOCK = 512
 COLUMNS_AT_ONCE = 1 << 15
 # Standard deviations of an estimate over 60 lanes that a pair may lie under the threshold.
 SLACK = 4.0
@@ -253,18 +253,21 @@ def open_regions(forest: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(wide, list(region))
 
 
-def region_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of an open region in different components that the signatures leave possible.
+def region_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside open regions, between different components.
 
-    Every member outside the largest component meets every member of the region: the
-    region is cut into blocks by hash, and a task compares one block with another.
+    Every member outside the largest component meets every member of the region on the
+    full sets: the region is cut into blocks by hash, and a task counts what the sets of
+    one block share with those of another by an index of the other's shingles. A pair
+    that shares several regions is compared in the first; of several links between
+    one member and one component one is given.
     """
-    members = members.join(classes.select("node", "sig", "n_shingles"), "node").withColumn(
+    members = members.join(texts, "node").withColumn(
         "block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     key = ["tree", "prefix", "left", "right"]
-    rows = ["node", "label", "sig", "n_shingles"]
-    left = members.where("label <> major").withColumn("right", spread).select(
+    rows = ["node", "label", "sig", "text"]
+    left = members.where(F.col("label") != F.col("major")).withColumn("right", spread).select(
         "tree", "prefix", F.col("block").alias("left"), "right", *rows, F.lit(0).alias("side"))
     lefts = left.select("tree", "prefix", "left").distinct()
     right = (members.join(lefts, ["tree", "prefix"]).select(
@@ -272,19 +275,35 @@ def region_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFr
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         one, two = part[part["side"] == 0], part[part["side"] == 1]
-        found = []
+        found: list[tuple[int, int]] = []
         if len(one) and len(two):
-            other, n, label, node = (_lanes(two["sig"].tolist()), two["n_shingles"].to_numpy(),
-                                     two["label"].to_numpy(), two["node"].to_numpy())
-            for own, lanes in zip(one.itertuples(), _lanes(one["sig"].tolist()), strict=True):
-                near = (other == lanes).sum(axis=1) >= least_lanes(percent)
-                near &= label != own.label
-                near &= 100 * np.minimum(n, own.n_shingles) >= percent * np.maximum(n, own.n_shingles)
-                found += [(min(own.node, x), max(own.node, x)) for x in node[near].tolist()]
+            found = _block_links(one, two, int(part["tree"].iloc[0]), percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    pairs = left.unionByName(right).groupBy(*key).applyInPandas(compare, "a long, b long")
-    return pairs.distinct()
+    return left.unionByName(right).groupBy(*key).applyInPandas(compare, "a long, b long").distinct()
+
+
+def _block_links(one: pd.DataFrame, two: pd.DataFrame, tree: int, percent: int) -> list:
+    sets = [shingle_set(t.encode()) for t in two["text"]]
+    sizes = np.array([len(x) for x in sets])
+    shingles = np.concatenate(sets)
+    order = np.argsort(shingles)
+    shingles, owner = shingles[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    lanes, node, label = _lanes(two["sig"].tolist()), two["node"].to_numpy(), two["label"].to_numpy()
+    found = []
+    for own, mine in zip(one.itertuples(), _lanes(one["sig"].tolist()), strict=True):
+        own_set = shingle_set(own.text.encode())
+        first, last = (np.searchsorted(shingles, own_set, side) for side in ("left", "right"))
+        count = last - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = 100 * both >= percent * (len(own_set) + sizes - both)
+        near &= label != own.label
+        together = (lanes == mine).reshape(len(sets), ORDERS, STEP).all(axis=2)
+        near &= together.argmax(axis=1) == tree
+        for other in {label[i]: node[i] for i in np.flatnonzero(near)}.values():
+            found.append((min(own.node, int(other)), max(own.node, int(other))))
+    return found
 
 
 def near_duplicates(
@@ -337,13 +356,12 @@ def _class_labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
     links = stored(links.unionByName(confirmed(rest, texts, percent)), "links")
     labels = stored(components(links), "labels")
 
-    members = open_regions(forest, labels)
-    more = stored(region_pairs(members, classes, percent), "region-pairs")
+    # Whoever shares three lanes with another is a candidate, so `texts` has all members.
+    members = open_regions(forest, labels).join(classes.select("node", "sig"), "node")
+    more = stored(region_links(members, texts, percent), "region-links")
     if more.isEmpty():
         return labels
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(more, _texts_of(more, docs), percent))
-    return components(stored(links, "links"))
+    return components(stored(links.unionByName(more), "links"))
 
 
 def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
