@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to here a subset is drawn by one ordered limit: each task sends so many rows to one.
-SMALL_SUBSET = 1000
-HASH_PREFIX = 4
 
 
 def count_by_key(df: DataFrame, key: str, values: Sequence | None = None) -> DataFrame:
@@ -76,49 +73,48 @@ def expand_rows(df: DataFrame, times: Column, name: str = "n") -> DataFrame:
     return df.select("*", F.explode(numbers).alias(name))
 
 
-def random_subset(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
+def random_subset(
+    df: DataFrame, n: int, key: Sequence[str], seed: int = 0, prefix_digits: int = 4
+) -> DataFrame:
     """n rows in an order given by a hash of seed and key: repeatable, not a range.
 
-    A small n is one ordered limit. A larger one never meets in one task: rows
-    are counted by hash prefix, prefixes below the cut are taken whole, and only
-    the rows of the prefix that holds the cut are put in order.
+    Rows are counted by the first digits of their hash; prefixes below the cut are taken
+    whole, and only the rows of the one prefix that holds the cut are put in order. So
+    no task sees more than a prefix's share of the rows, 1 in 16 ** prefix_digits.
     """
     text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])
-    hashed = df.withColumn("_hash", F.md5(text))
-    order = [F.col("_hash"), *[F.col(k) for k in key]]
-    if n <= SMALL_SUBSET:
-        return hashed.orderBy(*order).limit(n).drop("_hash")
-    return _large_subset(hashed, n, order).drop("_hash")
-
-
-def _large_subset(hashed: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    prefix = F.substring("_hash", 1, HASH_PREFIX)
-    # 16 ** HASH_PREFIX rows at most.
-    counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("rows")).collect()
-    before, cut = 0, None
-    for row in sorted(counts, key=lambda r: r["prefix"]):
-        if before + row["rows"] > n:
-            cut = row["prefix"]
-            break
-        before += row["rows"]
-    if cut is None:
-        return hashed
-    whole = hashed.where(prefix < cut)
-    edge = hashed.where(prefix == cut).orderBy(*order).limit(n - before)
-    return whole.unionByName(edge)
-
-
-def merge_json(
-    text: Column, additions: Mapping[str, Column], value_type: str = "bigint"
-) -> Column:
-    """A JSON object with keys added; an added key replaces one of the same name."""
+    hashed = df.withColumn("_hash", F.md5(text)).withColumn(
+        "_prefix", F.substring("_hash", 1, prefix_digits))
+    counts = hashed.groupBy("_prefix").agg(F.count("*").alias("_rows")).withColumn(
+        "_head", F.substring("_prefix", 1, prefix_digits // 2))
+    # Rows before a prefix: those of smaller first digits, then those beside it.
+    before = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.groupBy("_head").agg(F.sum("_rows").alias("_sum")).select("_head", F.coalesce(
+        F.sum("_sum").over(before(Window.orderBy("_head"))), F.lit(0)).alias("_base"))
+    beside = F.coalesce(F.sum("_rows").over(
+        before(Window.partitionBy("_head").orderBy("_prefix"))), F.lit(0))
+    room = counts.join(heads, "_head").select(
+        "_prefix", "_rows", (F.lit(n) - F.col("_base") - beside).alias("_room"))
+    near = hashed.join(room.where("_room > 0"), "_prefix")
+    order = Window.partitionBy("_prefix").orderBy("_hash", *key)
+    edge = near.where("_room < _rows").withColumn("_rank", F.row_number().over(order)).where(
+        "_rank <= _room").drop("_rank")
+    whole = near.where("_room >= _rows")
+    return whole.unionByName(edge).drop("_hash", "_prefix", "_rows", "_room")
+
+
+def merge_json(text: Column, additions: Mapping[str, Column]) -> Column:
+    """A JSON object with keys added; an added key replaces one of the same name.
+
+    Values of any kind stay as they are: strings, numbers, nested values and nulls. Null
+    for a null text and for one that is no JSON object.
+    """
     names = list(additions)
-    old = F.from_json(text, f"map<string,{value_type}>")
+    old = F.from_json(F.when(F.try_parse_json(text).isNotNull(), text), "map<string,variant>")
     kept = F.map_filter(old, lambda key, _: ~key.isin(*names))
     added = F.create_map(*[part for name in names
-                           for part in (F.lit(name), additions[name].cast(value_type))])
-    return F.to_json(F.map_concat(F.coalesce(kept, F.create_map().cast(f"map<string,{value_type}>")),
-                                  added))
+                           for part in (F.lit(name), additions[name].cast("variant"))])
+    return F.to_json(F.map_concat(kept, added))
 
 
 def pick(values: Sequence[str], position: Column) -> Column:
