@@ -15,47 +15,51 @@ from ..operators.health import MEDIUM_SECONDS, OPEN_STATES
 DELAY = "10 minutes"
 KEYS = ("instance_id", "pid")
 OUTPUT = "instance_id long, session_pid long, session_state string, since_us long"
-# The state last entered, since when, whether it was reported, and the changes
-# the watermark has not passed yet.
-STATE = "state string, since_us long, reported boolean, later_us array<long>, later array<string>"
+# The state last entered, since when, whether nothing of it is left to report, and the
+# changes the watermark has not passed yet.
+STATE = ("state string, since_us long, settled boolean, later_us array<long>, "
+         "later array<string>, later_users array<string>")
 
 
-def _follow(limit_us: int):
+def _follow(limit_us: int, user: str | None):
     def follow(
         key: tuple, changes: Iterator[pd.DataFrame], kept: GroupState
     ) -> Iterator[pd.DataFrame]:
         """Take a session's changes in time order, as far as the watermark has come."""
-        state, since, reported, later = None, None, True, []
+        state, since, settled, later = None, None, True, []
         if kept.exists:
-            state, since, reported, later_us, later_states = kept.get
-            later = list(zip(later_us, later_states, strict=True))
+            state, since, settled, *waiting = kept.get
+            later = list(zip(*waiting, strict=True))
         if not kept.hasTimedOut:
             for frame in changes:
-                later += zip(frame["change_us"].tolist(), frame["state"].tolist(), strict=True)
+                columns = (frame[c].tolist() for c in ("change_us", "state", "usename"))
+                later += zip(*columns, strict=True)
         mark_us = kept.getCurrentWatermarkMs() * 1000
-        later.sort()
+        later.sort(key=lambda change: tuple((v is not None, v) for v in change))
         found = []
 
         def check(until_us: int) -> None:
-            nonlocal reported
-            if not reported and until_us - since > limit_us:
+            nonlocal settled
+            if not settled and until_us - since > limit_us:
                 found.append((*key, state, since))
-                reported = True
+                settled = True
 
         while later and later[0][0] <= mark_us:
-            at, entered = later.pop(0)
+            at, entered, by = later.pop(0)
             if since is not None:
                 check(at)
-            state, since, reported = entered, at, entered not in OPEN_STATES
+            wanted = entered in OPEN_STATES and (user is None or by == user)
+            state, since, settled = entered, at, not wanted
         if since is not None:
             check(mark_us)
         wake = [later[0][0]] if later else []
-        if not reported:
+        if not settled:
             wake.append(since + limit_us)
-        kept.update((state, since, reported, [t for t, _ in later], [s for _, s in later]))
+        kept.update((state, since, settled, *[[c[i] for c in later] for i in range(3)]))
         if wake:
             kept.setTimeoutTimestamp(max(min(wake) // 1000, kept.getCurrentWatermarkMs()) + 1)
-        elif state is not None and state not in OPEN_STATES:
+        else:
+            # Whatever comes next starts a new stay: nothing of this one is needed.
             kept.remove()
         columns = [c.split()[0] for c in OUTPUT.split(", ")]
         yield pd.DataFrame(found, columns=columns)
@@ -68,20 +72,19 @@ def stream_long_sessions(
 ) -> DataFrame:
     """A row for every stay in an open state beyond the limit, as soon as the watermark shows it.
 
-    Changes may arrive in any order within `delay`: each waits in the state of
-    its session until the watermark passes it. The state of a session that
-    closed is dropped.
+    All changes of a pid are followed, as another user may take it over; `user` says
+    whose stays are reported (None: everyone's). Changes may arrive in any order within
+    `delay`: each waits in the state of its session until the watermark passes it. A
+    session has state only while a change waits or a stay may still have to be reported.
     """
-    if user is not None:
-        sess = sess.where(F.col("usename") == user)
     timed = (
         sess.withColumn("ts", as_instant(sess, "state_change"))
         .withColumn("change_us", F.unix_micros("ts"))
-        .select(*[F.col(k).cast("long").alias(k) for k in KEYS], "state", "change_us", "ts")
+        .select(*[F.col(k).cast("long").alias(k) for k in KEYS], "state", "usename", "change_us", "ts")
         .withWatermark("ts", delay)
     )
     return timed.groupBy(*KEYS).applyInPandasWithState(
-        _follow(limit_seconds * 1_000_000), OUTPUT, STATE, "append",
+        _follow(limit_seconds * 1_000_000, user), OUTPUT, STATE, "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
@@ -90,13 +93,13 @@ def batch_long_sessions(
     sess: DataFrame, user: str | None, until_us: int, limit_seconds: int = MEDIUM_SECONDS
 ) -> DataFrame:
     """The same stays from a complete log of changes, judged at one moment."""
-    if user is not None:
-        sess = sess.where(F.col("usename") == user)
-    order = Window.partitionBy(*KEYS).orderBy("change_us", "state")
+    order = Window.partitionBy(*KEYS).orderBy("change_us", "state", "usename")
     stays = sess.withColumn("change_us", F.unix_micros(as_instant(sess, "state_change")))
     stays = stays.withColumn("next_us", F.lead("change_us").over(order))
     end = F.least(F.coalesce("next_us", F.lit(until_us)), F.lit(until_us))
     long = F.col("state").isin(*OPEN_STATES) & (end - F.col("change_us") > limit_seconds * 1_000_000)
+    if user is not None:
+        long = long & (F.col("usename") == user)
     return stays.where(long).select(
         "instance_id", F.col("pid").alias("session_pid"), F.col("state").alias("session_state"),
         F.col("change_us").alias("since_us"),

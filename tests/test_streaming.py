@@ -106,6 +106,21 @@ def test_other_users_are_not_followed(spark, tmp_path):
     assert run_available(stream, "test-users").count() == 0
 
 
+def test_a_pid_taken_over_by_another_user_is_a_stay_of_its_own(spark, tmp_path):
+    folder = str(tmp_path)
+    frames = [make(spark, "sess", dict(state="active", state_change=START),
+                   dict(state="active", usename="other", state_change=START + timedelta(seconds=10)),
+                   dict(pid=2, usename="other", state_change=START + timedelta(hours=1)))]
+    write_files(frames, folder)
+    until = int((START - datetime(1970, 1, 1)).total_seconds() + 3000) * 1_000_000
+    for user, stays in (("app", []), ("other", [START + timedelta(seconds=10)])):
+        stream = sessions.stream_long_sessions(stream_of(spark, folder, frames[0].schema), user)
+        got = run_available(stream, "test-reuse").collect()
+        batch = sessions.batch_long_sessions(frames[0], user, until).collect()
+        wanted = [int((s - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for s in stays]
+        assert [r.since_us for r in got] == [r.since_us for r in batch] == wanted
+
+
 def test_windows_do_not_depend_on_the_session_zone(spark, tmp_path):
     folder = str(tmp_path)
     frames = [make(spark, "exec", *[dict(ts=START + timedelta(hours=h)) for h in (0, 23, 24, 60)])]
