@@ -97,29 +97,31 @@ def _sizes(rel: DataFrame) -> DataFrame:
 
 def _findings(*columns: str) -> Query:
     def build(relations: dict[str, DataFrame]) -> DataFrame:
-        found = findings.all_findings(relations, columns=columns)
+        found = findings.all_findings(relations, columns=columns, session_user="app")
         return found.select("instance_id", *columns)
 
     return _on_all(build)
 
 
 def _scores(*columns: str) -> Query:
-    return _on_all(lambda r: report.fleet_scores(r).select("instance_id", *columns))
+    return _on_all(lambda r: report.fleet_scores(r, session_user="app").select(
+        "instance_id", *columns))
 
 
 def _severities(relations: dict[str, DataFrame]) -> DataFrame:
-    found = findings.all_findings(relations, columns=("detector", "severity"))
+    found = findings.all_findings(relations, columns=("detector", "severity"), session_user="app")
     level = report.severity_level(F.col("severity")).alias("severity_level")
     return found.groupBy("instance_id", level).agg(F.count("*").alias("findings"))
 
 
 def _category_counts(relations: dict[str, DataFrame]) -> DataFrame:
     return report.category_counts(
-        findings.all_findings(relations, columns=("category", "detector", "metric")))
+        findings.all_findings(relations, columns=("category", "detector", "metric"),
+                              session_user="app"))
 
 
 def _nested(relations: dict[str, DataFrame]) -> DataFrame:
-    found = stored(findings.all_findings(relations), "findings")
+    found = stored(findings.all_findings(relations, session_user="app"), "findings")
     return report.nested_report(found, report.instance_rows(relations))
 
 
@@ -137,6 +139,16 @@ def _merged(events: DataFrame) -> DataFrame:
     return events.select("event_id", merged.alias("merged"))
 
 
+def _merged_customers(customer: DataFrame) -> DataFrame:
+    """Objects with strings, nested values, decimals and nulls; every seventh is cut off."""
+    key = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit('{"page":"/p/'), key, F.lit('","old":{"a":['), key,
+                    F.lit(',"x",null]},"ratio":'), key, F.lit('.25,"iteration":7,"none":null'),
+                    F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.lit("}")))
+    merged = workload.merge_json(text, {"iteration": F.col("c_custkey") % 5})
+    return customer.select("c_custkey", merged.alias("merged"))
+
+
 def _sorted_orders(orders: DataFrame) -> DataFrame:
     return workload.full_sort(
         orders.select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date")
@@ -196,11 +208,12 @@ def audit_queries() -> dict[str, Query]:
         "d01_missing_partial": _on(
             indexes.missing_partial_indexes, "col", "rel", "idx",
             order=_desc("percent_occurrence", "instance_id", "table_name", "column_name")),
-        "d02_fk_without_index": _on(indexes.foreign_keys_without_index, "fk", "idx", "rel"),
+        "d02_fk_without_index": _on(indexes.foreign_keys_without_index, "fk", "idx", "rel", "col"),
         "d03_fk_index_coverage": _on(
-            indexes.foreign_key_coverage, "fk", "idx", "rel",
+            indexes.foreign_key_coverage, "fk", "idx", "rel", "col",
             order=("has_index", "table_name", "constraint_name")),
-        "d04_duplicate_indexes": _on(indexes.duplicate_indexes, "idx", "rel"),
+        "d04_duplicate_indexes": _on(
+            lambda *r: indexes.duplicate_indexes(*r).drop("names"), "idx", "rel", "col"),
         "d05_duplicate_strict": _on(indexes.duplicate_indexes_strict, "idx", "rel"),
         "d06_unused_indexes": _on(
             indexes.unused_indexes, "idx", "rel",
@@ -248,6 +261,9 @@ def audit_queries() -> dict[str, Query]:
             lineitem=None, orders=None, customer=None, labels=None, documents=None),
         "p01_column_profile_approx": _on_tables(
             lambda t: profile.approx_column_profile(t, "lineitem"), "lineitem"),
+        "p01_approx_exact_fields": _on_tables(
+            lambda t: profile.approx_column_profile(t, "orders").select(
+                "column_name", "n_rows", "null_frac", "avg_width"), "orders"),
         "p02_statement_rollup": _on(
             lambda log: _as_double(rollup.statement_rollup(log), "total_exec_time"), "exec"),
         "p02_statement_rollup_all_literals": _on(
@@ -262,7 +278,8 @@ def audit_queries() -> dict[str, Query]:
         "r06_health_score": _scores("penalty", "health_score"),
         "r07_score_label": _scores("health_score", "label"),
         "r08_severity_map": _on_all(_severities),
-        "r09_detector_status": _on_all(report.audit_status),
+        "r09_detector_status": _on_all(
+            lambda r: report.audit_status(r, session_user="app")),
         "r10_report_json": _on_all(_nested),
         "w01_count_by_key": _on_tables(lambda t: workload.count_by_key(t, "o_custkey"), "orders"),
         "w02_filtered_count": _on_tables(
@@ -286,6 +303,7 @@ def audit_queries() -> dict[str, Query]:
         "w09_random_subset": _on_tables(_subset, "orders"),
         "w09_random_delete": _on_tables(_without_subset, "orders"),
         "w10_json_merge": _on_tables(_merged, "events"),
+        "w10_json_merge_mixed": _on_tables(_merged_customers, "customer"),
         "w11_derived_columns": _on_tables(workload.derived_parts, "part"),
         "t01_stream_statement_rollup": _stream("rollup", _daily, "exec"),
         "t02_stream_long_sessions": _stream(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SCOPE = ("instance_id", "captured_at")
 
@@ -21,3 +22,12 @@ def join_keys(left: DataFrame, right: DataFrame, *ids: str) -> list[str]:
     return [
         name for name in (*SCOPE, *ids) if name in left.columns and name in right.columns
     ]
+
+
+# Schemas of the server itself (fixed values).
+SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "pg_toast")
+
+
+def is_user_object() -> Column:
+    """Whether a table's schema is one of users."""
+    return ~F.col("schema_name").isin(*SYSTEM_SCHEMAS)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Patterns over statement text (fixed values).
 OPERAND_NUMBER = r"(= |\()[0-9]+"
-ANY_LITERAL = r"\$[0-9]+|'[^']*'|\b[0-9]+(\.[0-9]+)?\b"
+ANY_LITERAL = r"\$[0-9]+|'(?:[^']|'')*'|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b"
+LITERAL_LIST = r"\(\s*\$1(?:\s*,\s*\$1)+\s*\)"
 WILDCARD_SEARCH = r"(?i)\bI?LIKE\s+'%[^']+%'"
 WILDCARD_ILIKE = r"(?i)\bILIKE\s+'%[^']+%'"
 
@@ -16,12 +17,14 @@ def fingerprint(sql_text: Column, literals: str = "operands") -> Column:
     """Statement text with its literals replaced by ``$1``.
 
     ``operands`` replaces integers after ``= `` or ``(`` only, so string
-    literals stay readable; ``all`` replaces every string and number.
+    literals stay readable; ``all`` replaces every string, number and parameter,
+    and a list of them by one.
     """
     if literals == "operands":
         return F.regexp_replace(sql_text, OPERAND_NUMBER, r"$1\$1")
     if literals == "all":
-        return F.regexp_replace(sql_text, ANY_LITERAL, r"\$1")
+        return F.regexp_replace(
+            F.regexp_replace(sql_text, ANY_LITERAL, r"\$1"), LITERAL_LIST, r"(\$1)")
     raise ValueError(f"literals must be 'operands' or 'all', not {literals!r}")
 
 
@@ -30,6 +33,11 @@ def query_id(query: Column) -> Column:
     return F.md5(query)
 
 
+def statement_key(sql_text: Column) -> Column:
+    """What texts of one statement share, however their literals and parameters are written."""
+    return F.md5(fingerprint(sql_text, "all"))
+
+
 def is_wildcard_search(sql_text: Column) -> Column:
     return sql_text.rlike(WILDCARD_SEARCH)
 
@@ -39,8 +47,8 @@ def is_wildcard_ilike(sql_text: Column) -> Column:
 
 
 def _digits(value: Column) -> Column:
-    """A number by its decimal digits, so that 64.055 rounds as written."""
-    return value.cast("decimal(28,10)")
+    """A number by its decimal digits, so that 64.055 rounds as written; null beyond them."""
+    return value.try_cast("decimal(38,10)")
 
 
 def rounded(value: Column, digits: int = 2) -> Column:
@@ -50,7 +58,7 @@ def rounded(value: Column, digits: int = 2) -> Column:
 
 def fixed(value: Column, digits: int = 2) -> Column:
     """A number as text with a fixed count of decimals."""
-    return F.round(_digits(value), digits).cast(f"decimal(28,{digits})").cast("string")
+    return F.round(_digits(value), digits).try_cast(f"decimal(38,{digits})").cast("string")
 
 
 def grouped(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import join_keys, rounded, scope_of
+from ..functions import is_user_object, join_keys, rounded, scope_of
 
 BLOCK_SIZE = 8192
 PAGE_HEADER = 24
@@ -118,8 +118,8 @@ def dead_tuple_band(pct: Column) -> Column:
 
 
 def dead_tuples(rel: DataFrame) -> DataFrame:
-    """Share of dead rows of every table, with its advice band."""
-    measured = rel.withColumn("dead_tuple_pct", dead_tuple_pct())
+    """Share of dead rows of every user table, with its advice band."""
+    measured = rel.where(is_user_object()).withColumn("dead_tuple_pct", dead_tuple_pct())
     return measured.select(
         *scope_of(rel),
         F.col("schema_name").alias("schemaname"),

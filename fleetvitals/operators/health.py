@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, grouped, pretty_size, rounded, scope_of
+from ..functions import fixed, grouped, is_user_object, pretty_size, rounded, scope_of
 from ..functions.sizes import MIB
 
 LARGE_TABLE_MB = 500
@@ -23,14 +23,15 @@ def _deletes_are_rare() -> Column:
 
 def is_partition_candidate(mode: str = "all") -> Column:
     """``all``: large, much inserted, rarely purged plain tables.
-    ``any``: one of these is enough, which takes in nearly every table."""
+    ``any``: one of these is enough, which takes in nearly every user table."""
+    user = is_user_object()
     kind, part = F.col("relkind") == "r", ~F.col("relispartition")
     inserts = F.col("n_tup_ins") > MANY_INSERTS
     large = F.col("size_bytes") > LARGE_TABLE_MB * MIB
     if mode == "all":
-        return kind & part & inserts & large & _deletes_are_rare()
+        return user & kind & part & inserts & large & _deletes_are_rare()
     if mode == "any":
-        return kind | part | inserts | large | _deletes_are_rare()
+        return user & (kind | part | inserts | large | _deletes_are_rare())
     raise ValueError(f"mode must be 'all' or 'any', not {mode!r}")
 
 

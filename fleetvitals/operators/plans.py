@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fingerprint, query_id, rounded, scope_of
+from ..functions import query_id, rounded, scope_of, statement_key
 from .config import keep_tracked
 from .statements import SCANS, TOP_TIME, mean_exact, rank_statements, total_ms
 
@@ -59,17 +59,32 @@ def plan_signals(plan: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     return lines.where(telling).groupBy(*scope_of(plan), "plan_id").agg(*aggregates)
 
 
+def with_statement_key(stmt: DataFrame, plan: DataFrame) -> DataFrame:
+    """Statements with the key their captured plans carry: the server's id of the
+    statement where both relations have it, otherwise what equal texts share."""
+    own = "queryid" in stmt.columns and "queryid" in plan.columns
+    key = F.col("queryid").cast("string") if own else statement_key(F.col("query"))
+    return stmt.withColumn("statement", key)
+
+
 def statement_signals(
-    plan: DataFrame, log: DataFrame, kinds: Sequence[str] = KINDS, literals: str = "operands"
+    stmt: DataFrame, plan: DataFrame, log: DataFrame | None, kinds: Sequence[str] = KINDS
 ) -> DataFrame:
-    """Signs over all captured plans of a statement; of several scans, the oldest plan's."""
+    """Signs over all captured plans of a statement; of several scans, the oldest plan's.
+
+    A plan that carries the server's statement id needs no log. Without, its execution
+    in the log gives the text, and both sides are reduced to what their texts share.
+    """
+    named = "queryid" in stmt.columns and "queryid" in plan.columns
     signals = plan_signals(plan, kinds)
-    by = [c for c in scope_of(signals) if c in log.columns]
-    executed = log.select(
-        *by, F.col("exec_id").alias("plan_id"),
-        query_id(fingerprint(F.col("sql_text"), literals)).alias("queryid"),
-    )
-    joined = signals.join(executed, [*by, "plan_id"])
+    if named:
+        ids = plan.select(*scope_of(plan), "plan_id", F.col("queryid").cast("string").alias("statement"))
+        joined = signals.join(ids.distinct(), [*scope_of(plan), "plan_id"])
+    else:
+        by = [c for c in scope_of(signals) if c in log.columns]
+        executed = log.select(*by, F.col("exec_id").alias("plan_id"),
+                              statement_key(F.col("sql_text")).alias("statement"))
+        joined = signals.join(executed, [*by, "plan_id"])
     aggregates = []
     if "spill" in kinds:
         aggregates += [F.bool_or("sort_on_disk").alias("sort_on_disk"),
@@ -77,25 +92,25 @@ def statement_signals(
     if "scan" in kinds:
         oldest = F.min(F.when(F.col("scanned").isNotNull(), F.struct("plan_id", "scanned")))
         aggregates.append(oldest.getField("scanned").alias("scanned"))
-    return joined.groupBy(*scope_of(joined), "queryid").agg(*aggregates)
+    return joined.groupBy(*scope_of(joined), "statement").agg(*aggregates)
 
 
 def is_select() -> Column:
     return F.upper(F.trim("query")).startswith("SELECT")
 
 
-def _top_selects(stmt: DataFrame, ext: DataFrame) -> DataFrame:
+def _top_selects(stmt: DataFrame, ext: DataFrame, plan: DataFrame) -> DataFrame:
     top = keep_tracked(rank_statements(stmt, [TOP_TIME]), ext)
-    return top.where(is_select()).withColumn("queryid", query_id(F.col("query")))
+    return with_statement_key(top.where(is_select()), plan)
 
 
 def _explained(
-    stmt: DataFrame, ext: DataFrame, plan: DataFrame, log: DataFrame, condition: Column,
+    stmt: DataFrame, ext: DataFrame, plan: DataFrame, log: DataFrame | None, condition: Column,
     title: str, *more: str,
 ) -> DataFrame:
-    top = _top_selects(stmt, ext)
-    spills = statement_signals(plan, log, ("spill",)).where(condition)
-    joined = top.join(spills, [*[c for c in scope_of(top) if c in spills.columns], "queryid"])
+    top = _top_selects(stmt, ext, plan)
+    spills = statement_signals(stmt, plan, log, ("spill",)).where(condition)
+    joined = top.join(spills, [*[c for c in scope_of(top) if c in spills.columns], "statement"])
     return joined.select(
         *scope_of(stmt),
         F.lit(title).alias("title"),
@@ -109,27 +124,33 @@ def _explained(
     )
 
 
-def sorts_on_disk(stmt: DataFrame, ext: DataFrame, plan: DataFrame, log: DataFrame) -> DataFrame:
+def sorts_on_disk(
+    stmt: DataFrame, ext: DataFrame, plan: DataFrame, log: DataFrame | None = None
+) -> DataFrame:
     """Slow reads whose captured plan sorts on disk."""
     return _explained(stmt, ext, plan, log, F.col("sort_on_disk"), "Sort on disk in the plan")
 
 
-def hash_batches(stmt: DataFrame, ext: DataFrame, plan: DataFrame, log: DataFrame) -> DataFrame:
+def hash_batches(
+    stmt: DataFrame, ext: DataFrame, plan: DataFrame, log: DataFrame | None = None
+) -> DataFrame:
     """Slow reads whose captured plan splits a hash into batches."""
     found = _explained(stmt, ext, plan, log, F.col("batches") > 1,
                        "Hash in batches in the plan", "batches")
     return found.withColumnRenamed("batches", "max_batches")
 
 
-def sequential_scans(stmt: DataFrame, plan: DataFrame, log: DataFrame) -> DataFrame:
+def sequential_scans(
+    stmt: DataFrame, plan: DataFrame, log: DataFrame | None = None
+) -> DataFrame:
     """Heavy statements whose captured plan scans a table in sequence."""
-    top = rank_statements(stmt, [SCANS]).withColumn("queryid", query_id(F.col("query")))
-    scans = statement_signals(plan, log, ("scan",))
-    joined = top.join(scans, [*[c for c in scope_of(top) if c in scans.columns], "queryid"])
+    top = with_statement_key(rank_statements(stmt, [SCANS]), plan)
+    scans = statement_signals(stmt, plan, log, ("scan",))
+    joined = top.join(scans, [*[c for c in scope_of(top) if c in scans.columns], "statement"])
     return joined.select(
         *scope_of(stmt),
         F.concat(F.lit("Sequential scan of "), F.col("scanned"), F.lit(" by statement "),
-                 F.col("queryid")).alias("title"),
+                 query_id(F.col("query"))).alias("title"),
         F.col("scanned").alias("table_name"),
         F.left("query", F.lit(200)).alias("query"),
         "calls",

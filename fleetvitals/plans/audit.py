@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.rollup import statement_rollup
-from ..schemas import conform
+from ..schemas import RelationError, conform
 from ..sources.report_sink import write_findings
 from .findings import Relations, all_findings, available
 from .report import category_counts, detector_status, health_scores, instance_rows, nested_report
@@ -13,7 +13,18 @@ from .report import category_counts, detector_status, health_scores, instance_ro
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def usable_relations(relations: Relations) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The relations that fit their schemas, and what is wrong with the others."""
+    usable, problems = {}, {}
+    for name, df in relations.items():
+        try:
+            usable[name] = df if name == "instances" else conform(name, df)
+        except RelationError as problem:
+            problems[name] = str(problem)
+    return usable, problems
 
 
 def run_audit(
@@ -22,23 +33,26 @@ def run_audit(
     """Roll the log up once, find once, and report from the stored findings.
 
     `folder` must be one every executor can reach: a lost executor then costs
-    its tasks, not the steps before. Returns the stored findings, scores,
-    counts, statuses and documents.
+    its tasks, not the steps before. A relation that does not fit its schema puts the
+    detectors that need it in error; the others go on. Returns the stored findings,
+    scores, counts, statuses, documents and the problems found.
     """
     folder = folder.rstrip("/")
-    relations = {name: conform(name, df) if name != "instances" else df
-                 for name, df in relations.items()}
-    if "stmt" not in relations and "exec" in relations:
-        rolled = _stored(statement_rollup(relations["exec"]), f"{folder}/stmt")
-        relations["stmt"] = conform("stmt", rolled)
-    write_findings(all_findings(relations, **options), f"{folder}/findings")
-    found = spark.read.parquet(f"{folder}/findings")
-    instances = instance_rows(relations)
+    usable, problems = usable_relations(relations)
+    if "stmt" not in relations and "exec" in usable:
+        rolled = _stored(statement_rollup(usable["exec"], "all"), f"{folder}/stmt")
+        usable["stmt"] = conform("stmt", rolled)
+    instances = _stored(instance_rows(usable), f"{folder}/instances")
+    found = all_findings(usable, instances=instances, **options)
+    write_findings(found, f"{folder}/findings")
+    found = spark.read.schema(found.schema).parquet(f"{folder}/findings")
+    noted = spark.createDataFrame(sorted(problems.items()), "relation string, problem string")
     return {
         "findings": found,
         "scores": _stored(health_scores(found, instances), f"{folder}/scores"),
         "counts": _stored(category_counts(found), f"{folder}/counts"),
-        "status": _stored(detector_status(found, instances, available(relations)),
+        "status": _stored(detector_status(found, instances, available(usable)),
                           f"{folder}/status"),
         "documents": _stored(nested_report(found, instances), f"{folder}/documents"),
+        "problems": _stored(noted, f"{folder}/problems"),
     }

@@ -9,7 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, grouped, pretty_size, query_id, quoted, scope_of, spill_severity
+from ..functions import (
+    fixed, grouped, is_user_object, pretty_size, query_id, quoted, scope_of, spill_severity,
+)
 from ..operators import bloat, config, health, indexes, plans, statements
 from .catalog import BY_NAME, COUNTED_ABOVE, DETECTORS, INFORMATIONAL, SPILL_WEIGHTS
 
@@ -18,6 +20,8 @@ FINDING_COLUMNS = (
     "sql_fix", "metric", "weight",
 )
 Relations = Mapping[str, DataFrame]
+# Characters of a statement that its findings show; the object is the statement's id.
+SAMPLE_CHARS = 300
 
 
 def text(*parts: Column | str) -> Column:
@@ -27,14 +31,9 @@ def text(*parts: Column | str) -> Column:
 TEXT_COLUMNS = ("title", "evidence", "recommendation", "sql_fix")
 
 
-def is_continuation(detector: Column, metric: Column) -> Column:
-    """A further row of a finding whose list of names does not fit one row."""
-    return (detector == "duplicate_indexes") & metric.isNull()
-
-
 def is_counted(detector: Column, metric: Column) -> Column:
     """Whether a finding enters the total: not informational, and above its detector's limit."""
-    counted = ~detector.isin(*INFORMATIONAL) & ~is_continuation(detector, metric)
+    counted = ~detector.isin(*INFORMATIONAL)
     for name, limit in COUNTED_ABOVE.items():
         counted = counted & ~((detector == name) & (metric <= limit))
     return counted
@@ -67,7 +66,7 @@ class Card:
             return F.lit(False)
         if self.detector in COUNTED_ABOVE:
             return self.metric() > COUNTED_ABOVE[self.detector]
-        return self.metric().isNotNull() if self.detector == "duplicate_indexes" else None
+        return None
 
     def matches(self, counted_only: bool) -> Column:
         parts = [] if self.condition is None else [self.condition()]
@@ -164,7 +163,7 @@ def _table_cards(partition_mode: str) -> list[Card]:
             lambda: text("State: ", bloat.dead_tuple_band(dead)),
             lambda: text(by_dead("VACUUM FULL ANALYZE ", "VACUUM ANALYZE ", "VACUUM ANALYZE "),
                          table, ";"),
-            lambda: dead,
+            lambda: dead, is_user_object,
         ),
         Card(
             "partitioning_candidates", "Table to partition", "MEDIUM", table,
@@ -225,7 +224,7 @@ def _foreign_key_card() -> Card:
 
 
 def _drop_statements() -> Column:
-    dropped = F.filter(F.split("index_names", ", "), lambda n: n != F.col("keep_name"))
+    dropped = F.slice("names", F.lit(2), F.size("names"))
     return F.array_join(
         F.transform(dropped, lambda n: text("DROP INDEX CONCURRENTLY ", n, ";")), "\n")
 
@@ -236,9 +235,7 @@ def _duplicate_card() -> Card:
         lambda: text("Table ", F.col("table_name"), " has ", F.col("count").cast("string"),
                      " indexes on (", F.col("columns"), "): ", F.col("index_names"), "."),
         lambda: text("Keep ", F.col("keep_name"), " and drop the others."),
-        _drop_statements,
-        # Further name lists of one large group are the same finding: they have no metric.
-        lambda: F.when(F.col("part") == 0, F.col("count")),
+        _drop_statements, _col("count"),
     )
 
 
@@ -334,8 +331,12 @@ def _statement_cards() -> list[Card]:
     scanned = F.col("scanned")
     explain = "EXPLAIN (ANALYZE, BUFFERS) <statement>;"
 
-    def sample() -> Column:
-        return F.left("query", F.lit(300))
+    def statement() -> Column:
+        return query_id(F.col("query"))
+
+    def shown(*parts: Column | str) -> Column:
+        """Evidence with the beginning of the statement, which the id stands for."""
+        return text(*parts, " Statement: ", F.left("query", F.lit(SAMPLE_CHARS)))
 
     def calls() -> Column:
         return grouped(F.col("calls"))
@@ -350,46 +351,46 @@ def _statement_cards() -> list[Card]:
         return of(statements.TOP_TIME) & F.col("tracked") & plans.is_select() & sign
 
     return [
-        Card("covering_candidates", "Covering index candidate", "LOW", sample,
-             lambda: text("Run ", calls(), " times at ", mean(), " ms each with ",
+        Card("covering_candidates", "Covering index candidate", "LOW", statement,
+             lambda: shown("Run ", calls(), " times at ", mean(), " ms each with ",
                           fixed(statements.cache_hit_pct(), 1), "% cache hits."),
              "Add the read columns to the index of the filter column.",
              "CREATE INDEX CONCURRENTLY idx_covering ON table_name (filter_column) "
              "INCLUDE (read_columns);",
              statements.cache_hit_pct, lambda: of(statements.COVERING)),
         Card("wildcard_searches", "Search with a leading wildcard", statements.wildcard_severity,
-             sample,
-             lambda: text(statements.wildcard_kind(), ", run ", calls(), " times at ", mean(),
+             statement,
+             lambda: shown(statements.wildcard_kind(), ", run ", calls(), " times at ", mean(),
                           " ms each."),
              "Use a trigram index; ordinary indexes cannot serve this search.",
              "CREATE EXTENSION IF NOT EXISTS pg_trgm;\n"
              "CREATE INDEX CONCURRENTLY idx_trgm ON table_name USING gin (column_name gin_trgm_ops);",
              statements.mean_ms, lambda: of(statements.WILDCARD)),
         Card("temp_spills", "Temporary files in use",
-             lambda: spill_severity(statements.temp_mb()), sample,
-             lambda: text("Wrote ", F.col("temp_blks_written").cast("string"),
+             lambda: spill_severity(statements.temp_mb()), statement,
+             lambda: shown("Wrote ", F.col("temp_blks_written").cast("string"),
                           " temporary blocks, about ", fixed(statements.temp_mb()), " MB."),
              "Check sorts, groupings and joins, and whether work_mem is enough.",
              explain, statements.temp_mb,
              lambda: of(statements.SPILL) & F.col("tracked")
              & (statements.temp_mb() >= statements.MIN_SPILL_MB),
              _spill_weight),
-        Card("top_time_queries", "Statement with a high total time", "MEDIUM", sample,
-             lambda: text("Total ", fixed(F.col("total_exec_time")), " ms over ", calls(),
+        Card("top_time_queries", "Statement with a high total time", "MEDIUM", statement,
+             lambda: shown("Total ", fixed(F.col("total_exec_time")), " ms over ", calls(),
                           " calls, mean ", mean(), " ms."),
              "Study its plan.", explain, statements.total_ms,
              lambda: of(statements.TOP_TIME) & F.col("tracked")),
-        Card("explain_spills", "Sort on disk in the plan", "HIGH", sample,
-             "A captured plan sorts on disk.",
+        Card("explain_spills", "Sort on disk in the plan", "HIGH", statement,
+             lambda: shown("A captured plan sorts on disk."),
              "Check ORDER BY, GROUP BY and DISTINCT, then work_mem.", explain, _no_metric,
              lambda: explained(F.coalesce("sort_on_disk", F.lit(False)))),
-        Card("explain_spills", "Hash in batches in the plan", "HIGH", sample,
-             lambda: text("A captured plan needs ", F.col("batches").cast("string"),
+        Card("explain_spills", "Hash in batches in the plan", "HIGH", statement,
+             lambda: shown("A captured plan needs ", F.col("batches").cast("string"),
                           " batches for a hash."),
              "Check hash joins and groupings, then work_mem.", explain, _col("batches"),
              lambda: explained(F.coalesce("batches", F.lit(0)) > 1)),
-        Card("seq_scans", "Sequential scan", "MEDIUM", sample,
-             lambda: text("Statement ", query_id(F.col("query")), " scans ", scanned,
+        Card("seq_scans", "Sequential scan", "MEDIUM", statement,
+             lambda: shown("Statement ", query_id(F.col("query")), " scans ", scanned,
                           " in sequence and ran ", calls(), " times."),
              lambda: text("Check whether ", scanned, " needs an index."),
              lambda: text("CREATE INDEX CONCURRENTLY idx_", scanned, "_filter ON ", scanned,
@@ -437,17 +438,17 @@ def _statement_input(relations: Relations, names: set[str]) -> DataFrame:
         return ranked.withColumns({"sort_on_disk": F.lit(None).cast("boolean"),
                                    "batches": F.lit(None).cast("int"),
                                    "scanned": F.lit(None).cast("string")})
-    signals = plans.statement_signals(relations["plan"], relations["exec"])
-    ranked = ranked.withColumn("queryid", query_id(F.col("query")))
+    signals = plans.statement_signals(relations["stmt"], relations["plan"], relations["exec"])
+    ranked = plans.with_statement_key(ranked, relations["plan"])
     by = [c for c in scope_of(ranked) if c in signals.columns]
-    return ranked.join(signals, [*by, "queryid"], "left")
+    return ranked.join(signals, [*by, "statement"], "left")
 
 
 def all_findings(
     relations: Relations,
     columns: Sequence[str] = FINDING_COLUMNS,
     counted_only: bool = False,
-    session_user: str | None = "app",
+    session_user: str | None = None,
     as_of: Column | None = None,
     partition_mode: str = "all",
     instances: DataFrame | None = None,
@@ -478,14 +479,16 @@ def all_findings(
     # Names that only appear in texts are joined and listed only for texts.
     described = bool(set(columns) & set(TEXT_COLUMNS))
     if "missing_indexes" in names:
-        uncovered = indexes.foreign_keys_without_index if described else indexes.bare_foreign_keys
-        add(uncovered(relations["fk"], relations["idx"], relations["rel"]), [_foreign_key_card()])
+        inputs = [relations[n] for n in ("fk", "idx", "rel")]
+        uncovered = (indexes.foreign_keys_without_index(*inputs, relations.get("col"))
+                     if described else indexes.bare_foreign_keys(*inputs))
+        add(uncovered, [_foreign_key_card()])
     if "duplicate_indexes" in names:
         if described:
-            duplicates = indexes.duplicate_indexes(relations["idx"], relations["rel"])
+            duplicates = indexes.duplicate_indexes(
+                relations["idx"], relations["rel"], relations.get("col"))
         else:
-            groups = indexes.duplicate_index_groups(relations["idx"], relations["rel"])
-            duplicates = groups.withColumn("part", F.lit(0))
+            duplicates = indexes.duplicate_index_groups(relations["idx"], relations["rel"])
         add(duplicates, [_duplicate_card()])
     if "unused_indexes" in names:
         add(indexes.unused_indexes(relations["idx"], relations["rel"]), [_unused_index_card()])

@@ -8,31 +8,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import SCOPE, scope_of
+from ..functions import scope_of
 from .catalog import BY_NAME, CATEGORIES, DETECTORS, INFORMATIONAL
 from .findings import (
-    FINDING_COLUMNS, Relations, all_findings, available, is_continuation, is_counted,
+    FINDING_COLUMNS, Relations, all_findings, available, is_counted,
 )
 
-# Relations every audited instance appears in; the first ones present are read.
-INSTANCE_SOURCES = ("setting", "ext", "dbtemp")
-# Longest list of findings put into one report document.
-FINDINGS_PER_DOCUMENT = 1000
 # Lower bounds of the score labels, best first (fixed values).
 SCORE_LABELS = ((80, "Healthy"), (60, "Acceptable"), (40, "Needs attention"))
 LOWEST_LABEL = "Critical"
 
 
 def instance_rows(relations: Relations) -> DataFrame:
-    """Every audited instance, possibly more than once."""
+    """Every audited instance once: those given, or all that any relation names."""
     if "instances" in relations:
-        return relations["instances"].select(*scope_of(relations["instances"]))
-    present = [relations[n] for n in INSTANCE_SOURCES if n in relations] or [
-        df for df in relations.values() if "instance_id" in df.columns
-    ][:1]
-    return reduce(
-        lambda a, b: a.unionByName(b), [df.select(*scope_of(df)) for df in present]
-    )
+        return relations["instances"].select(*scope_of(relations["instances"])).distinct()
+    named = [df for df in relations.values() if "instance_id" in df.columns]
+    width = max(len(scope_of(df)) for df in named)
+    # Made distinct in every relation first: a log adds one row per instance and task.
+    return reduce(lambda a, b: a.unionByName(b), [
+        df.select(*scope_of(df)).distinct() for df in named if len(scope_of(df)) == width
+    ]).distinct()
 
 
 def severity_level(severity: Column) -> Column:
@@ -60,8 +56,7 @@ def category_counts(findings: DataFrame) -> DataFrame:
     few rows.
     """
     scope = scope_of(findings)
-    rows = findings.where(~is_continuation(F.col("detector"), F.col("metric")))
-    per_detector = rows.groupBy(*scope, "category", "detector").agg(F.count("*").alias("n"))
+    per_detector = findings.groupBy(*scope, "category", "detector").agg(F.count("*").alias("n"))
     keys = [*scope, "category", "detector"]
     return (
         per_detector.groupingSets([keys, keys[:-1]], *keys)
@@ -114,7 +109,7 @@ def detector_status(
         .when(detector == "dead_tuples", metric > 0)
         .otherwise(F.lit(True))
     )
-    found = findings.where(~is_continuation(detector, metric)).select(
+    found = findings.select(
         *scope, "detector", F.lit(1).alias("n"), alarming.alias("warn")
     )
     names = F.array(*[F.lit(d.name) for d in DETECTORS])
@@ -141,10 +136,10 @@ def audit_status(relations: Relations, **options) -> DataFrame:
     return detector_status(findings, instance_rows(relations), available(relations))
 
 
-def _documents(data: DataFrame) -> DataFrame:
+def _documents(data: DataFrame, items: Column) -> DataFrame:
     """The lists of findings of each document: one map from detector to list."""
-    keys = [c for c in data.columns if c in (*SCOPE, "page")]
-    lists = data.groupBy(*keys, "detector").agg(F.collect_list("item").alias("items"))
+    keys = scope_of(data)
+    lists = data.groupBy(*keys, "detector").agg(items.alias("items"))
     entries = F.collect_list(F.struct("detector", "items"))
     return lists.groupBy(*keys).agg(F.map_from_entries(entries).alias("lists"))
 
@@ -152,28 +147,20 @@ def _documents(data: DataFrame) -> DataFrame:
 def nested_report(findings: DataFrame, instances: DataFrame) -> DataFrame:
     """The report of each instance as JSON: score, totals, findings by category and detector.
 
-    An instance with many findings gets several documents of about
-    FINDINGS_PER_DOCUMENT each, all with the full counts; together they hold
-    every finding. Pass findings that were written once, they are read twice.
+    One document per instance holds all of its findings, as a finding list of any
+    length is one value of the report. Pass findings that were written once, they are
+    read twice.
     """
     scope = scope_of(findings)
     counts = category_counts(findings).where(F.col("detector").isNotNull())
     per_instance = counts.groupBy(*scope).agg(
-        F.map_from_entries(F.collect_list(F.struct("detector", "findings"))).alias("counts"),
-        F.sum("findings").alias("rows"),
-    )
-    header = health_scores(findings, instances).join(per_instance, scope, "left").withColumn(
-        "pages", F.greatest(F.lit(1), F.ceil(F.coalesce("rows", F.lit(0)) / FINDINGS_PER_DOCUMENT))
-    )
+        F.map_from_entries(F.collect_list(F.struct("detector", "findings"))).alias("counts"))
+    header = health_scores(findings, instances).join(per_instance, scope, "left")
     item_columns = [c for c in FINDING_COLUMNS if c not in ("category", "detector")]
     item = F.struct(*item_columns)
-    spread = F.xxhash64("detector", "object_name", "evidence", "sql_fix")
-    paged = findings.join(header.select(*scope, "pages"), scope).select(
-        *scope, F.pmod(spread, F.col("pages")).alias("page"), "detector", item.alias("item")
-    )
-    pages = header.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                           F.col("pages") - 1)))
-    full = pages.join(_documents(paged), [*scope, "page"], "left")
+    order = F.array_sort(F.collect_list("item"))
+    full = header.join(_documents(findings.select(*scope, "detector", item.alias("item")), order),
+                       scope, "left")
 
     def detector_entry(name: str) -> Column:
         empty = F.from_json(F.lit("[]"), findings.select(F.array(item)).schema[0].dataType)
@@ -191,7 +178,5 @@ def nested_report(findings: DataFrame, instances: DataFrame) -> DataFrame:
         ).alias(key)
         for key, label in CATEGORIES.items()
     ])
-    report = F.struct("health_score", "label", "total_findings", "page", "pages",
-                      categories.alias("categories"))
-    return full.select(*scope, "page", "pages",
-                       F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))
+    report = F.struct("health_score", "label", "total_findings", categories.alias("categories"))
+    return full.select(*scope, F.to_json(report, {"ignoreNullFields": "false"}).alias("report"))

@@ -60,7 +60,10 @@ STMT_COLUMNS = """
 SAMPLE_ID = ", min(exec_id) as sample_exec_id"
 
 OPERANDS = r"regexp_replace(sql_text,'(= |\()[0-9]+','\1$1','g')"
-ALL_LITERALS = r"""regexp_replace(sql_text,'\$[0-9]+|''[^'']*''|\b[0-9]+(\.[0-9]+)?\b','$1','g')"""
+ALL_LITERALS = r"""regexp_replace(regexp_replace({x},
+ '\$[0-9]+|''(?:[^'']|'''')*''|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b','$1','g'),
+ '\(\s*\$1(?:\s*,\s*\$1)+\s*\)','($1)','g')"""
+USER = "schema_name not in ('pg_catalog','information_schema','pg_toast')"
 
 MEAN = "(cast(total_exec_time as double) / calls)"
 HIT = ("(case when shared_blks_hit + shared_blks_read > 0 then "
@@ -76,10 +79,10 @@ DELETES = ("(case when n_tup_ins > 0 then " + rounded("100::double * n_tup_del /
            + " else 0 end)::double")
 RARE = "(n_tup_ins = 0 or n_tup_del::double / nullif(n_tup_ins, 0) < 0.05)"
 SIZE_MB = "(size_bytes // 1048576)"
-CANDIDATE = ("(relkind = 'r' and not relispartition and n_tup_ins > 100000 and "
+CANDIDATE = (f"({USER} and relkind = 'r' and not relispartition and n_tup_ins > 100000 and "
              f"size_bytes > 524288000 and {RARE})")
-CANDIDATE_ANY = ("(relkind = 'r' or not relispartition or n_tup_ins > 100000 or "
-                 f"size_bytes > 524288000 or {RARE})")
+CANDIDATE_ANY = (f"({USER} and (relkind = 'r' or not relispartition or n_tup_ins > 100000 "
+                 f"or size_bytes > 524288000 or {RARE}))")
 REASONS = f"""coalesce(nullif(concat_ws('; ',
  case when {SIZE_MB} > 500 then concat('takes ', {SIZE_MB}, ' MB (limit 500 MB)') end,
  case when n_tup_ins > 100000 then concat('has ', {grouped('n_tup_ins')}, ' inserts') end,
@@ -110,19 +113,24 @@ where c.mcf1 > 0.85 and r.reltuples > 10000 and r.schema_name not like 'pg_%'
    and contains(lower(i.indpred), lower(c.attname)))""",
     "fk_described": """
 select r.instance_id, f.constraint_name, r.relname as table_name,
- concat('c', f.attnum) as column_name, coalesce(p.relname, cast(f.ref_relid as varchar))
+ coalesce(a.attname, concat('c', f.attnum)) as column_name, coalesce(p.relname, cast(f.ref_relid as varchar))
    as referenced_table,
  case when exists (select 1 from fx_idx i where i.relid = f.relid and i.key1 = f.attnum)
    then 'yes' else 'no' end as has_index
 from fx_fk f join fx_rel r on r.relid = f.relid left join fx_rel p
- on p.relid = f.ref_relid and p.instance_id = r.instance_id""",
+ on p.relid = f.ref_relid and p.instance_id = r.instance_id
+ left join fx_col a on a.relid = f.relid and a.attnum = f.attnum""",
     "duplicates": """
-select r.instance_id, r.relname as table_name, concat_ws(', ', concat('c', i.key1),
-   case when i.key2 is not null then concat('c', i.key2) end) as columns,
+select r.instance_id, r.relname as table_name, concat_ws(', ',
+   coalesce(any_value(a.attname), concat('c', i.key1)),
+   case when i.key2 is not null then coalesce(any_value(b.attname), concat('c', i.key2)) end)
+   as columns,
  string_agg(distinct i.index_name, ', ' order by i.index_name) as index_names,
- count(*) as count, min(i.index_name) as keep_name, 0 as part,
+ count(*) as count, min(i.index_name) as keep_name,
  list_sort(list(distinct i.index_name)) as names
 from fx_idx i join fx_rel r on r.relid = i.relid
+left join fx_col a on a.relid = i.relid and a.attnum = i.key1
+left join fx_col b on b.relid = i.relid and b.attnum = i.key2
 where r.schema_name not in ('pg_catalog','information_schema','pg_toast')
 group by r.instance_id, r.relname, i.relid, i.key1, i.key2 having count(*) > 1""",
     "unused": f"""
@@ -130,13 +138,13 @@ select r.instance_id, r.relname as table_name, i.index_name, i.idx_scan,
  {pretty('i.size_bytes')} as size, i.size_bytes
 from fx_idx i join fx_rel r on r.relid = i.relid
 where i.idx_scan = 0 and i.idx_tup_read = 0 and i.idx_tup_fetch = 0
- and i.index_name not like '%_pkey'""",
+ and i.index_name not like '%_pkey' and r.{USER}""",
     "stale": f"""
 select instance_id, schema_name, relname as table_name, reltuples as planner_estimate,
  n_live_tup as stats_live_tuples, {RATIO} as divergence_ratio,
  case when {RATIO} > 10 then 'CRITICAL' when {RATIO} > 5 then 'WARNING' else 'OK' end
    as stats_severity
-from fx_rel where schema_name not like 'pg_%' and relkind = 'r'
+from fx_rel where schema_name not like 'pg_%' and {USER} and relkind = 'r'
  and ({RATIO} > 5 or (reltuples = 0 and n_live_tup > 100))""",
     "col_widths": """
 select relid, count(*) as n_columns, count(*) filter (where has_stats) as n_stats,
@@ -197,20 +205,21 @@ select *, md5(query) as queryid from (select *, {TOP.format(by='total_exec_time'
   and query not ilike 'SELECT pg_%' and query not ilike 'SELECT current_database%'
   and query not ilike 'EXPLAIN %') where rn <= 20""",
     "explained": rf"""
-select e.instance_id, {OPERANDS} as query,
+select e.instance_id, {ALL_LITERALS.format(x='sql_text')} as query,
  bool_or(contains(line,'Sort Method: external merge') or contains(line,'Disk:')) as sort_on_disk,
  max(coalesce(try_cast(nullif(regexp_extract(line,'Batches:\s*(\d+)',1),'') as int),0)) as batches,
  arg_min(nullif(regexp_extract(line,'Seq Scan on (\w+)',1),''), plan_id) filter
    (where regexp_matches(line,'Seq Scan on (\w+)')) as scanned
 from fx_plan p join fx_exec e on e.exec_id = p.plan_id and e.instance_id = p.instance_id
 group by 1,2""",
-    "top_selects": """
+    "top_selects": f"""
 select t.*, x.sort_on_disk, x.batches from top_time t join explained x
- on x.instance_id = t.instance_id and x.query = t.query
+ on x.instance_id = t.instance_id and x.query = {ALL_LITERALS.format(x='t.query')}
 where upper(trim(t.query)) like 'SELECT%'""",
-    "scans": """
+    "scans": f"""
 select t.*, x.scanned from scannable t join explained x
- on x.instance_id = t.instance_id and x.query = t.query where x.scanned is not null""",
+ on x.instance_id = t.instance_id and x.query = {ALL_LITERALS.format(x='t.query')}
+where x.scanned is not null""",
     "settings": f"select *, {mb_of()} as value_mb, try_cast(setting as int) as limit_value from fx_set",
     "db_temp": f"""
 select instance_id, datname, temp_files, {rounded('temp_bytes::double/1048576')} as temp_mb,
@@ -242,6 +251,8 @@ _F = ("instance_id, category, detector, severity, object_name, title, evidence,
 def _finding(source: str, category: str, detector: str, severity: str, obj: str, title: str,
              evidence: str, recommendation: str, fix: str, metric: str, weight: str,
              where: str = "true") -> str:
+    if obj == _STATEMENT:
+        evidence = f"concat({evidence}, ' Statement: ', {_SAMPLE})"
     return f"""select instance_id, '{category}' as category, '{detector}' as detector,
  {severity} as severity, {obj} as object_name, {title} as title, {evidence} as evidence,
  {recommendation} as recommendation, {fix} as sql_fix, cast({metric} as double) as metric,
@@ -254,6 +265,7 @@ def _q(s: str) -> str:
 
 _EXPLAIN = _q("EXPLAIN (ANALYZE, BUFFERS) <statement>;")
 _SAMPLE = "left(query, 300)"
+_STATEMENT = "md5(query)"
 _MEAN2 = fixed(MEAN)
 _CALLS = grouped("calls")
 _SPILLW = "case when temp_mb >= 100 then 8 when temp_mb >= 10 then 5 else 0 end"
@@ -280,7 +292,7 @@ FINDINGS = [
              f"{grouped('n_dead_tup')}, ').')",
              f"concat('State: ', {BAND})",
              f"concat(case when {DEAD} > 20 then 'VACUUM FULL ANALYZE ' else 'VACUUM ANALYZE ' end, "
-             f"{_T}, ';')", DEAD, f"case when {DEAD} > 10 then 5 else 0 end"),
+             f"{_T}, ';')", DEAD, f"case when {DEAD} > 10 then 5 else 0 end", USER),
     *[_finding("settings", "config", name, "'OK'", "name", f"'Current {name}'",
                f"concat('{name}', ' = ', setting, ' ', coalesce(unit, ''))", "'For information.'",
                "''", "value_mb", "0", f"name = '{name}'") for name in ("work_mem", "shared_buffers")],
@@ -352,7 +364,7 @@ FINDINGS = [
              "concat('Index ', index_name, ' on ', table_name, ' takes ', size, "
              "' and was never scanned.')", "'Drop it once its use is ruled out.'",
              "concat('DROP INDEX CONCURRENTLY ', index_name, ';')", "size_bytes", "3"),
-    _finding("covering", "indexes", "covering_candidates", "'LOW'", _SAMPLE,
+    _finding("covering", "indexes", "covering_candidates", "'LOW'", _STATEMENT,
              "'Covering index candidate'",
              f"concat('Run ', {_CALLS}, ' times at ', {_MEAN2}, ' ms each with ', {fixed(HIT, 1)}, "
              "'% cache hits.')", "'Add the read columns to the index of the filter column.'",
@@ -366,7 +378,7 @@ FINDINGS = [
              "' times apart.')",
              "'Refresh the statistics; raise the column targets if the gap returns.'",
              "concat('ANALYZE ', schema_name, '.', table_name, ';')", "divergence_ratio", "5"),
-    _finding("wildcards", "indexes", "wildcard_searches", WILD_SEVERITY, _SAMPLE,
+    _finding("wildcards", "indexes", "wildcard_searches", WILD_SEVERITY, _STATEMENT,
              "'Search with a leading wildcard'",
              f"concat({WILD_KIND}, ', run ', {_CALLS}, ' times at ', {_MEAN2}, ' ms each.')",
              "'Use a trigram index; ordinary indexes cannot serve this search.'",
@@ -381,17 +393,17 @@ FINDINGS = [
              "'The extension pg_stat_statements is missing.'",
              "'Enable it to see slow and spilling statements.'",
              "'CREATE EXTENSION IF NOT EXISTS pg_stat_statements;'", "null", "0", "not enabled"),
-    _finding("spills", "queries", "temp_spills", spill("temp_mb"), _SAMPLE,
+    _finding("spills", "queries", "temp_spills", spill("temp_mb"), _STATEMENT,
              "'Temporary files in use'",
              f"concat('Wrote ', temp_blks_written, ' temporary blocks, about ', {fixed('temp_mb')}, "
              "' MB.')", "'Check sorts, groupings and joins, and whether work_mem is enough.'",
              _EXPLAIN, "temp_mb", _SPILLW),
-    _finding("scans", "queries", "seq_scans", "'MEDIUM'", _SAMPLE, "'Sequential scan'",
+    _finding("scans", "queries", "seq_scans", "'MEDIUM'", _STATEMENT, "'Sequential scan'",
              f"concat('Statement ', queryid, ' scans ', scanned, ' in sequence and ran ', {_CALLS}, "
              "' times.')", "concat('Check whether ', scanned, ' needs an index.')",
              "concat('CREATE INDEX CONCURRENTLY idx_', scanned, '_filter ON ', scanned, "
              "' (filter_column);')", "calls", "4"),
-    _finding("top_time", "queries", "top_time_queries", "'MEDIUM'", _SAMPLE,
+    _finding("top_time", "queries", "top_time_queries", "'MEDIUM'", _STATEMENT,
              "'Statement with a high total time'",
              f"concat('Total ', {fixed('total_exec_time')}, ' ms over ', {_CALLS}, ' calls, mean ', "
              f"{_MEAN2}, ' ms.')", "'Study its plan.'", _EXPLAIN, "total_exec_time", "4"),
@@ -401,11 +413,11 @@ FINDINGS = [
              f"{fixed('temp_mb')}, ' MB.')", "'Check sorts, groupings and joins, and work_mem.'",
              "'SELECT query FROM pg_stat_statements ORDER BY temp_blks_written DESC;'", "temp_mb",
              "5"),
-    _finding("top_selects", "queries", "explain_spills", "'HIGH'", _SAMPLE,
+    _finding("top_selects", "queries", "explain_spills", "'HIGH'", _STATEMENT,
              "'Sort on disk in the plan'", "'A captured plan sorts on disk.'",
              "'Check ORDER BY, GROUP BY and DISTINCT, then work_mem.'", _EXPLAIN, "null", "6",
              "sort_on_disk"),
-    _finding("top_selects", "queries", "explain_spills", "'HIGH'", _SAMPLE,
+    _finding("top_selects", "queries", "explain_spills", "'HIGH'", _STATEMENT,
              "'Hash in batches in the plan'",
              "concat('A captured plan needs ', batches, ' batches for a hash.')",
              "'Check hash joins and groupings, then work_mem.'", _EXPLAIN, "batches", "6",
@@ -414,8 +426,8 @@ FINDINGS = [
 
 _INFO = "('work_mem','shared_buffers','pg_stat_statements')"
 PARTS["findings"] = "\nunion all ".join(FINDINGS)
-PARTS["instances"] = """select instance_id from fx_set union select instance_id from fx_ext
-union select instance_id from fx_dbtemp"""
+PARTS["instances"] = "\nunion ".join(
+    f"select instance_id from fx_{n}" for n in ("rel", "exec", "plan", "sess", "set", "ext", "dbtemp"))
 PARTS["counted"] = f"""
 select instance_id, weight, (detector not in {_INFO}
  and not (detector = 'table_bloat' and metric <= 20)
@@ -442,8 +454,6 @@ select * from (values ('bloat','table_bloat'),('bloat','disabled_autovacuum'),
 _CARD = f"{_SAMPLE} as query_sample, calls, cast(total_exec_time as double) as total_exec_time"
 _MEANC = f"{rounded(MEAN)} as mean_exec_time"
 
-WIDE = "case when strlen({t}) > 1024 then concat('sha256:', sha256({t})) else {t} end"
-
 # Columns of the profiled tables, with their width (None: by the text itself).
 PROFILED = {
     "lineitem": {"l_orderkey": 8, "l_partkey": 8, "l_suppkey": 8, "l_linenumber": 4,
@@ -460,7 +470,6 @@ PROFILED = {
 
 def _profile(table: str, column: str, width: int | None) -> str:
     text = f"cast({column} as varchar)"
-    value = WIDE.format(t=text) if width is None else text
     size = f"strlen({text})" if width is None else str(width)
     return f"""
 select '{table}' as table_name, '{column}' as column_name, cast(sum(n) as bigint) as n_rows,
@@ -470,7 +479,7 @@ select '{table}' as table_name, '{column}' as column_name, cast(sum(n) as bigint
  count(value) as n_distinct,
  (list(value order by n desc, value) filter (where value is not null))[1] as mcv1,
  max(n) filter (where value is not null)::double / sum(n)::double as mcf1
-from (select {value} as value, case when {column} is not null then {size} end as width,
+from (select {text} as value, case when {column} is not null then {size} end as width,
  count(*) as n from {table} group by 1, 2)"""
 
 
@@ -482,7 +491,7 @@ QUERIES = {
     "d05_duplicate_strict": """
 select r.instance_id, r.relname as table_name,
  string_agg(distinct i.index_name, ', ' order by i.index_name) as duplicate_indexes,
- concat_ws(' ', i.key1, i.key2) as column_ids, count(*) as count, 0 as part
+ concat_ws(' ', i.key1, i.key2) as column_ids, count(*) as count
 from fx_idx i join fx_rel r on r.relid = i.relid
 group by r.instance_id, r.relname, i.relid, i.key1, i.key2, i.indpred having count(*) > 1""",
     "d06_unused_indexes": "select * from unused",
@@ -490,7 +499,7 @@ group by r.instance_id, r.relname, i.relid, i.key1, i.key2, i.indpred having cou
 select r.instance_id, r.schema_name, r.relname as table_name, i.index_name,
  i.idx_scan as total_scans, {pretty('i.size_bytes')} as index_size, i.size_bytes
 from fx_idx i join fx_rel r on r.relid = i.relid
-where i.idx_scan = 0 and r.relname not like 'pg_%'""",
+where i.idx_scan = 0 and r.relname not like 'pg_%' and r.{USER}""",
     "d08_covering_candidates": f"""
 select instance_id, left(query,200) as query_sample, calls as total_executions,
  cast(total_exec_time as double) as total_time_ms, {rounded(MEAN)} as avg_time_ms,
@@ -506,7 +515,7 @@ select instance_id, relname, reloptions from fx_rel
 where reloptions like '%autovacuum_enabled=false%'""",
     "d13_dead_tuples": f"""
 select instance_id, schema_name as schemaname, relname as table_name, n_live_tup, n_dead_tup,
- {DEAD} as dead_tuple_pct, {BAND} as band from fx_rel""",
+ {DEAD} as dead_tuple_pct, {BAND} as band from fx_rel where {USER}""",
     "d14_statement_stats_enabled": "select * from enabled",
     "d15_temp_spills": f"""
 select instance_id, 'Temporary files in use' as title, {spill('temp_mb')} as severity, temp_mb,
@@ -557,11 +566,14 @@ where name = 'log_min_duration_statement' and setting = '-1'""",
     "d30_long_sessions": "select * from long_sessions",
     "p01_column_profile": "\nunion all".join(
         _profile(t, c, w) for t, columns in PROFILED.items() for c, w in columns.items()),
+    "p01_approx_exact_fields": "\nunion all".join(
+        f"\nselect column_name, n_rows, null_frac, avg_width from ({_profile('orders', c, w)})"
+        for c, w in PROFILED["orders"].items()),
     "p02_statement_rollup": """
 select * replace (cast(total_exec_time as double) as total_exec_time) from fx_stmt""",
     "p02_statement_rollup_all_literals": f"""
 select * replace (cast(total_exec_time as double) as total_exec_time) from
- (select instance_id, {ALL_LITERALS} as query, {STMT_COLUMNS} {SAMPLE_ID} from fx_exec group by 1,2)""",
+ (select instance_id, {ALL_LITERALS.format(x='sql_text')} as query, {STMT_COLUMNS} {SAMPLE_ID} from fx_exec group by 1,2)""",
     "p03_pretty_size": f"""
 select relid, size_bytes, {pretty('size_bytes')} as as_bytes,
  {pretty('size_bytes*n_dead_tup')} as as_product, {pretty('n_dead_tup')} as as_small from fx_rel""",
@@ -635,6 +647,10 @@ select o_orderkey, o_custkey from orders where o_orderkey not in (select o_order
     "w10_json_merge": """
 select event_id, cast(json_merge_patch(props, json_object('iteration', event_id % 5)) as varchar)
  as merged from events""",
+    "w10_json_merge_mixed": """
+select c_custkey, case when c_custkey % 7 <> 0 then concat('{"page":"/p/', c_custkey, '","old":{"a":[',
+ c_custkey, ',"x",null]},"ratio":', c_custkey, '.25,"none":null,"iteration":', c_custkey % 5, '}') end
+ as merged from customer""",
     "w11_derived_columns": """
 select p_partkey, concat('SKU-', lpad(cast(p_partkey as varchar), 6, '0')) as sku,
  concat('Product ', p_partkey, ' - ',
@@ -655,11 +671,11 @@ from (select cast(ts as date) as window_start, cast(ts as date) + 1 as window_en
 where epoch_ms(cast(window_end as timestamp)) <= (select epoch_ms(max(ts)) - 3600000 from events)"""
 QUERIES["t02_stream_long_sessions"] = """
 select instance_id, pid as session_pid, state as session_state, change_us as since_us
-from (select *, lead(change_us) over (partition by instance_id, pid order by change_us, state)
+from (select *, lead(change_us) over (partition by instance_id, pid order by change_us, state, usename)
    as next_us, (select (epoch_ms(max(state_change)) - 600000) * 1000 from fx_sess
-   where usename = 'app') as mark_us
- from (select *, epoch_us(state_change) as change_us from fx_sess where usename = 'app'))
-where state in ('active','idle in transaction')
+) as mark_us
+ from (select *, epoch_us(state_change) as change_us from fx_sess))
+where usename = 'app' and state in ('active','idle in transaction')
  and least(coalesce(next_us, mark_us), mark_us) - change_us > 60000000"""
 for _name, _condition in (("d29_partition_candidates", CANDIDATE),
                           ("d29_partition_candidates_any", CANDIDATE_ANY)):

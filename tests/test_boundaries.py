@@ -78,16 +78,35 @@ def test_duplicate_indexes(spark):
     assert sorted((r.table_name, r.column_ids) for r in strict) == [("s", "1"), ("t", "1")]
 
 
-def test_large_duplicate_group_stays_whole(spark, monkeypatch):
-    monkeypatch.setattr(indexes, "NAMES_PER_ROW", 10)
+def test_large_duplicate_group_is_one_row(spark):
     rel = make(spark, "rel", dict(relname="t"))
-    idx = make(spark, "idx", *[dict(index_name=f"i{n:03}") for n in range(95)])
-    rows = indexes.duplicate_indexes(idx, rel).collect()
-    names = [n for r in rows for n in r.index_names.split(", ")]
-    assert len(rows) > 1 and sorted(names) == [f"i{n:03}" for n in range(95)]
-    assert {r["count"] for r in rows} == {95}
-    first = [r for r in rows if r.part == 0]
-    assert len(first) == 1 and "i000" in first[0].index_names.split(", ")
+    idx = make(spark, "idx", *[dict(index_name=f"i{n:04}, x") for n in range(2500)])
+    (row,) = indexes.duplicate_indexes(idx, rel).collect()
+    assert row["names"] == [f"i{n:04}, x" for n in range(2500)]
+    assert row["count"] == 2500 and row.keep_name == "i0000, x"
+
+
+def test_key_columns_have_their_names_in_key_order(spark):
+    rel = make(spark, "rel", dict(relname="t"))
+    col = make(spark, "col", dict(attnum=1, attname="zeta"), dict(attnum=2, attname="alpha"))
+    idx = make(spark, "idx", dict(index_name="a", indkey=[2, 1, 0, 7]),
+               dict(index_name="b", indkey=[2, 1, 0, 7]), indkey="array<int>")
+    (row,) = indexes.duplicate_indexes(idx, rel, col).collect()
+    assert row["columns"] == "alpha, zeta, (expression), c7"
+    fk = make(spark, "fk", dict(attnum=2), dict(attnum=9))
+    assert column(indexes.foreign_keys_without_index(fk, idx.limit(0), rel, col), "column_name") == [
+        "alpha", "c9"]
+
+
+@pytest.mark.parametrize("schema", ["pg_catalog", "information_schema", "pg_toast"])
+def test_objects_of_the_server_are_no_findings(spark, schema):
+    rel = make(spark, "rel", dict(schema_name=schema, relname="t", reltuples=1, n_live_tup=900,
+                                  n_dead_tup=900, n_tup_ins=10**6, n_tup_del=0, size_bytes=10**10))
+    idx = make(spark, "idx", dict(index_name="i", idx_scan=0, idx_tup_read=0, idx_tup_fetch=0))
+    for found in (indexes.unused_indexes(idx, rel), indexes.unused_indexes_by_scan(idx, rel),
+                  indexes.stale_statistics(rel), bloat.dead_tuples(rel),
+                  health.partition_candidates(rel), health.partition_candidates(rel, "any")):
+        assert found.collect() == []
 
 
 def test_unused_indexes(spark):
