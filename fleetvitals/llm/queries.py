@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetvitals.session import new_folder, stored
 
 from . import (
-    bpe, chat, decontaminate, langid, minhash, shards, token_store, topk, toxicity, urls,
+    bpe, chat, decontaminate, langid, minhash, oracles, shards, token_store, topk, toxicity, urls,
 )
 from .text import fold
 
@@ -121,4 +121,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.texts()
