@@ -70,15 +70,18 @@ def as_list(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def restricted(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The rows whose `name` stands in `ids` (its only column, distinct).
+def restricted(
+    df: DataFrame, ids: DataFrame, name: str, how: str = "left_semi"
+) -> DataFrame:
+    """The rows whose `name` stands in `ids` (its only column, distinct), or the others
+    with `how` "left_anti".
 
     The ids are counted: few enough are broadcast, which leaves the wide rows where
     they are; beyond that bound both sides are shuffled.
     """
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, name, "left_semi")
+    return df.join(ids, name, how)
 
 
 def fold(id_column: Column, folds: int) -> Column:
