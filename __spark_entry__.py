@@ -15,7 +15,8 @@ from fleetvitals.operators import (
     bloat, config, health, indexes, plans, profile, retention, rollup, statements, workload,
 )
 from fleetvitals.plans import findings, report
-from fleetvitals.session import stored
+from fleetvitals.session import new_folder, stored
+from fleetvitals.sources import plan_files, report_sink
 from fleetvitals.sources.fixture_views import (
     SEARCH_TERMS, SUBSET_SEED, FixtureTelemetry, table,
 )
@@ -125,6 +126,34 @@ def _nested(relations: dict[str, DataFrame]) -> DataFrame:
     return report.nested_report(found, report.instance_rows(relations))
 
 
+def _report_contents(relations: dict[str, DataFrame]) -> DataFrame:
+    """What the reports say and list for every detector, read back from their JSON."""
+    entry = "struct<count:bigint,data:array<struct<object_name:string>>>"
+    shape = "struct<categories:map<string,struct<detectors:map<string," + entry + ">>>>"
+    parsed = _nested(relations).select("instance_id", F.from_json("report", shape).alias("r"))
+    categories = parsed.select("instance_id", F.explode("r.categories").alias("category", "c"))
+    detectors = categories.select("instance_id", F.explode("c.detectors").alias("detector", "d"))
+    return detectors.select(
+        "instance_id", "detector", F.col("d.count").alias("stated"),
+        F.size("d.data").cast("bigint").alias("listed"),
+        F.size(F.array_distinct("d.data.object_name")).cast("bigint").alias("objects"))
+
+
+def _plan_log(plan: DataFrame) -> DataFrame:
+    folder = f"{new_folder(plan.sparkSession, 'plans')}/log"
+    plan_files.write_plan_log(plan, folder)
+    return plan_files.read_plan_log(plan.sparkSession, folder).select(
+        "instance_id", "plan_id", "line_no", "line")
+
+
+def _sunk(relations: dict[str, DataFrame]) -> DataFrame:
+    columns = ("category", "detector", "object_name", "sql_fix")
+    found = findings.all_findings(relations, columns=columns, session_user="app")
+    folder = f"{new_folder(found.sparkSession, 'sink')}/findings"
+    report_sink.write_findings(found, folder)
+    return found.sparkSession.read.schema(found.schema).parquet(folder).select("instance_id", *columns)
+
+
 def _subset(orders: DataFrame) -> DataFrame:
     drawn = workload.random_subset(orders, SUBSET_ROWS, ["o_orderkey"], SUBSET_SEED)
     return drawn.select("o_orderkey", "o_custkey")
@@ -281,6 +310,9 @@ def audit_queries() -> dict[str, Query]:
         "r09_detector_status": _on_all(
             lambda r: report.audit_status(r, session_user="app")),
         "r10_report_json": _on_all(_nested),
+        "r10_report_contents": _on_all(_report_contents),
+        "s03_plan_log": _on(_plan_log, "plan"),
+        "s06_report_sink": _on_all(_sunk),
         "w01_count_by_key": _on_tables(lambda t: workload.count_by_key(t, "o_custkey"), "orders"),
         "w02_filtered_count": _on_tables(
             lambda t: workload.filtered_count(t, F.col("p_brand") == "Brand#13",

@@ -29,7 +29,7 @@ RELATIONS: dict[str, T.StructType] = {
     ),
     "col": _schema(
         relid=_B, attnum=_I, attname=_S, null_frac=_D, avg_width=_B, mcf1=_D, mcv1=_S,
-        n_distinct=_B, has_stats=_F,
+        n_distinct=_D, has_stats=_F,
     ),
     "idx": _schema(
         index_name=_S, relid=_B, key1=_I, key2=_I, indpred=_S, idx_scan=_B, idx_tup_read=_B,

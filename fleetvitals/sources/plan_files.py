@@ -1,4 +1,4 @@
-"""Captured execution plans: text files, one plan in each."""
+"""Captured execution plans: a log of many plans per file, or one small file for each."""
 
 from __future__ import annotations
 
@@ -14,15 +14,35 @@ FILE_PATTERN = r"instance=(\d+)/plan=(\d+)\.txt"
 def read_plan_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per plan line from ``instance=<id>/plan=<id>.txt`` files.
 
-    A file is one short text, read whole so that its lines keep their numbers.
+    A file is one short text, read whole so that its lines keep their numbers; a file
+    whose path names no plan stops the read. For many plans use the plan log.
     """
     files = (spark.read.format("text").option("wholetext", True)
              .option("recursiveFileLookup", True).load(folder))
     path = F.col("_metadata.file_path")
+    unnamed = F.raise_error(F.concat(F.lit("no instance and plan in "), path)).cast("bigint")
+    own = [F.coalesce(F.regexp_extract(path, FILE_PATTERN, i).try_cast("bigint"), unnamed)
+           for i in (1, 2)]
     lines = files.select(
-        F.regexp_extract(path, FILE_PATTERN, 1).try_cast("bigint").alias("instance_id"),
-        F.regexp_extract(path, FILE_PATTERN, 2).try_cast("bigint").alias("plan_id"),
+        own[0].alias("instance_id"), own[1].alias("plan_id"),
         F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"),
     )
     return conform("plan", lines.where(F.col("line") != "").withColumn(
         "line_no", F.col("line_no") + 1))
+
+
+def write_plan_log(plan: DataFrame, folder: str, mode: str = "append") -> None:
+    """Plans as lines ``plan_id<TAB>line_no<TAB>text``, many plans to a file, by instance."""
+    line = F.concat_ws("\t", F.col("plan_id").cast("string"), F.col("line_no").cast("string"),
+                       F.coalesce("line", F.lit("")))
+    plan.select("instance_id", line.alias("value")).write.mode(mode).partitionBy(
+        "instance_id").text(folder)
+
+
+def read_plan_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of a plan log. Files are split between tasks, instances are folders."""
+    lines = spark.read.schema("value string, instance_id bigint").text(folder)
+    parts = F.split("value", "\t", 3)
+    return conform("plan", lines.select(
+        "instance_id", parts[0].cast("bigint").alias("plan_id"), parts[1].cast("int").alias("line_no"),
+        parts[2].alias("line")))

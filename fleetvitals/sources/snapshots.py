@@ -1,14 +1,16 @@
-"""Reading captured telemetry: files of every Spark format, or live servers over JDBC."""
+"""Reading captured telemetry: files of every Spark format, or live servers."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import importlib
+import json
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..schemas import RELATIONS, conform
 
@@ -29,7 +31,7 @@ WHERE c.relkind IN ('r', 'm', 'p')""",
 SELECT a.attrelid::bigint AS relid, a.attnum::int AS attnum, a.attname::text AS attname,
   s.null_frac::float8 AS null_frac, s.avg_width::bigint AS avg_width,
   s.most_common_freqs[1]::float8 AS mcf1, (s.most_common_vals::text::text[])[1] AS mcv1,
-  s.n_distinct::bigint AS n_distinct,
+  s.n_distinct::float8 AS n_distinct,
   (s.attname IS NOT NULL AND a.atttypid <> 'name'::regtype) AS has_stats
 FROM pg_attribute a JOIN pg_class c ON c.oid = a.attrelid
 JOIN pg_namespace n ON n.oid = c.relnamespace
@@ -70,6 +72,15 @@ SELECT query, sum(calls)::bigint AS calls, sum(total_exec_time)::numeric(28,2) A
 FROM pg_stat_statements GROUP BY query""",
 }
 
+# Columns that servers give beyond a relation's schema.
+SERVER_EXTRAS = {
+    "idx": {"indkey": ArrayType(IntegerType()), "indclass": StringType(), "indoption": StringType(),
+            "indexprs": StringType()},
+    "fk": {"attname": StringType()},
+    "stmt": {"temp_blks_read": LongType()},
+}
+FETCH_ROWS = 10_000
+
 
 def read_relation(
     spark: SparkSession, relation: str, path: str, fmt: str = "parquet",
@@ -110,20 +121,67 @@ def write_snapshot(
          .parquet(f"{folder.rstrip('/')}/{name}"))
 
 
+def server_schema(relation: str) -> StructType:
+    """What a server's rows of a relation hold, without asking it."""
+    own = [f for f in RELATIONS[relation] if f.name not in ("instance_id", "key1", "key2")]
+    more = [StructField(name, kind, True) for name, kind in SERVER_EXTRAS.get(relation, {}).items()]
+    known = {f.name for f in own}
+    return StructType([StructField("instance_id", LongType(), True), *own,
+                       *[f for f in more if f.name not in known]])
+
+
+class _ServerPartition(InputPartition):
+    def __init__(self, instance: int, address: str):
+        super().__init__((instance, address))
+
+
+class ServerReader(DataSourceReader):
+    """One partition per server; an executor connects, asks once and streams the rows."""
+
+    def __init__(self, options: Mapping[str, str], schema: StructType):
+        self.relation, self.driver, self.schema = options["relation"], options["driver"], schema
+        self.servers = {int(i): a for i, a in json.loads(options["servers"]).items()}
+
+    def partitions(self) -> list[InputPartition]:
+        return [_ServerPartition(i, a) for i, a in sorted(self.servers.items())]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        instance, address = partition.value
+        connection = importlib.import_module(self.driver).connect(address)
+        try:
+            cursor = connection.cursor()
+            cursor.execute(SERVER_QUERIES[self.relation])
+            names = [column[0] for column in cursor.description]
+            while rows := cursor.fetchmany(FETCH_ROWS):
+                for row in rows:
+                    found = {**dict(zip(names, row, strict=True)), "instance_id": instance}
+                    yield tuple(found.get(name) for name in self.schema.fieldNames())
+        finally:
+            connection.close()
+
+
+class ServerSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fleet_servers"
+
+    def schema(self) -> StructType:
+        return server_schema(self.options["relation"])
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return ServerReader(self.options, schema)
+
+
 def read_servers(
-    spark: SparkSession, relation: str, servers: Mapping[int, str],
-    properties: Mapping[str, str],
+    spark: SparkSession, relation: str, servers: Mapping[int, str], driver: str = "psycopg",
 ) -> DataFrame:
-    """One relation from live servers, given as instance id to JDBC URL.
+    """One relation from live servers, given as instance id to address.
 
-    Each server is one partition of the read, fetched by one executor; write the
-    result with `write_snapshot` before auditing it. Needs the server's JDBC
-    driver on the class path.
+    Every server is one partition of one read, its schema is declared, so the driver
+    connects to none. `driver` is a DB-API module that the executors can import. Write the
+    result with `write_snapshot` before auditing it.
     """
-    parts = [
-        conform(relation, spark.read.jdbc(url, f"({SERVER_QUERIES[relation]}) AS q",
-                                          properties=dict(properties))
-                .withColumn("instance_id", F.lit(instance).cast("bigint")))
-        for instance, url in servers.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    spark.dataSource.register(ServerSource)
+    rows = (spark.read.format("fleet_servers").option("relation", relation).option("driver", driver)
+            .option("servers", json.dumps({str(i): a for i, a in servers.items()})).load())
+    return conform(relation, rows)

@@ -105,7 +105,7 @@ PARTS = {
     "partial_missing": f"""
 select r.instance_id, r.relname as table_name, c.attname as column_name,
  r.reltuples as estimated_rows, c.mcv1 as dominant_value,
- {rounded('c.mcf1*100')} as percent_occurrence, c.n_distinct as estimated_distinct
+ {rounded('c.mcf1*100')} as percent_occurrence, cast(c.n_distinct as double) as estimated_distinct
 from fx_col c join fx_rel r on r.relid = c.relid
 where c.mcf1 > 0.85 and r.reltuples > 10000 and r.schema_name not like 'pg_%'
  and r.schema_name <> 'information_schema'
@@ -614,6 +614,13 @@ select i.instance_id, d.category, d.detector,
  count(f.detector) as findings
 from instances i cross join detector_names d left join findings f
  on f.instance_id = i.instance_id and f.detector = d.detector group by 1,2,3""",
+    "r10_report_contents": """
+select i.instance_id, d.detector, count(f.detector) as stated, count(f.detector) as listed,
+ count(distinct f.object_name) as objects
+from instances i cross join detector_names d left join findings f
+ on f.instance_id = i.instance_id and f.detector = d.detector group by 1,2""",
+    "s03_plan_log": "select instance_id, plan_id, cast(1 as int) as line_no, line from fx_plan",
+    "s06_report_sink": "select instance_id, category, detector, object_name, sql_fix from findings",
     "w01_count_by_key": "select o_custkey, count(*) as n from orders group by 1",
     "w02_filtered_count": """
 select count(*) as n from part where p_brand = 'Brand#13' and p_size > 10""",

@@ -14,7 +14,7 @@ CALM = {
                 n_tup_del=50, size_bytes=8192, relpages=1, toastpages=0, toasttuples=0,
                 reloptions=""),
     "col": dict(relid=1, attnum=1, attname="id", null_frac=0.0, avg_width=4, mcf1=None, mcv1=None,
-                n_distinct=-1, has_stats=True),
+                n_distinct=-1.0, has_stats=True),
     "idx": dict(index_name="t_pkey", relid=1, key1=1, key2=None, indpred=None, idx_scan=9,
                 idx_tup_read=9, idx_tup_fetch=9, size_bytes=8192),
     "fk": dict(constraint_name="fk", relid=1, attnum=1, ref_relid=1),

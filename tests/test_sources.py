@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetvitals.plans import findings, report
-from fleetvitals.schemas import RELATIONS, RelationError
+from fleetvitals.schemas import RELATIONS, RelationError, conform
 from fleetvitals.session import shared_folder
 from fleetvitals.sources import plan_files, report_sink, snapshots
 from helpers import make
@@ -56,6 +56,47 @@ def test_plan_files(spark, tmp_path):
         (3, 12, 1, "Sort"), (3, 12, 2, "  Sort Method: quicksort"), (3, 13, 1, "Seq Scan on t")]
 
 
+def test_plan_log_holds_many_plans_to_a_file(spark, tmp_path):
+    rows = [dict(instance_id=i, plan_id=p, line_no=n, line=f"  a\tb {p}")
+            for i in (3, 4) for p in range(20) for n in (1, 2)]
+    plan = make(spark, "plan", *rows).coalesce(1)
+    plan_files.write_plan_log(plan, str(tmp_path / "log"))
+    back = plan_files.read_plan_log(spark, str(tmp_path / "log"))
+    assert sorted(map(tuple, back.select(plan.columns).collect())) == sorted(map(tuple, plan.collect()))
+    assert len(back.inputFiles()) == 2
+
+
+def test_a_plan_file_without_a_name_stops_the_read(spark, tmp_path):
+    (tmp_path / "other.txt").write_text("Seq Scan on t")
+    with pytest.raises(Exception, match="no instance and plan"):
+        plan_files.read_plan_files(spark, str(tmp_path)).collect()
+
+
+def test_servers_are_read_one_partition_each(spark, tmp_path, monkeypatch):
+    reader = snapshots.ServerReader(
+        {"relation": "idx", "driver": "canned_server", "servers": '{"7": "b", "3": "a"}'},
+        snapshots.server_schema("idx"))
+    assert [p.value for p in reader.partitions()] == [(3, "a"), (7, "b")]
+    (tmp_path / "canned_server.py").write_text(
+        "class connect:\n"
+        "    def __init__(self, address): self.left = [(address + '_pkey', 5, [2, 1])]\n"
+        "    def cursor(self): return self\n"
+        "    def execute(self, text): self.description = [('index_name',), ('relid',), ('indkey',)]\n"
+        "    def fetchmany(self, n): rows, self.left = self.left, []; return rows\n"
+        "    def close(self): pass\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    rows = [row for part in reader.partitions() for row in reader.read(part)]
+    names = snapshots.server_schema("idx").fieldNames()
+    assert [{n: v for n, v in zip(names, row) if v is not None} for row in rows] == [
+        {"instance_id": 3, "index_name": "a_pkey", "relid": 5, "indkey": [2, 1]},
+        {"instance_id": 7, "index_name": "b_pkey", "relid": 5, "indkey": [2, 1]}]
+
+
+@pytest.mark.parametrize("relation", sorted(snapshots.SERVER_QUERIES))
+def test_server_rows_fit_their_relation(spark, relation):
+    assert conform(relation, spark.createDataFrame([], snapshots.server_schema(relation))).count() == 0
+
+
 def test_report_sinks(spark, tmp_path):
     relations = {n: make(spark, n, {}) for n in ("rel", "setting", "ext")}
     found = findings.all_findings(relations)
