@@ -57,19 +57,20 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         *key, F.when(F.col("known"), F.col("parent")).alias("parent"), "score"), "nodes")
     limit = nodes.count()
 
-    # sums: per message the score of the 2^k messages from it upwards, and what lies above them
+    # sums: per message the score of the 2^k messages from it upwards, and what lies above
+    # them. Only messages with something above them go on to the next round.
     sums = nodes.select(*key, F.col("parent").alias("up"), F.col("score").alias("total"))
     ups: list[DataFrame] = []
     while True:
-        up = sums.where("up is not null").select(*key, "up")
-        if up.isEmpty() or 2 ** len(ups) > limit:
+        rising = sums.where("up is not null")
+        if rising.isEmpty() or 2 ** len(ups) > limit:
             break
-        ups.append(up)
+        ups.append(rising.select(*key, "up"))
         above = sums.select("tree_id", F.col("node").alias("up"), F.col("up").alias("next"),
                             F.col("total").alias("more"))
-        sums = stored(_equal_join(sums, above, ["tree_id", "up"], "left").select(
-            *key, F.col("next").alias("up"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "sums")
+        risen = _equal_join(rising, above, ["tree_id", "up"], "inner").select(
+            *key, F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        sums = stored(sums.where("up is null").unionByName(risen), "sums")
 
     parents = nodes.where("parent is not null").select("tree_id", F.col("parent").alias("node"))
     leaves = _equal_join(sums.where("up is null"), parents.distinct(), key, "left_anti")
