@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fleetvitals.session import stored
 
-from .text import as_list, fold
+from .text import as_list, fold, slices
 
 ORDER = 4
 FOLDS, HELD_OUT = 4, 2
@@ -56,27 +56,30 @@ def _counted(docs: DataFrame) -> DataFrame:
     schema = docs.sparkSession.createDataFrame([], _GRAMS).schema
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            langs, texts = (as_list(c) for c in part.columns)
+        for part in slices(parts):
             by: dict[bytes, list[bytes]] = {}
-            for lang, text in zip(langs, texts, strict=True):
+            for lang, text in zip(*[as_list(c) for c in part.columns], strict=True):
                 by.setdefault(lang, []).append(b"\0" * ORDER + text)
             for lang, own in by.items():
-                codes = np.frombuffer(b"".join(own), np.uint8).astype(np.int64)
-                if len(codes) <= ORDER:
-                    continue
-                grams = np.zeros(len(codes) - ORDER, np.int64)
-                for place in range(ORDER + 1):
-                    grams = (grams << 8) | codes[place:len(codes) - ORDER + place]
-                grams, n = np.unique(grams[(grams & 255) != 0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([lang.decode()] * len(grams)),
-                    "gram": pa.array(grams), "n": pa.array(n)})
+                for group in groups(own):
+                    grams, n = np.unique(_grams(b"".join(group)), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": pa.array([lang.decode()] * len(grams)),
+                        "gram": pa.array(grams), "n": pa.array(n)})
 
     found = docs.select("lang", "text").mapInArrow(count, schema)
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _grams(texts: bytes) -> np.ndarray:
+    """Every byte with the four before it, as one number; zero bytes end none."""
+    codes = np.frombuffer(texts, np.uint8)
+    grams = np.zeros(max(0, len(codes) - ORDER), np.int64)
+    for place in range(ORDER + 1):
+        grams = (grams << 8) | codes[place:len(codes) - ORDER + place]
+    return grams[(grams & 255) != 0]
+
+
 def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from texts with a lang, in folds other than 2, about `train_rows` of them at most.
 
@@ -199,10 +202,10 @@ def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if own is None:
             _models.clear()
             own = _models[name] = sent.value
-        for part in parts:
+        for part in slices(parts):
             texts = [t or b"" for t in as_list(part.column(text_col))]
             langs, scores = [], []
-            for group in _groups(texts):
+            for group in groups(texts):
                 found = _predicted(group, own)
                 langs += found[0]
                 scores += found[1]
@@ -213,7 +216,7 @@ def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(*names).mapInArrow(judge, schema)
 
 
-def _groups(texts: list[bytes]) -> list[list[bytes]]:
+def groups(texts: list[bytes]) -> list[list[bytes]]:
     """The texts in order, in groups of about AT_ONCE bytes."""
     groups, size = [], AT_ONCE
     for text in texts:

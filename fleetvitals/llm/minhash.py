@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from fleetvitals.session import stored
 
 from .components import components
-from .text import as_list, blank_words, map_texts, mixed, restricted, word_hashes
+from .text import as_list, blank_words, map_texts, mixed, restricted, slices, word_hashes
 
 WORDS = 5
 LANES = 60
@@ -188,7 +188,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
-        for part in parts:
+        for part in slices(parts):
             keep = []
             columns = [as_list(part.column(i)) for i in range(4)]
             for at, (a, text_a, _, text_b) in enumerate(zip(*columns, strict=True)):

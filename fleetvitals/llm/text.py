@@ -51,7 +51,7 @@ def map_texts(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(kinds)
-        for part in parts:
+        for part in slices(parts):
             lists = [as_list(part.column(i)) for i in range(part.num_columns)]
             rows = list(map(row, *lists))
             out = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
@@ -61,6 +61,17 @@ def map_texts(
     return df.select(*columns).mapInArrow(batches, kinds)
 
 
+# So many rows at a time become Python objects.
+SLICE_ROWS = 256
+
+
+def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, which bounds what a worker holds beside a batch."""
+    for part in parts:
+        for first in range(0, part.num_rows, SLICE_ROWS):
+            yield part.slice(first, SLICE_ROWS)
+
+
 def as_list(column: pa.Array) -> list:
     """A column's values; texts as UTF-8 bytes, which spares decoding them."""
     if pa.types.is_string(column.type):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import word_encoder
-from .text import as_list, mixed
+from .text import as_list, mixed, slices
 
 BLOCK_IDS = 1 << 20
 BLOCK_DOCS = 1 << 15
@@ -139,7 +139,7 @@ def write_store(
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], f.type) for v, f in zip(row, target, strict=True)], schema=target)
 
-        for part in parts:
+        for part in slices(parts):
             for doc_id, text in zip(*[as_list(c) for c in part.columns], strict=True):
                 own = NO_ID if doc_id is None else doc_id
                 copy = copy + 1 if own == last else 0

@@ -76,13 +76,14 @@ def sigmoid(x: float) -> float:
 
 def _fitted(rates: Rates):
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [part for part in parts if len(part)]
-        if not found:
+        # 32-bit places, the bias behind them: a row stays the bytes it came as.
+        rows = sorted(((draw, label, places) for part in parts for draw, label, places in zip(
+            part["draw"], part["label"], part["places"], strict=True)))
+        if not rows:
             return
-        rows = pd.concat(found, ignore_index=True).sort_values(["draw", "label"])
         learner = Ftrl(rates)
-        texts = [np.append(np.frombuffer(x, "<i4").astype(np.int64), BIAS) for x in rows["places"]]
-        labels = rows["label"].tolist()
+        texts = [np.frombuffer(places, "<i4") for _, _, places in rows]
+        labels = [label for _, label, _ in rows]
         for epoch in range(rates.epochs):
             for at in np.random.RandomState(epoch).permutation(len(texts)):
                 learner.learn(texts[at], labels[at])
@@ -112,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, rates: Rates | None = None,
     texts = docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id")
 
     def row(text: bytes, label: int, at: float) -> tuple:
-        return np.unique(features(text)).astype("<i4").tobytes(), label, at
+        places = np.append(np.unique(features(text)), BIAS)
+        return places.astype("<i4").tobytes(), label, at
 
     rows = map_texts(texts, "places binary, label int, draw double", row, "text", "label", "draw")
     return rows.repartition(1).mapInPandas(_fitted(rates or Rates()), "place int, weight double")
