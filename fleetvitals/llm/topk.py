@@ -7,7 +7,8 @@ level of that dimension, which is never negative. Segments are processed by fall
 impact, each adding its impact to the accumulators of its vectors. What the segments
 to come can still add is bounded by the sum of each dimension's next impact. From
 that and the k best exact scores seen so far follows which vectors can still be
-members; only when these are few, which proves all others out, the work stops, and
+members. The k best are of k different ids, as of several vectors of one id only the best
+counts. Only when the possible members are few, which proves all others out, the work stops, and
 the possible members are scored exactly. If they never become few, all segments are
 processed and all that the quantisation leaves possible are scored.
 """
@@ -39,6 +40,9 @@ class ShardIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        # Where the rows of each id begin, and the end.
+        self.turns = np.flatnonzero(np.concatenate(
+            [[True], self.ids[1:] != self.ids[:-1], [True]]))
         self.low = self.vectors.min(axis=0)
         span = self.vectors.max(axis=0) - self.low
         self.step = span // LEVELS + 1
@@ -70,9 +74,7 @@ class ShardIndex:
                 left[dim] -= 1
             done = upto
             rest = int((size * self.step * left).sum())
-            top = np.argpartition(-reached, min(k, len(reached) - 1))[:k + 1]
-            exact = np.sort((self.vectors[top] @ query)[~mine[top]])[::-1][:k]
-            least = int(exact[-1]) if len(exact) == k else None
+            least = self._least(query, own, k, reached)
             possible = ~mine if least is None else ~mine & (reached + (base + rest + slack) >= least)
             if stop == 1.0 or np.count_nonzero(possible) <= FEW + k:
                 break
@@ -82,6 +84,19 @@ class ShardIndex:
         order = np.lexsort((ids, -first))[:k]
         return ids[order], first[order]
 
+    def _least(self, query: np.ndarray, own: int, k: int, reached: np.ndarray) -> int | None:
+        """A score that k different ids other than `own` have or exceed; None if there are fewer."""
+        first = self.turns[:-1]
+        high = np.maximum.reduceat(reached, first)
+        top = np.argpartition(-high, min(k, len(high) - 1))[:k + 1]
+        top = top[self.ids[first[top]] != own][:k]
+        if len(top) < k:
+            return None
+        # Of each of them the row that has reached most: its exact score is the id's or less.
+        rows = [a + int(reached[a:b].argmax())
+                for a, b in zip(first[top], self.turns[top + 1], strict=True)]
+        return int((self.vectors[rows] @ query).min())
+
 
 def _one_row_each(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best score of each id."""
@@ -124,7 +139,7 @@ def top_k(
     Every shard passes its queries one block after the other, so a task holds one shard.
     """
     spark = vectors.sparkSession
-    every = _usable(vectors, id_col, vector_col)
+    every = stored(_usable(vectors, id_col, vector_col), "candidates")
     asked = _usable(queries, id_col, vector_col)
     shards = -(-every.count() // SHARD_ROWS) or 1
     blocks = -(-asked.count() // BLOCK_QUERIES) or 1
@@ -166,5 +181,7 @@ def _answers(index: ShardIndex, ids: np.ndarray, cells: np.ndarray, k: int) -> I
 
 
 def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Rows with id and vector, repeated ones once."""
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("cells"))
-    return rows.where("id is not null and cells is not null").withColumn("dim", F.size("cells"))
+    rows = rows.where("id is not null and cells is not null").distinct()
+    return rows.withColumn("dim", F.size("cells"))

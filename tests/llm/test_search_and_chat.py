@@ -55,6 +55,20 @@ def test_few_segments_are_enough_where_neighbours_stand_out():
     assert ids.tolist() == [1, 2, 3, 4] and set(scores.tolist()) == {900 * 900 * 32}
 
 
+@pytest.mark.parametrize("spread", [0, 3])
+def test_repeats_of_one_outstanding_id_hide_no_other(spark, spread):
+    rng = np.random.RandomState(8)
+    vectors = [(i, rng.randint(-40, 40, 16).tolist()) for i in range(300)]
+    # The same row 30 times, or 30 vectors of one id.
+    vectors += [(900, (900 + rng.randint(-spread, spread + 1, 16)).tolist()) for _ in range(30)]
+    queries = [(1000, [50] * 16), (900, [50] * 16), vectors[4]]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    found = {}
+    for r in topk.top_k(frame(vectors), frame(queries), 10).collect():
+        found.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert {q: sorted(rows) for q, rows in found.items()} == plain_top(vectors, queries, 10)
+
+
 def test_vectors_are_floored_and_bad_ones_left_out(spark):
     rows = [(1, [0.5, -0.0001]), (2, None), (3, [1.0, None]), (4, [float("nan"), 0.0]),
             (5, [float("-inf"), 0.0]), (6, [])]
