@@ -97,10 +97,10 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS)
         mask = (1 << 8 * (order + 1)) - 1
         cut = grams.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(
             F.sum("n").alias("n")).withColumn("order", F.lit(order))
-        # Contexts that reach before a text are no contexts.
-        if order:
-            oldest = F.shiftright("gram", 8 * order).bitwiseAND(255)
-            cut = cut.where(oldest != 0)
+        # Contexts that reach before a text or over a zero byte in it are no contexts, at no
+        # order, so that a context's suffixes are there wherever it is.
+        for place in range(1, order + 1):
+            cut = cut.where(F.shiftright("gram", 8 * place).bitwiseAND(255) != 0)
         levels = cut if levels is None else levels.unionByName(cut)
     levels = stored(levels.withColumn("context", F.shiftright("gram", 8)), "levels")
     nodes = stored(levels.groupBy("order", "context").agg(F.sum("n").alias("total")).orderBy(

@@ -65,6 +65,18 @@ def test_code_lengths_are_those_of_the_recursion(spark):
                 plain_code_length(probe, counts, langid.ORDER), rel=1e-4)
 
 
+def test_language_of_texts_with_zero_bytes(spark):
+    rows = [(i, "t\0h\0e a\0\0bc the and of \0with", "en", "s", 1) for i in range(1, 30)]
+    rows += [(100 + i, "der die\0das und", "de", "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(docs)
+    found = {r.doc_id: r.lang_pred for r in langid.judged(docs, model).collect()}
+    assert found == {i: lang for i, _, lang, _, _ in rows}
+    # A zero byte costs nothing and ends the context, as the end of a text does.
+    apart, whole = (langid.code_lengths(t, model) for t in ([b"the", b"and"], [b"the\0and"]))
+    assert apart.sum(axis=0) == pytest.approx(whole[0], rel=1e-6)
+
+
 def test_language_of_odd_rows(spark):
     rows = [(i, f"the and of {i} with", "en", "s", 1) for i in range(1, 41)]
     rows += [(100 + i, f"der die das {i} und", "de", "s", 1) for i in range(40)]
