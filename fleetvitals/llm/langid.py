@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetvitals.session import stored
@@ -33,6 +33,11 @@ FOLDS, HELD_OUT = 4, 2
 # At most about so many texts are learnt from, chosen by a hash of their id.
 TRAIN_ROWS = 12_000
 CONTEXTS = 8_000
+# The texts of this part of the ids, in none of the folds held out, set the bounds of `limits`.
+PARTS, BACK = 16, 5
+# A text's bits a byte may lie so far over the middle of its language, or over what all but
+# one in 1,000 have; a short text's by this much more, over the root of its bytes.
+LEAST_OVER, QUANTILE, SHORT = 2.0, 0.999, 12.0
 NONE = "und"
 AT_ONCE = 1 << 19
 _GRAMS = "lang string, gram long, n long"
@@ -80,17 +85,31 @@ def _grams(texts: bytes) -> np.ndarray:
     return grams[(grams & 255) != 0]
 
 
-def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS) -> Model:
+def _usable(docs: DataFrame) -> DataFrame:
+    usable = docs.select("doc_id", "text", "lang").where(
+        "lang is not null and text is not null and doc_id is not null")
+    return usable.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+
+
+def _drawn(usable: DataFrame, rows: int) -> DataFrame:
+    """About `rows` texts at most, by hash of the id."""
+    share = min(1.0, 0.95 * rows / max(1, usable.select("doc_id", "lang").count()))
+    return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+
+
+def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS,
+        hold_back: bool = False) -> Model:
     """Learn from texts with a lang, in folds other than 2, about `train_rows` of them at most.
 
+    With `hold_back` the texts that `limits` uses are left out too.
+
     The most frequent `contexts` contexts become nodes. What comes to the driver is
     bounded by contexts times bytes times languages.
     """
-    usable = docs.select("doc_id", "text", "lang").where(
-        "lang is not null and text is not null and doc_id is not null")
-    usable = usable.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    share = min(1.0, 0.95 * train_rows / max(1, usable.select("doc_id", "lang").count()))
-    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    usable = _usable(docs)
+    if hold_back:
+        usable = usable.where(fold(F.col("doc_id"), PARTS) != BACK)
+    usable = _drawn(usable, train_rows)
     grams = stored(_counted(usable), "grams")
     levels = None
     for order in range(ORDER + 1):
@@ -175,6 +194,27 @@ def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:
     return sums
 
 
+def allowance(n_bytes: Column) -> Column:
+    """Bits a byte that a text of so many bytes may lie over the bound of long ones."""
+    return F.lit(SHORT) / F.sqrt(F.greatest(n_bytes, F.lit(1)))
+
+
+def limits(docs: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> dict[str, float]:
+    """Bits a byte up to which a long text is in a language, from texts not learnt from.
+
+    A language none of whose texts was held back has the largest bound of the others;
+    if no text at all was, there is no bound. What comes to the driver is a row a language.
+    """
+    back = _drawn(_usable(docs).where(fold(F.col("doc_id"), PARTS) == BACK), train_rows)
+    found = judged(back, model, keep=("lang",)).where("lang = lang_pred and n_bytes > 0")
+    rate = F.col("bits") / F.col("n_bytes")
+    rows = found.groupBy("lang").agg(
+        F.percentile_approx(rate, 0.5).alias("middle"),
+        F.percentile_approx(rate - allowance(F.col("n_bytes")), QUANTILE).alias("high")).collect()
+    known = {r.lang: max(LEAST_OVER * r.middle, r.high) for r in rows}
+    return {lang: known.get(lang, max(known.values())) for lang in model.langs} if known else {}
+
+
 _models: dict[str, Model] = {}
 
 
@@ -184,7 +224,10 @@ def has_letter(text: bytes) -> bool:
 
 def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
            keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row of `docs`, whole texts; `keep` adds its columns.
+    """(doc_id, lang_pred, score, bits, n_bytes) of every row of `docs`, whole texts.
+
+    `keep` adds its columns. `bits` is the code length under the predicted language,
+    `n_bytes` the number of bytes it is of, zero bytes not counted.
 
     The score is the probability of the predicted language if all were equally likely
     before. Texts that are null or have no letter, and all texts if no language was
@@ -195,7 +238,7 @@ def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = list(dict.fromkeys([id_col, text_col, *keep]))
     shown = [n for n in names if n != text_col or n in keep]
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in shown)
-    schema = docs.sparkSession.createDataFrame([], f"{schema}, lang_pred string, score double").schema
+    schema = docs.sparkSession.createDataFrame([], f"{schema}, lang_pred string, score double, bits double, n_bytes long").schema
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _models.get(name)
@@ -204,14 +247,18 @@ def judged(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             own = _models[name] = sent.value
         for part in slices(parts):
             texts = [t or b"" for t in as_list(part.column(text_col))]
-            langs, scores = [], []
+            langs, scores, bits = [], [], []
             for group in groups(texts):
                 found = _predicted(group, own)
                 langs += found[0]
                 scores += found[1]
+                bits += found[2]
+            sizes = [len(t) - t.count(0) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(n) for n in shown], pa.array(langs, pa.string()),
-                 pa.array(scores, pa.float64())], names=[*shown, "lang_pred", "score"])
+                 pa.array(scores, pa.float64()), pa.array(bits, pa.float64()),
+                 pa.array(sizes, pa.int64())],
+                names=[*shown, "lang_pred", "score", "bits", "n_bytes"])
 
     return docs.select(*names).mapInArrow(judge, schema)
 
@@ -228,13 +275,14 @@ def groups(texts: list[bytes]) -> list[list[bytes]]:
     return groups
 
 
-def _predicted(texts: list[bytes], model: Model) -> tuple[list[str], list[float]]:
+def _predicted(texts: list[bytes], model: Model) -> tuple[list[str], list[float], list[float]]:
     if not model.langs:
-        return [NONE] * len(texts), [0.0] * len(texts)
+        return [NONE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     bits = code_lengths(texts, model)
     best = bits.argmin(axis=1)
     over = bits - bits.min(axis=1, keepdims=True)
     score = 1 / np.exp2(-np.minimum(over, 1000)).sum(axis=1)
     letters = [has_letter(t) for t in texts]
     return ([model.langs[b] if ok else NONE for b, ok in zip(best.tolist(), letters, strict=True)],
-            [s if ok else 0.0 for s, ok in zip(score.tolist(), letters, strict=True)])
+            [s if ok else 0.0 for s, ok in zip(score.tolist(), letters, strict=True)],
+            bits.min(axis=1).tolist())

@@ -34,6 +34,19 @@ def test_stages(spark):
     assert len(by["language_id"]) == table(spark, FOLDER, "documents").count()
 
 
+def test_texts_in_no_learnt_language_go(spark):
+    docs = table(spark, FOLDER, "documents")
+    foreign = ("Hyvää huomenta kaikille ystäville, jotka tulivat tänne kauempaa kuin me. "
+               "Kylmä talvi jäätää järvet ja pitkät yöt hiljentävät metsän. ") * 4
+    rubbish = " ".join(f"xq{i}zvk wjjpq{i * 7} wrtzqqgk vbnmzxcv" for i in range(30))
+    cyrillic = "Быстрая лиса прыгает через ленивую собаку и бежит домой. " * 4
+    rows = [(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate((foreign, rubbish, cyrillic))]
+    more = docs.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame(
+        rows, docs.select(*corpus_pipeline.COLUMNS).schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, more, FOLDER).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_every_query_is_registered():
     names = set(spark_entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {
