@@ -47,6 +47,24 @@ def test_texts_in_no_learnt_language_go(spark):
     assert kept == {r.doc_id for r in docs.collect()}
 
 
+def test_rows_without_id_are_kept_once(spark):
+    prose = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    item = next(r.text for r in table(spark, FOLDER, "benchmark").collect()
+                if len(brute.words(r.text)) >= 10)
+    rows = [(1, prose(1)), (2, prose(2)), (None, prose(1)), (None, prose(2) + " end"),
+            (None, prose(3)), (None, prose(3)), (None, prose(3) + " end"), (None, prose(4)),
+            (None, item), (2**63 - 1, prose(5)), (None, prose(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stored(corpus_pipeline.near_dedup(spark, docs, FOLDER), "kept-rows")
+    found = sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=lambda x: x[1])
+    assert [x for x in found if x[0]] == [(1, prose(1)), (2, prose(2)), (2**63 - 1, prose(5))]
+    own = [t for i, t in found if not i]
+    assert len(own) == 3 and {t.removesuffix(" end") for t in own} == {prose(3), prose(4), item}
+    clean = {r.text for r in corpus_pipeline.benchmark_free(spark, kept, FOLDER).collect()}
+    assert clean == {t for _, t in found} - {item}
+
+
 def test_every_query_is_registered():
     names = set(spark_entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {
