@@ -30,7 +30,8 @@ from .text import as_list, fold, slices
 
 ORDER = 4
 FOLDS, HELD_OUT = 4, 2
-# At most about so many texts are learnt from, chosen by a hash of their id.
+# At most about so many texts are learnt from, dealt equally to languages where they have
+# them and chosen by a hash of their id.
 TRAIN_ROWS = 12_000
 CONTEXTS = 8_000
 # The texts of this part of the ids, in none of the folds held out, set the bounds of `limits`.
@@ -91,10 +92,31 @@ def _usable(docs: DataFrame) -> DataFrame:
     return usable.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
 
 
+def level(counts: list[int], rows: int) -> int:
+    """The most texts a language may give so that all together give about `rows`, one at least."""
+    left, found = rows, sorted(counts)
+    for at, n in enumerate(found):
+        fair = left // (len(found) - at)
+        if n > fair:
+            return max(1, fair)
+        left -= n
+    return max([1, *found])
+
+
 def _drawn(usable: DataFrame, rows: int) -> DataFrame:
-    """About `rows` texts at most, by hash of the id."""
-    share = min(1.0, 0.95 * rows / max(1, usable.select("doc_id", "lang").count()))
-    return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    """About `rows` texts at most, by hash of the id.
+
+    Languages are counted first. One with fewer texts than an equal part of the rows gives
+    all of them, and what it leaves goes to the others, which give equally many.
+    """
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = level(list(counts.values()), rows)
+    cut = {lang: 0.95 * most / n for lang, n in counts.items() if n > most}
+    if not cut:
+        return usable
+    share = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])[F.col("lang")]
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003
+    return usable.where(F.coalesce(drawn, F.lit(True)))
 
 
 def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS,
@@ -103,8 +125,10 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS,
 
     With `hold_back` the texts that `limits` uses are left out too.
 
-    The most frequent `contexts` contexts become nodes. What comes to the driver is
-    bounded by contexts times bytes times languages.
+    Of L languages each gives all its texts or `train_rows` / L at least. The `contexts`
+    contexts of the largest share of their languages' bytes, summed over languages, become
+    nodes, so a language counts alike however many texts it has. What comes to the driver
+    is bounded by contexts times bytes times languages.
     """
     usable = _usable(docs)
     if hold_back:
@@ -122,7 +146,11 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS,
             cut = cut.where(F.shiftright("gram", 8 * place).bitwiseAND(255) != 0)
         levels = cut if levels is None else levels.unionByName(cut)
     levels = stored(levels.withColumn("context", F.shiftright("gram", 8)), "levels")
-    nodes = stored(levels.groupBy("order", "context").agg(F.sum("n").alias("total")).orderBy(
+    # Whole numbers: no rounding of sums can set a context before its suffix.
+    sizes = F.broadcast(levels.where("order = 0").groupBy("lang").agg(F.sum("n").alias("size")))
+    each = levels.groupBy("order", "context", "lang").agg(F.sum("n").alias("n")).join(sizes, "lang")
+    part = (F.col("n") / F.col("size") * F.lit(float(1 << 40))).cast("long")
+    nodes = stored(each.groupBy("order", "context").agg(F.sum(part).alias("total")).orderBy(
         F.col("total").desc(), "order", "context").limit(contexts).select("order", "context"), "nodes")
     found = levels.join(nodes, ["order", "context"]).select(
         "order", "context", F.col("gram").bitwiseAND(255).cast("int").alias("byte"), "lang", "n")

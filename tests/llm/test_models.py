@@ -77,6 +77,20 @@ def test_language_of_texts_with_zero_bytes(spark):
     assert apart.sum(axis=0) == pytest.approx(whole[0], rel=1e-6)
 
 
+def test_rare_languages_are_learnt_beside_large_ones(spark):
+    rows = [(i, f"the and of {i} with a thing{i} that was there", "en", "s", 1) for i in range(3000)]
+    rows += [(5000 + i, f"der die das {i} und", "de", "s", 1) for i in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(docs, contexts=60, train_rows=50)
+    assert model.langs == ["de", "en"]
+    found = langid.judged(docs, model).collect()
+    assert all(r.lang_pred == ("de" if r.doc_id >= 5000 else "en") for r in found)
+    # Of the 60 contexts, those of the rare language are not left out.
+    de, en = langid.code_lengths([b"der die das und"], model)[0]
+    assert de < 0.5 * en
+    assert langid.level([10, 2000, 5000], 3010) == 1500 and langid.level([3, 4], 100) == 4
+
+
 def test_language_of_odd_rows(spark):
     rows = [(i, f"the and of {i} with", "en", "s", 1) for i in range(1, 41)]
     rows += [(100 + i, f"der die das {i} und", "de", "s", 1) for i in range(40)]
