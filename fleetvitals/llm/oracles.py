@@ -101,6 +101,55 @@ select doc_id, size, text_crc32, 'bytes' as law, cast(shard as int) as shard,
 from r join m on m.virtual_slot = r.virtual_slot"""
 
 
+_CRC_TABLE = f"""crc as (select list(c order by b) as t from (select b, list_reduce(
+   list_prepend(cast(b as bigint), cast(range(8) as bigint[])), lambda c, k: {_CRC_STEP}) as c
+  from (select unnest(range(256)) as b)))"""
+# Decimal digits and the minus sign are one byte each.
+_CRC_OF_ID = """xor(list_reduce(list_prepend(4294967295, list_transform(
+   string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+  lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"""
+RUNS = f"""
+with {_CRC_TABLE},
+d as (select row_number() over () as r, doc_id, {_CRC_OF_ID} as h,
+  regexp_extract_all(coalesce(text, ''), '{_BLANK}') as ws from documents, crc),
+e as (select r, doc_id, ws, len(ws) as n, h % 10 = 0 as looped, h // 10 as g,
+  (h // 10) % greatest(len(ws), 1) as a from d),
+w as (select r, doc_id, n, case when looped and n > 0 then list_transform(range(n), lambda i:
+   ws[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end])
+  else ws end as ws from e),
+s as (select r, i, array_to_string(ws[i + 1:i + 6], ' ') as g from w, unnest(range(n - 5)) t(i)),
+m as (select a.r, a.i - b.i as q, a.i from s a join s b on a.r = b.r and a.g = b.g and a.i > b.i),
+x as (select r, q, i, i - row_number() over (partition by r, q order by i) as k from m),
+l as (select r, q, min(i) - q as start, count(*) + 5 + q as length from x group by r, q, k),
+u as (select r, start, length, min(q) as period from l
+ where length >= greatest(12, 2 * q) group by r, start, length),
+gone as (select distinct r, unnest(range(start + period, start + length)) as p from u),
+kept as (select w.r, string_agg(ws[i + 1], ' ' order by i) as text from w, unnest(range(n)) t(i)
+ where not exists (select 1 from gone where gone.r = w.r and gone.p = i) group by w.r),
+named as (select r, count(*) as n_runs,
+  string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as lines,
+  arg_min(struct_pack(s := start, n := length, p := period), (-length, start, period)) as best
+ from u group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.n as length, best.p as period,
+ 1000 * best.n // best.p as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+ sha256(coalesce(kept.text, '')) as collapsed_sha256
+from w left join named on named.r = w.r left join kept on kept.r = w.r"""
+
+REPEATS = f"""
+with w as (select row_number() over () as r, doc_id,
+  regexp_extract_all(coalesce(text, ''), '{_BLANK}') as ws from documents),
+v as (select r, i, array_to_string(ws[i:i + 34], ' ') as g from w, unnest(range(1, len(ws) - 33)) t(i)),
+twice as (select g from v group by g having count(*) > 1),
+gone as (select distinct r, unnest(range(i, i + 35)) as p from v semi join twice on v.g = twice.g),
+kept as (select w.r, string_agg(ws[i], ' ' order by i) as text
+ from w, unnest(range(1, len(ws) + 1)) t(i)
+ where not exists (select 1 from gone where gone.r = w.r and gone.p = i) group by w.r),
+lost as (select r, count(*) as n from gone group by r)
+select doc_id, len(ws) as n_words, coalesce(lost.n, 0) as n_removed,
+ sha256(coalesce(kept.text, '')) as kept_sha256
+from w left join lost on lost.r = w.r left join kept on kept.r = w.r"""
+
+
 def texts() -> dict[str, str]:
     return {
         "op1_minhash_forest": NEAR_DUPLICATES,
@@ -108,4 +157,6 @@ def texts() -> dict[str, str]:
         "op3_aho_corasick": CONTAMINATION,
         "op5_reply_trees": CHAT,
         "op7_virtual_slots": SLOTS,
+        "op11_periodic_runs": RUNS,
+        "op13_suffix_automata": REPEATS,
     }

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetvitals.session import new_folder, stored
 
 from . import (
-    bpe, chat, decontaminate, langid, minhash, oracles, shards, token_store, topk, toxicity, urls,
+    align, bpe, chat, decontaminate, langid, minhash, oracles, runs, shards, substrings, token_store,
+    topk, toxicity, urls,
 )
 from .text import fold
 
@@ -105,6 +107,36 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    changed = docs.select("doc_id", runs.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.collapsed_runs(changed)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("fast"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(
+        ",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.fast")).alias("period"),
+        F.floor(F.expr("1000 * best.length div -best.fast")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.cross_alignment(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed",
+                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_forest": near_dedup,
@@ -117,6 +149,9 @@ def queries() -> dict[str, Query]:
         "op8_ftrl_toxicity": toxic_texts,
         "op9_chunked_bpe": bpe_round_trip,
         "op10_ppm_language": language,
+        "op11_periodic_runs": periodic_runs,
+        "op12_token_alignment": token_alignment,
+        "op13_suffix_automata": repeated_passages,
     }
 
 

@@ -73,3 +73,51 @@ def contamination(text: str | None, items: list[tuple[str, str | None]]) -> tupl
                     hit.update(range(i, i + len(window)))
                     named.add(item)
     return len(own), len(hit), sorted(named)
+
+
+def blank_words(text: str | None) -> list[str]:
+    return re.findall("[^\x20\x09-\x0d]+", text or "")
+
+
+def periodic_runs(words: list) -> list[tuple[int, int, int]]:
+    """(start, length, period) of every maximal run, lag by lag."""
+    n, runs = len(words), []
+    for q in range(1, n // 2 + 1):
+        i = q
+        while i < n:
+            start = i
+            while i < n and words[i] == words[i - q]:
+                i += 1
+            length = i - start + q
+            if i > start and length >= max(12, 2 * q):
+                part = words[start - q:i]
+                if all(part[d:] != part[:-d] for d in range(1, q)):
+                    runs.append((start - q, length, q))
+            i += 1
+    return sorted(runs, key=lambda r: (r[0], r[2]))
+
+
+def without_repeats(rows: list[tuple[int, str | None]], window: int) -> list[tuple]:
+    """(doc_id, n_words, n_removed, removed spans, kept text) of every row."""
+    split = [(i, blank_words(t)) for i, t in rows]
+    seen: dict[tuple, int] = {}
+    for _, own in split:
+        for at in range(len(own) - window + 1):
+            key = tuple(own[at:at + window])
+            seen[key] = seen.get(key, 0) + 1
+    found = []
+    for i, own in split:
+        gone = [False] * (len(own) + 1)
+        for at in range(len(own) - window + 1):
+            if seen[tuple(own[at:at + window])] > 1:
+                gone[at:at + window] = [True] * window
+        spans, start = [], None
+        for at, g in enumerate(gone):
+            if g and start is None:
+                start = at
+            elif not g and start is not None:
+                spans.append((start, at))
+                start = None
+        found.append((i, len(own), sum(gone), spans,
+                      " ".join(w for w, g in zip(own, gone[:-1], strict=True) if not g)))
+    return found
