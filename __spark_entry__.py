@@ -214,9 +214,8 @@ def _corpus_modules() -> list:
     names = ("fleetvitals.llm.queries", "corpus_pipeline")
     try:
         return [importlib.import_module(name) for name in names]
-    except ModuleNotFoundError as missing:
-        if missing.name not in (*names, "fleetvitals.llm"):
-            raise
+    except ImportError:
+        # The folders or a package that only they need are absent; the other queries go on.
         return []
 
 
@@ -270,6 +269,11 @@ def audit_queries() -> dict[str, Query]:
         "d18_explain_sort_spill": _on(plans.sorts_on_disk, *statement_plan, order=by_exec),
         "d19_explain_hash_batches": _on(plans.hash_batches, *statement_plan, order=by_exec),
         "d20_seq_scan": _on(plans.sequential_scans, "stmt", "plan", "exec"),
+        "d18_sort_spill_by_id": _on(
+            plans.sorts_on_disk, "stmt_ids", "ext", "plan_ids", order=by_exec),
+        "d19_hash_batches_by_id": _on(
+            plans.hash_batches, "stmt_ids", "ext", "plan_ids", order=by_exec),
+        "d20_seq_scan_by_id": _on(plans.sequential_scans, "stmt_ids", "plan_ids"),
         "d21_top_statements": _on(
             statements.top_statements, "stmt", order=_desc("total_time", "instance_id", "query")),
         "d22_memory_settings": _on(config.memory_settings, "setting"),
@@ -297,6 +301,9 @@ def audit_queries() -> dict[str, Query]:
             lambda log: _as_double(rollup.statement_rollup(log), "total_exec_time"), "exec"),
         "p02_statement_rollup_all_literals": _on(
             lambda log: _as_double(rollup.statement_rollup(log, "all"), "total_exec_time"), "exec"),
+        "p02_statement_lexer": _on(
+            lambda log: rollup.statement_rollup(log, "all").select("instance_id", "query", "calls"),
+            "messy"),
         "p03_pretty_size": _on(_sizes, "rel"),
         "p04_retention_audit": _on_tables(_retention, "orders", "events"),
         "r01_findings": _findings(*findings.FINDING_COLUMNS),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexer import canonical_statement
+
 # Patterns over statement text (fixed values).
 OPERAND_NUMBER = r"(= |\()[0-9]+"
-ANY_LITERAL = r"\$[0-9]+|'(?:[^']|'')*'|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b"
-LITERAL_LIST = r"\(\s*\$1(?:\s*,\s*\$1)+\s*\)"
 WILDCARD_SEARCH = r"(?i)\bI?LIKE\s+'%[^']+%'"
 WILDCARD_ILIKE = r"(?i)\bILIKE\s+'%[^']+%'"
 
@@ -17,14 +17,13 @@ def fingerprint(sql_text: Column, literals: str = "operands") -> Column:
     """Statement text with its literals replaced by ``$1``.
 
     ``operands`` replaces integers after ``= `` or ``(`` only, so string
-    literals stay readable; ``all`` replaces every string, number and parameter,
-    and a list of them by one.
+    literals stay readable; ``all`` gives the canonical text: every string, number and
+    parameter is replaced, a list of them by one, and comments and layout go.
     """
     if literals == "operands":
         return F.regexp_replace(sql_text, OPERAND_NUMBER, r"$1\$1")
     if literals == "all":
-        return F.regexp_replace(
-            F.regexp_replace(sql_text, ANY_LITERAL, r"\$1"), LITERAL_LIST, r"(\$1)")
+        return canonical_statement(sql_text)
     raise ValueError(f"literals must be 'operands' or 'all', not {literals!r}")
 
 

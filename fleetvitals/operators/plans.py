@@ -38,14 +38,14 @@ def _scanned_table() -> Column:
     return F.nullif(F.regexp_extract("line", SEQ_SCAN, 1), F.lit(""))
 
 
-def plan_signals(plan: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """Per plan that shows one of the wanted signs.
+def plan_signals(plan: DataFrame, kinds: Sequence[str] = KINDS, *more: str) -> DataFrame:
+    """Per plan that shows one of the wanted signs, with `more` of what a plan has one of.
 
     ``spill`` gives sort_on_disk and the largest batch count; ``scan`` gives the
     table named by the first line with a sequential scan. Lines without a sign
     are dropped before anything is shuffled.
     """
-    lines = plan.select(*scope_of(plan), "plan_id", "line_no", _sort_on_disk().alias("sort_on_disk"),
+    lines = plan.select(*scope_of(plan), "plan_id", *more, "line_no", _sort_on_disk().alias("sort_on_disk"),
                         _batches().alias("batches"), _scanned_table().alias("scanned"))
     telling, aggregates = F.lit(False), []
     if "spill" in kinds:
@@ -56,31 +56,45 @@ def plan_signals(plan: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
         telling = telling | F.col("scanned").isNotNull()
         first = F.min(F.when(F.col("scanned").isNotNull(), F.struct("line_no", "scanned")))
         aggregates.append(first.getField("scanned").alias("scanned"))
-    return lines.where(telling).groupBy(*scope_of(plan), "plan_id").agg(*aggregates)
+    return lines.where(telling).groupBy(*scope_of(plan), "plan_id", *more).agg(*aggregates)
+
+
+def share_ids(stmt: DataFrame, plan: DataFrame) -> bool:
+    """Whether statements and plans both carry the server's id of the statement."""
+    return "queryid" in stmt.columns and "queryid" in plan.columns
 
 
 def with_statement_key(stmt: DataFrame, plan: DataFrame) -> DataFrame:
     """Statements with the key their captured plans carry: the server's id of the
     statement where both relations have it, otherwise what equal texts share."""
-    own = "queryid" in stmt.columns and "queryid" in plan.columns
+    own = share_ids(stmt, plan)
     key = F.col("queryid").cast("string") if own else statement_key(F.col("query"))
     return stmt.withColumn("statement", key)
 
 
+def plans_of(plan: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The plan lines of those statements, by the server's id; few statements are wanted,
+    so the lines of all others go before anything is made of them."""
+    by = [c for c in scope_of(plan) if c in wanted.columns]
+    return plan.join(wanted.select(*by, "queryid").distinct(), [*by, "queryid"], "left_semi")
+
+
 def statement_signals(
     stmt: DataFrame, plan: DataFrame, log: DataFrame | None, kinds: Sequence[str] = KINDS
 ) -> DataFrame:
     """Signs over all captured plans of a statement; of several scans, the oldest plan's.
 
-    A plan that carries the server's statement id needs no log. Without, its execution
-    in the log gives the text, and both sides are reduced to what their texts share.
+    A plan that carries the server's statement id needs no log: only the plans of the
+    statements given are looked at. Without ids, a plan's execution in the log gives the
+    text, and both sides are reduced to what their texts share.
     """
-    named = "queryid" in stmt.columns and "queryid" in plan.columns
-    signals = plan_signals(plan, kinds)
-    if named:
-        ids = plan.select(*scope_of(plan), "plan_id", F.col("queryid").cast("string").alias("statement"))
-        joined = signals.join(ids.distinct(), [*scope_of(plan), "plan_id"])
+    if share_ids(stmt, plan):
+        joined = plan_signals(plans_of(plan, stmt), kinds, "queryid").withColumn(
+            "statement", F.col("queryid").cast("string"))
     else:
+        if log is None:
+            raise ValueError("plans without the server's statement ids need the statement log")
+        signals = plan_signals(plan, kinds)
         by = [c for c in scope_of(signals) if c in log.columns]
         executed = log.select(*by, F.col("exec_id").alias("plan_id"),
                               statement_key(F.col("sql_text")).alias("statement"))
@@ -109,7 +123,7 @@ def _explained(
     title: str, *more: str,
 ) -> DataFrame:
     top = _top_selects(stmt, ext, plan)
-    spills = statement_signals(stmt, plan, log, ("spill",)).where(condition)
+    spills = statement_signals(top, plan, log, ("spill",)).where(condition)
     joined = top.join(spills, [*[c for c in scope_of(top) if c in spills.columns], "statement"])
     return joined.select(
         *scope_of(stmt),
@@ -145,7 +159,7 @@ def sequential_scans(
 ) -> DataFrame:
     """Heavy statements whose captured plan scans a table in sequence."""
     top = with_statement_key(rank_statements(stmt, [SCANS]), plan)
-    scans = statement_signals(stmt, plan, log, ("scan",))
+    scans = statement_signals(top, plan, log, ("scan",))
     joined = top.join(scans, [*[c for c in scope_of(top) if c in scans.columns], "statement"])
     return joined.select(
         *scope_of(stmt),

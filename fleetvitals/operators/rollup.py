@@ -39,9 +39,13 @@ def normalise_log(log: DataFrame, literals: str = "operands") -> DataFrame:
 
 
 def statement_rollup(log: DataFrame, literals: str = "operands") -> DataFrame:
-    """Statement statistics per instance and normalised statement."""
+    """Statement statistics per instance and normalised statement.
+
+    A log that carries the server's statement id keeps it, as ``queryid``.
+    """
     normal = normalise_log(log, literals)
-    return normal.groupBy(*scope_of(log), "query").agg(*rollup_aggregates(log))
+    own = ["queryid"] if "queryid" in log.columns else []
+    return normal.groupBy(*scope_of(log), *own, "query").agg(*rollup_aggregates(log))
 
 
 def with_sample_text(stmt: DataFrame, log: DataFrame) -> DataFrame:

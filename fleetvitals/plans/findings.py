@@ -420,8 +420,15 @@ def _with_tracking(df: DataFrame, ext: DataFrame | None) -> DataFrame:
 
 
 def available(relations: Relations) -> list[str]:
-    """The detectors whose input relations are all there."""
-    return [d.name for d in DETECTORS if all(name in relations for name in d.inputs)]
+    """The detectors whose input relations are all there.
+
+    The statement log only ties plans to statements, so it may be absent where both
+    carry the server's statement ids.
+    """
+    given = set(relations)
+    if {"stmt", "plan"} <= given and plans.share_ids(relations["stmt"], relations["plan"]):
+        given.add("exec")
+    return [d.name for d in DETECTORS if given.issuperset(d.inputs)]
 
 
 def _statement_input(relations: Relations, names: set[str]) -> DataFrame:
@@ -438,7 +445,8 @@ def _statement_input(relations: Relations, names: set[str]) -> DataFrame:
         return ranked.withColumns({"sort_on_disk": F.lit(None).cast("boolean"),
                                    "batches": F.lit(None).cast("int"),
                                    "scanned": F.lit(None).cast("string")})
-    signals = plans.statement_signals(relations["stmt"], relations["plan"], relations["exec"])
+    explained = ranked.where(F.col("rule").isin(statements.TOP_TIME.name, statements.SCANS.name))
+    signals = plans.statement_signals(explained, relations["plan"], relations.get("exec"))
     ranked = plans.with_statement_key(ranked, relations["plan"])
     by = [c for c in scope_of(ranked) if c in signals.columns]
     return ranked.join(signals, [*by, "statement"], "left")

@@ -72,6 +72,30 @@ select user_id as instance_id, event_id as exec_id, ts, value as exec_ms, event_
   else concat('SELECT pg_sleep(',cast(event_id as string),')') end as sql_text
 from {events}"""
 
+# The log as a server with statement ids keeps it: an id per kind of statement and table.
+EXEC_IDS = """
+select *, cast(10 * (case event_type when 'view' then 1 when 'click' then 2 when 'purchase' then 3
+  when 'signup' then 4 else 5 end) + instance_id%5 as bigint) as queryid from {fx_exec}"""
+
+# The same three statements written in many ways: comments, layout, case, quotes of every kind.
+MESSY_LOG = """
+select *, case event_id%9
+  when 0 then concat('SELECT id, "col 1" FROM t', unit, ' WHERE note = ''it''''s ', number, '''')
+  when 1 then concat('select  id,"col 1"', chr(10), 'from T', unit, ' where note=e''x', chr(92), '''y ',
+                     number, ''' -- isn''t ', number)
+  when 2 then concat('/* ', number, ' /* "x */ '' */ Select Id , "col 1" From t', unit,
+                     ' Where note = $$a ''', number, '$$')
+  when 3 then concat('INSERT INTO t', unit, ' VALUES (', number, ', ''a''), (-2, ''b'')')
+  when 4 then concat('insert into t', unit, ' values(+', number, ',$q$ $$ $q$);')
+  when 5 then concat('INSERT INTO t', unit, '/**/VALUES ($1, $2) ,', chr(10), '( 3.5e-2 , N''c'')')
+  when 6 then concat('SELECT count(*) FROM t', unit, ' WHERE a-1 IN (', number, ', -2, 0x1F) OR a<=-', number)
+  when 7 then concat('select COUNT( * ) from t', unit, ' where a - ', number, ' in (7) or a <= .5--x')
+  else concat('SELECT', chr(9), 'count (*) FROM t', unit, ' WHERE a -$3 IN ($1,$2) OR a <= +', number)
+  end as sql_text
+from (select instance_id, exec_id as event_id, exec_id, ts, exec_ms, rows_out, temp_blks_written,
+   shared_blks_hit, shared_blks_read, cast(exec_id as string) as number,
+   cast(instance_id%5 as string) as unit from {fx_exec})"""
+
 # The log's counters, all functions of k.
 EXEC_COUNTERS = """
 select *, k as rows_out, k*20 as temp_blks_written, k as shared_blks_hit,
@@ -145,6 +169,14 @@ class FixtureTelemetry:
             return of("events", EXEC)
         if name == "exec":
             return self._sql(EXEC_COUNTERS, fx_exec=self["log"])
+        if name == "messy":
+            return conform("exec", self._sql(MESSY_LOG, fx_exec=self["exec"]))
+        if name == "stmt_ids":
+            return conform("stmt", statement_rollup(self._sql(EXEC_IDS, fx_exec=self["exec"]), "all"))
+        if name == "plan_ids":
+            return conform("plan", self._sql(
+                PLAN.replace("plan_id,", "plan_id, queryid,"),
+                fx_exec=self._sql(EXEC_IDS, fx_exec=self["log"])))
         if name == "stmt":
             return statement_rollup(self["exec"])
         if name in ("plan", "dbtemp"):

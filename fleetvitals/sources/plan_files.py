@@ -9,11 +9,15 @@ from ..schemas import conform
 
 # Where a plan file says whose plan it is.
 FILE_PATTERN = r"instance=(\d+)/plan=(\d+)\.txt"
+# How a plan shown with its statement's id says so.
+QUERY_IDENTIFIER = r"(?m)^\s*Query Identifier:\s*(-?\d+)\s*$"
 
 
-def read_plan_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_plan_files(spark: SparkSession, folder: str, query_ids: bool = False) -> DataFrame:
     """One row per plan line from ``instance=<id>/plan=<id>.txt`` files.
 
+    `query_ids` adds ``queryid`` from the plan's line ``Query Identifier: …``, null without one.
+
     A file is one short text, read whole so that its lines keep their numbers; a file
     whose path names no plan stops the read. For many plans use the plan log.
     """
@@ -23,8 +27,9 @@ def read_plan_files(spark: SparkSession, folder: str) -> DataFrame:
     unnamed = F.raise_error(F.concat(F.lit("no instance and plan in "), path)).cast("bigint")
     own = [F.coalesce(F.regexp_extract(path, FILE_PATTERN, i).try_cast("bigint"), unnamed)
            for i in (1, 2)]
+    named = F.regexp_extract("value", QUERY_IDENTIFIER, 1).try_cast("bigint").alias("queryid")
     lines = files.select(
-        own[0].alias("instance_id"), own[1].alias("plan_id"),
+        own[0].alias("instance_id"), own[1].alias("plan_id"), *([named] if query_ids else []),
         F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"),
     )
     return conform("plan", lines.where(F.col("line") != "").withColumn(
@@ -32,17 +37,27 @@ def read_plan_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_plan_log(plan: DataFrame, folder: str, mode: str = "append") -> None:
-    """Plans as lines ``plan_id<TAB>line_no<TAB>text``, many plans to a file, by instance."""
-    line = F.concat_ws("\t", F.col("plan_id").cast("string"), F.col("line_no").cast("string"),
+    """Plans as lines ``plan_id<TAB>line_no<TAB>text``, many plans to a file, by instance.
+
+    Where the relation has ``queryid``, the first field is ``plan_id:queryid``.
+    """
+    own = ["plan_id", "queryid"] if "queryid" in plan.columns else ["plan_id"]
+    named = F.concat_ws(":", *[F.col(c).cast("string") for c in own])
+    line = F.concat_ws("\t", named, F.col("line_no").cast("string"),
                        F.coalesce("line", F.lit("")))
     plan.select("instance_id", line.alias("value")).write.mode(mode).partitionBy(
         "instance_id").text(folder)
 
 
-def read_plan_log(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of a plan log. Files are split between tasks, instances are folders."""
+def read_plan_log(spark: SparkSession, folder: str, query_ids: bool = False) -> DataFrame:
+    """The lines of a plan log. Files are split between tasks, instances are folders.
+
+    `query_ids` adds ``queryid``, null where a line has none.
+    """
     lines = spark.read.schema("value string, instance_id bigint").text(folder)
     parts = F.split("value", "\t", 3)
+    own = F.split(parts[0], ":", 2)
+    named = [F.get(own, F.lit(1)).try_cast("bigint").alias("queryid")] if query_ids else []
     return conform("plan", lines.select(
-        "instance_id", parts[0].cast("bigint").alias("plan_id"), parts[1].cast("int").alias("line_no"),
+        "instance_id", own[0].cast("bigint").alias("plan_id"), *named, parts[1].cast("int").alias("line_no"),
         parts[2].alias("line")))

@@ -62,14 +62,14 @@ FROM pg_stat_activity WHERE pid <> pg_backend_pid() AND state IS NOT NULL""",
 SELECT datname::text AS datname, temp_files, temp_bytes FROM pg_stat_database
 WHERE datname = current_database()""",
     "stmt": """
-SELECT query, sum(calls)::bigint AS calls, sum(total_exec_time)::numeric(28,2) AS total_exec_time,
+SELECT queryid, min(query) AS query, sum(calls)::bigint AS calls, sum(total_exec_time)::numeric(28,2) AS total_exec_time,
   sum(rows)::bigint AS rows_out, sum(temp_blks_read)::bigint AS temp_blks_read,
   sum(temp_blks_written)::bigint AS temp_blks_written,
   sum(shared_blks_hit)::bigint AS shared_blks_hit,
   sum(shared_blks_read)::bigint AS shared_blks_read,
   bool_or(query ~* '\\mI?LIKE\\s+''%[^'']+%''') AS has_wildcard,
   bool_or(query ~* '\\mILIKE\\s+''%[^'']+%''') AS has_ilike
-FROM pg_stat_statements GROUP BY query""",
+FROM pg_stat_statements GROUP BY queryid""",
 }
 
 # Columns that servers give beyond a relation's schema.
@@ -77,7 +77,7 @@ SERVER_EXTRAS = {
     "idx": {"indkey": ArrayType(IntegerType()), "indclass": StringType(), "indoption": StringType(),
             "indexprs": StringType()},
     "fk": {"attname": StringType()},
-    "stmt": {"temp_blks_read": LongType()},
+    "stmt": {"temp_blks_read": LongType(), "queryid": LongType()},
 }
 FETCH_ROWS = 10_000
 

@@ -60,9 +60,22 @@ STMT_COLUMNS = """
 SAMPLE_ID = ", min(exec_id) as sample_exec_id"
 
 OPERANDS = r"regexp_replace(sql_text,'(= |\()[0-9]+','\1$1','g')"
-ALL_LITERALS = r"""regexp_replace(regexp_replace({x},
- '\$[0-9]+|''(?:[^'']|'''')*''|\b[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\b','$1','g'),
- '\(\s*\$1(?:\s*,\s*\$1)+\s*\)','($1)','g')"""
+# What a statement of the log is, by how it begins and its table: no literal is looked at.
+STATEMENT = "concat(regexp_extract({x}, '^(SELECT [a-z*]+|INSERT)', 1), regexp_extract({x}, ' t[0-9]+', 0))"
+# What the kinds of events in the log are without their literals.
+CANONICAL = """case event_type
+ when 'view' then concat('SELECT id, total FROM t', instance_id % 5, ' WHERE id = $1')
+ when 'click' then concat('SELECT * FROM t', instance_id % 5, ' WHERE note LIKE $1')
+ when 'purchase' then concat('INSERT INTO t', instance_id % 5, ' VALUES ($1)')
+ when 'signup' then concat('SELECT count(*) FROM t', instance_id % 5, ' ORDER BY $1')
+ else 'SELECT pg_sleep($1)' end"""
+EVENT_ID = """10 * (case event_type when 'view' then 1 when 'click' then 2 when 'purchase' then 3
+ when 'signup' then 4 else 5 end) + instance_id % 5"""
+SIGNS = r"""
+ bool_or(contains(line,'Sort Method: external merge') or contains(line,'Disk:')) as sort_on_disk,
+ max(coalesce(try_cast(nullif(regexp_extract(line,'Batches:\s*(\d+)',1),'') as int),0)) as batches,
+ arg_min(nullif(regexp_extract(line,'Seq Scan on (\w+)',1),''), plan_id) filter
+   (where regexp_matches(line,'Seq Scan on (\w+)')) as scanned"""
 USER = "schema_name not in ('pg_catalog','information_schema','pg_toast')"
 
 MEAN = "(cast(total_exec_time as double) / calls)"
@@ -204,22 +217,33 @@ select *, md5(query) as queryid from (select *, {TOP.format(by='total_exec_time'
    or query ilike 'DELETE %' or query ilike 'WITH %')
   and query not ilike 'SELECT pg_%' and query not ilike 'SELECT current_database%'
   and query not ilike 'EXPLAIN %') where rn <= 20""",
-    "explained": rf"""
-select e.instance_id, {ALL_LITERALS.format(x='sql_text')} as query,
- bool_or(contains(line,'Sort Method: external merge') or contains(line,'Disk:')) as sort_on_disk,
- max(coalesce(try_cast(nullif(regexp_extract(line,'Batches:\s*(\d+)',1),'') as int),0)) as batches,
- arg_min(nullif(regexp_extract(line,'Seq Scan on (\w+)',1),''), plan_id) filter
-   (where regexp_matches(line,'Seq Scan on (\w+)')) as scanned
+    "explained": f"""
+select e.instance_id, {STATEMENT.format(x='sql_text')} as query, {SIGNS}
 from fx_plan p join fx_exec e on e.exec_id = p.plan_id and e.instance_id = p.instance_id
 group by 1,2""",
     "top_selects": f"""
 select t.*, x.sort_on_disk, x.batches from top_time t join explained x
- on x.instance_id = t.instance_id and x.query = {ALL_LITERALS.format(x='t.query')}
+ on x.instance_id = t.instance_id and x.query = {STATEMENT.format(x='t.query')}
 where upper(trim(t.query)) like 'SELECT%'""",
     "scans": f"""
 select t.*, x.scanned from scannable t join explained x
- on x.instance_id = t.instance_id and x.query = {ALL_LITERALS.format(x='t.query')}
+ on x.instance_id = t.instance_id and x.query = {STATEMENT.format(x='t.query')}
 where x.scanned is not null""",
+    "id_stmt": f"""
+select instance_id, {EVENT_ID} as queryid, {CANONICAL} as query, {STMT_COLUMNS} from fx_exec group by 1,2,3""",
+    "id_signs": f"""
+select e.instance_id, {EVENT_ID.replace('instance_id', 'e.instance_id')} as queryid, {SIGNS}
+from fx_plan p join (select instance_id, exec_id, event_type from fx_exec) e
+ on e.exec_id = p.plan_id and e.instance_id = p.instance_id group by 1,2""",
+    "id_top": f"""
+select t.*, x.sort_on_disk, x.batches from (select *, {TOP.format(by='total_exec_time')} from id_stmt
+ where total_exec_time >= 100) t join id_signs x on x.instance_id = t.instance_id and x.queryid = t.queryid
+where rn <= 5 and t.instance_id in (select instance_id from tracked) and t.query like 'SELECT%'""",
+    "id_scans": f"""
+select t.*, x.scanned from (select *, {TOP.format(by='total_exec_time')} from id_stmt
+ where (query like 'SELECT %' or query like 'INSERT %') and query not like 'SELECT pg_%') t
+join id_signs x on x.instance_id = t.instance_id and x.queryid = t.queryid
+where rn <= 20 and x.scanned is not null""",
     "settings": f"select *, {mb_of()} as value_mb, try_cast(setting as int) as limit_value from fx_set",
     "db_temp": f"""
 select instance_id, datname, temp_files, {rounded('temp_bytes::double/1048576')} as temp_mb,
@@ -536,6 +560,15 @@ select instance_id, 'Hash in batches in the plan' as title, 'HIGH' as severity,
     "d20_seq_scan": """
 select instance_id, concat('Sequential scan of ', scanned, ' by statement ', queryid) as title,
  scanned as table_name, left(query,200) as query, calls from scans""",
+    "d18_sort_spill_by_id": f"""
+select instance_id, 'Sort on disk in the plan' as title, 'HIGH' as severity, {_CARD}, {_MEANC},
+ rows_out as rows from id_top where sort_on_disk""",
+    "d19_hash_batches_by_id": f"""
+select instance_id, 'Hash in batches in the plan' as title, 'HIGH' as severity, {_CARD}, {_MEANC},
+ rows_out as rows, batches as max_batches from id_top where batches > 1""",
+    "d20_seq_scan_by_id": """
+select instance_id, concat('Sequential scan of ', scanned, ' by statement ', md5(query)) as title,
+ scanned as table_name, left(query,200) as query, calls from id_scans""",
     "d21_top_statements": f"""
 select instance_id, md5(query) as queryid, query, calls,
  cast(total_exec_time as double) as total_time
@@ -573,7 +606,14 @@ where name = 'log_min_duration_statement' and setting = '-1'""",
 select * replace (cast(total_exec_time as double) as total_exec_time) from fx_stmt""",
     "p02_statement_rollup_all_literals": f"""
 select * replace (cast(total_exec_time as double) as total_exec_time) from
- (select instance_id, {ALL_LITERALS.format(x='sql_text')} as query, {STMT_COLUMNS} {SAMPLE_ID} from fx_exec group by 1,2)""",
+ (select instance_id, {CANONICAL} as query, {STMT_COLUMNS} {SAMPLE_ID} from fx_exec group by 1,2)""",
+    "p02_statement_lexer": """
+select instance_id, concat(case event_id % 9 // 3
+  when 0 then 'SELECT id, "col 1" FROM t' when 1 then 'INSERT INTO t' else 'SELECT count(*) FROM t' end,
+  instance_id % 5, case event_id % 9 // 3
+  when 0 then ' WHERE note = $1' when 1 then ' VALUES ($1)'
+  else ' WHERE a - $1 IN ($1) OR a <= $1' end) as query, count(*) as calls
+from (select user_id as instance_id, event_id from events) group by 1, 2""",
     "p03_pretty_size": f"""
 select relid, size_bytes, {pretty('size_bytes')} as as_bytes,
  {pretty('size_bytes*n_dead_tup')} as as_product, {pretty('n_dead_tup')} as as_small from fx_rel""",
