@@ -14,7 +14,7 @@ from fleetvitals.functions import pretty_size
 from fleetvitals.operators import (
     bloat, config, health, indexes, plans, profile, retention, rollup, statements, workload,
 )
-from fleetvitals.plans import findings, report
+from fleetvitals.plans import audit, findings, report
 from fleetvitals.session import new_folder, stored
 from fleetvitals.sources import plan_files, report_sink
 from fleetvitals.sources.fixture_views import (
@@ -139,6 +139,20 @@ def _report_contents(relations: dict[str, DataFrame]) -> DataFrame:
         F.size(F.array_distinct("d.data.object_name")).cast("bigint").alias("objects"))
 
 
+def _isolated(relations: dict[str, DataFrame]) -> DataFrame:
+    """The states after an audit whose relations hold values that fail while being read:
+    the temporary file counts of every database, and the options of some tables."""
+    broken = F.raise_error(F.lit("unreadable value")).cast("bigint")
+    dbtemp = relations["dbtemp"].withColumn(
+        "temp_bytes", F.when(F.col("temp_files") >= 0, broken).otherwise(F.col("temp_bytes")))
+    rel = relations["rel"].withColumn("reloptions", F.when(
+        F.col("relid") % 17 == 0, broken.cast("string")).otherwise(F.col("reloptions")))
+    folder = f"{new_folder(rel.sparkSession, 'audit')}/fleet"
+    stored_audit = audit.run_audit(
+        rel.sparkSession, {**relations, "dbtemp": dbtemp, "rel": rel}, folder, session_user="app")
+    return stored_audit["status"]
+
+
 def _plan_log(plan: DataFrame) -> DataFrame:
     folder = f"{new_folder(plan.sparkSession, 'plans')}/log"
     plan_files.write_plan_log(plan, folder)
@@ -316,6 +330,7 @@ def audit_queries() -> dict[str, Query]:
         "r08_severity_map": _on_all(_severities),
         "r09_detector_status": _on_all(
             lambda r: report.audit_status(r, session_user="app")),
+        "r09_isolated_audit": _on_all(_isolated),
         "r10_report_json": _on_all(_nested),
         "r10_report_contents": _on_all(_report_contents),
         "s03_plan_log": _on(_plan_log, "plan"),

@@ -56,6 +56,17 @@ DETECTORS = (
     Detector("explain_spills", "queries", "Spills in plans", ("stmt", "ext", "plan", "exec"), 6),
 )
 
+# Detectors that one pass over their input serves together; the others have a pass each.
+_SHARED = (
+    ("obsolete_stats", "disabled_autovacuum", "dead_tuples", "partitioning_candidates"),
+    ("work_mem", "work_mem_evaluation", "shared_buffers", "shared_buffers_evaluation",
+     "pg_stat_max_evaluation", "pg_stat_limit", "slow_query_logging"),
+    ("top_time_queries", "covering_candidates", "wildcard_searches", "temp_spills",
+     "pg_stat_statements", "seq_scans", "explain_spills"),
+)
+PASSES = _SHARED + tuple(
+    (d.name,) for d in DETECTORS if not any(d.name in together for together in _SHARED))
+
 SPILL_WEIGHTS = {"HIGH": 8, "MEDIUM": 5, "LOW": 0}
 # Findings of these two count only above a limit on their metric, in percent.
 COUNTED_ABOVE = {"table_bloat": 20, "dead_tuples": 10}

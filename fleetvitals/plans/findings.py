@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -460,14 +460,17 @@ def all_findings(
     as_of: Column | None = None,
     partition_mode: str = "all",
     instances: DataFrame | None = None,
+    only: Collection[str] | None = None,
 ) -> DataFrame:
-    """The findings of every detector whose inputs are there.
+    """The findings of every detector whose inputs are there, or of those in `only`.
 
     Each input relation is read once for all the rules that need it alone.
     `columns` builds only what a later step needs, `counted_only` only what
     enters totals and score: a score over a fleet writes no evidence text.
     """
     names = set(available(relations))
+    if only is not None:
+        names &= set(only)
     parts: list[DataFrame] = []
 
     def add(df: DataFrame, cards: Sequence[Card]) -> None:
@@ -477,8 +480,11 @@ def all_findings(
         if cards:
             parts.append(emit(df, cards, columns, counted_only))
 
-    if "rel" in relations:
-        add(_measured_tables(relations["rel"]), _table_cards(partition_mode))
+    def wanted(name: str, cards: Sequence[Card]) -> bool:
+        return name in relations and any(c.detector in names for c in cards)
+
+    if wanted("rel", cards := _table_cards(partition_mode)):
+        add(_measured_tables(relations["rel"]), cards)
     if "table_bloat" in names:
         add(bloat.table_bloat(relations["col"], relations["rel"]), [_bloat_card()])
     if "missing_partial" in names:
@@ -500,19 +506,18 @@ def all_findings(
         add(duplicates, [_duplicate_card()])
     if "unused_indexes" in names:
         add(indexes.unused_indexes(relations["idx"], relations["rel"]), [_unused_index_card()])
-    if "setting" in relations:
+    if wanted("setting", cards := _setting_cards()):
         audited = relations["setting"].where(F.col("name").isin(*config.AUDITED_SETTINGS))
-        add(_with_tracking(audited, relations.get("ext")), _setting_cards())
-    if "sess" in relations:
+        add(_with_tracking(audited, relations.get("ext")), cards)
+    if "idle_in_transaction" in names:
         add(health.long_sessions(relations["sess"], session_user, as_of), [_session_card()])
-    if "ext" in relations:
-        cards = _extension_cards()
+    if wanted("ext", cards := _extension_cards()):
         if "temp_spills" not in names:
             cards = cards[:1]
         add(config.tracking_enabled(relations["ext"], instances), cards)
-    if "stmt" in relations:
-        add(_statement_input(relations, names), _statement_cards())
-    if "dbtemp" in relations:
+    if wanted("stmt", cards := _statement_cards()):
+        add(_statement_input(relations, names), cards)
+    if "db_temp_usage" in names:
         add(statements.database_temp_usage(relations["dbtemp"]), [_database_card()])
     if not parts:
         raise ValueError("no relation to audit")

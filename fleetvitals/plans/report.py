@@ -96,11 +96,13 @@ def fleet_scores(relations: Relations, **options) -> DataFrame:
 
 
 def detector_status(
-    findings: DataFrame, instances: DataFrame, usable: Sequence[str]
+    findings: DataFrame, instances: DataFrame, usable: Sequence[str],
+    unread: DataFrame | None = None,
 ) -> DataFrame:
     """Every detector of every instance: ok, warning or error, and its count.
 
-    A detector without its input is in error with no findings and no penalty.
+    A detector without its input is in error with no findings and no penalty. So is one
+    of an instance whose relation could not be read (`unread`: instance_id, relation).
     """
     scope = scope_of(findings)
     detector, metric = F.col("detector"), F.col("metric")
@@ -110,20 +112,24 @@ def detector_status(
         .otherwise(F.lit(True))
     )
     found = findings.select(
-        *scope, "detector", F.lit(1).alias("n"), alarming.alias("warn")
+        *scope, "detector", F.lit(1).alias("n"), alarming.alias("warn"), F.lit(False).alias("lost")
     )
     names = F.array(*[F.lit(d.name) for d in DETECTORS])
     listed = instances.distinct().select(
-        *scope, F.explode(names).alias("detector"), F.lit(0).alias("n"), F.lit(False).alias("warn")
+        *scope, F.explode(names).alias("detector"), F.lit(0).alias("n"), F.lit(False).alias("warn"),
+        F.lit(False).alias("lost")
     )
-    summed = found.unionByName(listed).groupBy(*scope, "detector").agg(
-        F.sum("n").alias("findings"), F.bool_or("warn").alias("warn")
+    rows = found.unionByName(listed)
+    if unread is not None:
+        rows = rows.unionByName(_lost_detectors(unread), allowMissingColumns=True)
+    summed = rows.groupBy(*scope, "detector").agg(
+        F.sum("n").alias("findings"), F.bool_or("warn").alias("warn"), F.bool_or("lost").alias("lost")
     )
     category = F.lit(None).cast("string")
     for d in DETECTORS:
         category = F.when(detector == d.name, F.lit(d.category)).otherwise(category)
     status = (
-        F.when(~detector.isin(*usable), F.lit("error"))
+        F.when(~detector.isin(*usable) | F.col("lost"), F.lit("error"))
         .when(F.col("warn"), F.lit("warning"))
         .otherwise(F.lit("ok"))
     )
@@ -131,6 +137,15 @@ def detector_status(
                          status.alias("status"), "findings")
 
 
+def _lost_detectors(unread: DataFrame) -> DataFrame:
+    """The detectors that need a relation which could not be read of an instance."""
+    needs = F.array(*[F.struct(F.lit(d.name).alias("detector"), F.lit(name).alias("needed"))
+                      for d in DETECTORS for name in d.inputs])
+    needing = F.filter(needs, lambda n: n["needed"] == F.col("relation"))
+    return unread.select("instance_id", F.explode(needing["detector"]).alias("detector"),
+                         F.lit(0).alias("n"), F.lit(False).alias("warn"), F.lit(True).alias("lost"))
+
+
 def audit_status(relations: Relations, **options) -> DataFrame:
     findings = all_findings(relations, columns=("detector", "metric"), **options)
     return detector_status(findings, instance_rows(relations), available(relations))

@@ -63,11 +63,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the caller's own results, if it is there."""
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder of its own in the shared folder, removed when the driver ends."""
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder, files = _folder(spark, path)
     files.mkdirs(folder)
     files.deleteOnExit(folder)
     return path

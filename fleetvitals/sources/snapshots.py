@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
 from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..schemas import RELATIONS, conform
+from ..session import stored
 
 # What is asked of one server for each relation; the rules run in Spark, not there.
 SERVER_QUERIES = {
@@ -160,6 +163,92 @@ class ServerReader(DataSourceReader):
             connection.close()
 
 
+class _ServersPartition(InputPartition):
+    def __init__(self, servers: Sequence[tuple[int, str]]):
+        super().__init__(tuple(servers))
+
+
+class FleetReader(ServerReader):
+    """Several servers to a partition; one that cannot be read becomes a row that says so.
+
+    Rows stream out as they come, so those of an attempt that breaks off are already given
+    out. Every row therefore names its attempt, and a closing row the attempt that was
+    complete, or that none was.
+    """
+
+    def __init__(self, options: Mapping[str, str], schema: StructType):
+        super().__init__(options, schema)
+        self.attempts, self.wait = int(options["attempts"]), float(options["wait"])
+        self.together = int(options["per_partition"])
+
+    def partitions(self) -> list[InputPartition]:
+        servers = sorted(self.servers.items())
+        return [_ServersPartition(servers[at:at + self.together])
+                for at in range(0, len(servers), self.together)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        blank = (None,) * (len(self.schema) - len(_OUTCOME) - 1)
+        for server in partition.value:
+            for attempt in range(1, self.attempts + 1):
+                try:
+                    for row in super().read(_ServerPartition(*server)):
+                        yield *row[:-len(_OUTCOME)], attempt, None, None
+                    yield server[0], *blank, attempt, COMPLETE, None
+                    break
+                except Exception as problem:  # noqa: BLE001 - reported as a row
+                    if attempt == self.attempts:
+                        said = f"{type(problem).__name__}: {problem}"[:PROBLEM_CHARS]
+                        yield server[0], *blank, attempt, UNREAD, said
+                    else:
+                        time.sleep(self.wait * 2 ** (attempt - 1))
+
+
+_OUTCOME = (StructField("attempt", IntegerType(), True), StructField("outcome", StringType(), True),
+            StructField("problem", StringType(), True))
+COMPLETE, UNREAD = "complete", "unread"
+PROBLEM_CHARS = 500
+
+
+class FleetSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fleet_attempts"
+
+    def schema(self) -> StructType:
+        return StructType([*server_schema(self.options["relation"]), *_OUTCOME])
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return FleetReader(self.options, schema)
+
+
+def read_fleet(
+    spark: SparkSession, relations: Sequence[str], servers: Mapping[int, str],
+    driver: str = "psycopg", attempts: int = 3, wait: float = 1.0, per_partition: int = 8,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Relations of all servers that answer, and (instance_id, relation, attempts, problem)
+    of those that do not.
+
+    A server is asked again after `wait` seconds, doubled each time, `attempts` times in
+    all; `per_partition` servers share a task, so a fleet of many small servers makes few
+    tasks. What was read is stored in the shared folder at once, as servers give other rows
+    when asked again; of a server without a complete attempt no row is kept. The problems
+    are what `run_audit` takes as `unread`.
+    """
+    spark.dataSource.register(FleetSource)
+    found, problems = {}, []
+    for relation in relations:
+        options = {"relation": relation, "driver": driver, "attempts": str(attempts), "wait": str(wait),
+                   "per_partition": str(per_partition),
+                   "servers": json.dumps({str(i): a for i, a in servers.items()})}
+        rows = stored(spark.read.format("fleet_attempts").options(**options).load(), f"fleet-{relation}")
+        complete = rows.where(F.col("outcome") == COMPLETE).select("instance_id", "attempt")
+        kept = rows.where("outcome is null").join(complete, ["instance_id", "attempt"])
+        found[relation] = conform(relation, kept.drop(*[f.name for f in _OUTCOME]))
+        problems.append(rows.where(F.col("outcome") == UNREAD).select(
+            "instance_id", F.lit(relation).alias("relation"), F.col("attempt").alias("attempts"), "problem"))
+    return found, reduce(DataFrame.unionByName, problems)
+
+
 class ServerSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -178,7 +267,7 @@ def read_servers(
     """One relation from live servers, given as instance id to address.
 
     Every server is one partition of one read, its schema is declared, so the driver
-    connects to none. `driver` is a DB-API module that the executors can import. Write the
+    connects to none; a server that fails ends the read (`read_fleet` goes on without it). `driver` is a DB-API module that the executors can import. Write the
     result with `write_snapshot` before auditing it.
     """
     spark.dataSource.register(ServerSource)

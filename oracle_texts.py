@@ -654,6 +654,16 @@ select i.instance_id, d.category, d.detector,
  count(f.detector) as findings
 from instances i cross join detector_names d left join findings f
  on f.instance_id = i.instance_id and f.detector = d.detector group by 1,2,3""",
+    "r09_isolated_audit": f"""
+select i.instance_id, d.category, d.detector,
+ case when d.detector in ('db_temp_usage', 'disabled_autovacuum', 'table_bloat') then 'error'
+  when d.detector in {_INFO} then 'ok'
+  when d.detector = 'dead_tuples' then case when max(f.metric) > 0 then 'warning' else 'ok' end
+  when count(f.detector) > 0 then 'warning' else 'ok' end as status,
+ count(f.detector) as findings
+from instances i cross join detector_names d left join findings f
+ on f.instance_id = i.instance_id and f.detector = d.detector
+ and f.detector not in ('db_temp_usage', 'disabled_autovacuum', 'table_bloat') group by 1,2,3""",
     "r10_report_contents": """
 select i.instance_id, d.detector, count(f.detector) as stated, count(f.detector) as listed,
  count(distinct f.object_name) as objects
