@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetvitals.session import stored
@@ -81,13 +81,13 @@ def signature(shingles: np.ndarray) -> bytes:
     return (low ^ (low >> np.uint32(16))).astype("<u2").tobytes()
 
 
-def _features(doc_id: int | None, text: bytes | None) -> tuple:
+def _features(doc_id: int | None, text: bytes | None, *keys: int) -> tuple:
     shingles = shingle_set(text)
     if not len(shingles):
-        return doc_id, 0, None, None, None
+        return doc_id, 0, None, None, None, *keys
     key = xxhash.xxh3_128_digest(shingles.tobytes())
     high, low = np.frombuffer(key, "<i8").tolist()
-    return doc_id, len(shingles), high, low, signature(shingles)
+    return doc_id, len(shingles), high, low, signature(shingles), *keys
 
 
 def _prefix(lanes: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -306,40 +306,80 @@ def _block_links(one: pd.DataFrame, two: pd.DataFrame, tree: int, percent: int)
     return found
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What rows of one id and one text share, and no others (64 bits of a hash)."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of `docs`.
+    """(doc_id, n_shingles, component_id, kept, group_id, row_key) of every row of `docs`.
 
     component_id is the smallest id that links reach. Null, empty and blank texts have
     no shingles and no links. Repeated rows come out as often as they went in; rows that
-    share an id are in one component. A row without an id lies in the component of its
-    copies, if any has one, and is never kept. Other columns are not read.
+    share an id are in one component, whatever their texts. Rows without an id are linked
+    like others and never kept; where no row of a component has an id, component_id is
+    null. `group_id` tells components apart in any case, and is null for a text without
+    shingles whose id no other row has. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = docs.withColumns({"text_key": F.xxhash64("text"),
+                              "row_key": row_key(F.col("doc_id"), F.col("text"))})
     found = stored(map_texts(
-        docs, "doc_id long, n_shingles long, high long, low long, sig binary",
-        _features, "doc_id", "text"), "features")
+        keyed, "doc_id long, n_shingles long, high long, low long, sig binary, text_key long, row_key long",
+        _features, "doc_id", "text", "text_key", "row_key"), "features")
+    # A class is a set of shingles; any text that has it stands for it.
     classes = stored(
         found.where("n_shingles > 0").groupBy("high", "low").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"),
-            F.first("sig").alias("sig")), "classes")
-    known = classes.where("node is not null")
-    labels = stored(_class_labels(known, docs, percent), "labels")
-    joined = (found.select("doc_id", "n_shingles", "high", "low")
-              .join(classes.select("high", "low", "node"), ["high", "low"], "left")
-              .join(labels, "node", "left"))
-    component = F.coalesce("label", "node", "doc_id")
+            F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"),
+            F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
+        ).withColumn("node", F.monotonically_increasing_id()), "classes")
+    shared = stored(_shared_ids(found), "shared-ids")
+    same_id = _links_by_id(found, classes, shared)
+    labels = stored(_class_labels(classes, docs, same_id, percent), "labels")
+    groups = classes.join(labels, "node", "left").withColumn("group_id", F.coalesce("label", "node"))
+    groups = stored(groups.select("high", "low", "first_id", "group_id"), "groups")
+    # Few classes have others in their component; the rest keep their own smallest id.
+    first = groups.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
+    groups = stored(groups.join(first, "group_id").select("high", "low", "group_id", "component_id"), "components")
+    joined = found.drop("sig", "text_key").join(groups, ["high", "low"], "left")
+    if not shared.isEmpty():
+        # A row without shingles lies in the component of the other rows of its id.
+        own = restricted(joined, shared, "doc_id").groupBy("doc_id").agg(
+            F.min("group_id").alias("own_group"), F.min("component_id").alias("own_component"))
+        joined = joined.join(own, "doc_id", "left").withColumns({
+            "group_id": F.coalesce("group_id", "own_group"),
+            "component_id": F.coalesce("component_id", "own_component")})
+    component = F.when(F.col("group_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "group_id", "row_key")
+
+
+def _shared_ids(found: DataFrame) -> DataFrame:
+    """Ids whose rows are not all of one class; sums of fixed width, so that an id of very
+    many rows is reduced where they are."""
+    return (found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.count("high").alias("with_class"),
+        F.min("high").alias("h0"), F.max("high").alias("h1"), F.min("low").alias("l0"), F.max("low").alias("l1"))
+        .where("h0 <> h1 or l0 <> l1 or (with_class > 0 and with_class < rows)").select("doc_id"))
+
+
+def _links_by_id(found: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Links (a, b) from the smallest class of a shared id to its others."""
+    rows = restricted(found.select("doc_id", "high", "low"), shared, "doc_id")
+    of_id = stored(rows.join(classes.select("high", "low", "node"), ["high", "low"])
+                   .select("doc_id", "node").distinct(), "classes-of-ids")
+    low = of_id.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return stored(of_id.join(low, "doc_id").where("a <> node").select("a", F.col("node").alias("b")), "id-links")
 
 
-def _class_labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _class_labels(classes: DataFrame, docs: DataFrame, same_id: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
     forest = stored(forest_rows(classes), "forest")
     pairs = stored(neighbour_pairs(forest), "pairs")
-    texts = _texts_of(pairs, docs)
+    texts = _texts_of(pairs, classes, docs)
 
     # The nearest partner of each first: it joins most of what belongs together.
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "orders", "depth")
@@ -349,7 +389,7 @@ def _class_labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
         "other", F.col("orders") * 64 + F.col("depth")).alias("other"))
     nearest = nearest.select(F.least("node", "other").alias("a"),
                              F.greatest("node", "other").alias("b")).distinct()
-    links = stored(confirmed(nearest, texts, percent), "links")
+    links = stored(confirmed(nearest, texts, percent).unionByName(same_id), "links")
     labels = stored(components(links), "labels")
 
     rest = _estimated(_labelled(pairs.select("a", "b"), labels), classes, percent)
@@ -364,8 +404,11 @@ def _class_labels(classes: DataFrame, docs: DataFrame, percent: int) -> DataFram
     return components(stored(links.unionByName(more), "links"))
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = stored(ids, "candidates")
-    found = restricted(docs, ids, "doc_id").select(F.col("doc_id").alias("node"), "text")
-    return stored(found, "texts")
+def _texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of all classes in pairs, one text each, however many rows have it."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(classes.select("node", "text_key").join(nodes, "node"), "candidates")
+    texts = docs.withColumn("text_key", F.xxhash64("text")).select("text_key", "text")
+    texts = restricted(texts, wanted.select("text_key"), "text_key").groupBy("text_key").agg(
+        F.min("text").alias("text"))
+    return stored(texts.join(wanted, "text_key").select("node", "text"), "texts")

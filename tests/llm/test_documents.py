@@ -52,6 +52,34 @@ def test_large_group_of_near_copies_is_one_component_or_as_linked(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.near_duplicates(texts)
 
 
+def test_rows_of_one_id_are_in_one_component(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, None), (20, ""), (20, "x y"), (21, None)]
+    found = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(3, 3), (5, 3), (9, 3), (20, 20), (21, 21)}
+    assert sum(r.kept for r in found) == 4
+
+
+@pytest.mark.parametrize("copies", [400, 4000])
+def test_repeated_rows_are_compared_once(spark, copies, monkeypatch):
+    base = [f"w{i}" for i in range(40)]
+    one, two = " ".join(base), " ".join([*base, "end"])
+    rows = [(k % 2 + 1, (one, two)[k % 2]) for k in range(2 * copies)] + [
+        (7, " ".join(f"z{k}y{i}" for i in range(9))) for k in range(copies)]
+    real, sizes = minhash.confirmed, []
+
+    def counted(pairs, texts, percent):
+        sizes.append((pairs.count(), texts.count(), texts.select("node").distinct().count()))
+        return real(pairs, texts, percent)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    found = minhash.near_duplicates(frame(spark, rows))
+    assert {(r.doc_id, r.component_id) for r in found.select("doc_id", "component_id").distinct().collect()} == {
+        (1, 1), (2, 1), (7, 7)}
+    # One text to a class, and as many text pairs as candidate pairs.
+    assert sizes and all(n == nodes and pairs <= 2 * copies for pairs, n, nodes in sizes)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
     text = "a b c d e f g h"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import __spark_entry__ as spark_entry
+from pyspark.sql import functions as F
 import corpus_pipeline
 
 from fleetvitals.llm.queries import table
@@ -68,4 +69,23 @@ def test_rows_without_id_are_kept_once(spark):
 def test_every_query_is_registered():
     names = set(spark_entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {
-        f"op{i}" for i in range(1, 11)}
+        f"op{i}" for i in range(1, 14)}
+
+
+def test_ids_with_several_texts_leave_no_copy(spark):
+    prose = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, c), (7, c), (2**62 + 5, a + " end"), (11, ""), (11, ""),
+            (11, None), (12, prose(4)), (12, prose(5)), (None, prose(6)), (None, prose(6))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    results = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(order)], schema)
+        docs = docs.withColumn("source", F.lit("s"))
+        kept = corpus_pipeline.near_dedup(spark, docs.repartition(3), FOLDER)
+        results.append(sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())))
+    assert results[0] == results[1]
+    assert [x for x in results[0] if x[0] not in (11, 12)] == [(0, prose(6)), (3, a), (7, c)]
+    assert [t for i, t in results[0] if i == 11] == ["", ""]
+    assert len([t for i, t in results[0] if i == 12]) == 1
+
