@@ -30,7 +30,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, folder, "documents"))
+    return minhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
 
 
 def vector_search(spark: SparkSession, folder: str) -> DataFrame:
