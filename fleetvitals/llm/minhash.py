@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from fleetvitals.session import stored
 
 from .components import components
-from .text import as_list, blank_words, map_texts, mixed, restricted, slices, word_hashes
+from .text import BROADCAST_IDS, as_list, blank_words, map_texts, mixed, restricted, slices, word_hashes
 
 WORDS = 5
 LANES = 60
@@ -336,15 +336,18 @@ def near_duplicates(
             F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"),
         ).withColumn("node", F.monotonically_increasing_id()), "classes")
     shared = stored(_shared_ids(found), "shared-ids")
-    same_id = _links_by_id(found, classes, shared)
+    is_shared = not shared.isEmpty()
+    same_id = _links_by_id(found, classes, shared) if is_shared else None
     labels = stored(_class_labels(classes, docs, same_id, percent), "labels")
-    groups = classes.join(labels, "node", "left").withColumn("group_id", F.coalesce("label", "node"))
-    groups = stored(groups.select("high", "low", "first_id", "group_id"), "groups")
-    # Few classes have others in their component; the rest keep their own smallest id.
-    first = groups.groupBy("group_id").agg(F.min("first_id").alias("component_id"))
-    groups = stored(groups.join(first, "group_id").select("high", "low", "group_id", "component_id"), "components")
+    # Classes that are linked with no other keep their own smallest id.
+    own = classes.select("high", "low", "node", "first_id").join(labels, "node", "left")
+    linked = own.where("label is not null").groupBy("label").agg(F.min("first_id").alias("linked_id"))
+    groups = stored(own.join(linked, "label", "left").select(
+        "high", "low", F.coalesce("label", "node").alias("group_id"),
+        F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("linked_id"))
+        .alias("component_id")), "components")
     joined = found.drop("sig", "text_key").join(groups, ["high", "low"], "left")
-    if not shared.isEmpty():
+    if is_shared:
         # A row without shingles lies in the component of the other rows of its id.
         own = restricted(joined, shared, "doc_id").groupBy("doc_id").agg(
             F.min("group_id").alias("own_group"), F.min("component_id").alias("own_component"))
@@ -375,8 +378,10 @@ def _links_by_id(found: DataFrame, classes: DataFrame, shared: DataFrame) -> Dat
     return stored(of_id.join(low, "doc_id").where("a <> node").select("a", F.col("node").alias("b")), "id-links")
 
 
-def _class_labels(classes: DataFrame, docs: DataFrame, same_id: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the classes that are linked with another."""
+def _class_labels(
+    classes: DataFrame, docs: DataFrame, same_id: DataFrame | None, percent: int,
+) -> DataFrame:
+    """(node, label) of the classes that are linked with another, also by `same_id`."""
     forest = stored(forest_rows(classes), "forest")
     pairs = stored(neighbour_pairs(forest), "pairs")
     texts = _texts_of(pairs, classes, docs)
@@ -389,7 +394,8 @@ def _class_labels(classes: DataFrame, docs: DataFrame, same_id: DataFrame, perce
         "other", F.col("orders") * 64 + F.col("depth")).alias("other"))
     nearest = nearest.select(F.least("node", "other").alias("a"),
                              F.greatest("node", "other").alias("b")).distinct()
-    links = stored(confirmed(nearest, texts, percent).unionByName(same_id), "links")
+    near = confirmed(nearest, texts, percent)
+    links = stored(near if same_id is None else near.unionByName(same_id), "links")
     labels = stored(components(links), "labels")
 
     rest = _estimated(_labelled(pairs.select("a", "b"), labels), classes, percent)
@@ -408,7 +414,7 @@ def _texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     """(node, text) of all classes in pairs, one text each, however many rows have it."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(classes.select("node", "text_key").join(nodes, "node"), "candidates")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.withColumn("text_key", F.xxhash64("text")).select("text_key", "text")
-    texts = restricted(texts, wanted.select("text_key"), "text_key").groupBy("text_key").agg(
-        F.min("text").alias("text"))
-    return stored(texts.join(wanted, "text_key").select("node", "text"), "texts")
+    return stored(texts.join(wanted, "text_key").groupBy("node").agg(F.min("text").alias("text")), "texts")
