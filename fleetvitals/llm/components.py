@@ -11,43 +11,80 @@ from pyspark.sql import functions as F
 from fleetvitals.session import stored
 
 
-def _contracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The links of one task as stars: every node with the smallest it reaches there."""
-    parent: dict[int, int] = {}
+# A task forgets the nodes it knows and starts anew once it knows so many: some 300 MB.
+NODES_AT_ONCE = 1 << 20
+_STARS = "u long, v long, mark int"
 
-    def root(node: int) -> int:
-        top = node
+
+class _Stars:
+    """Links seen so far, every node under the smallest it reaches."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        parent, top = self.parent, node
         while (above := parent.setdefault(top, top)) != top:
             top = above
         while parent[node] != top:
             parent[node], node = top, parent[node]
         return top
 
-    for part in parts:
-        for a, b in zip(part["u"].tolist(), part["v"].tolist(), strict=True):
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    nodes = [n for n in parent if root(n) != n]
-    yield pd.DataFrame({"u": nodes, "v": [root(n) for n in nodes]}, dtype="int64")
+    def link(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+    def rows(self) -> pd.DataFrame:
+        """The stars' edges, one of them marked."""
+        nodes = [n for n in self.parent if self.root(n) != n]
+        return pd.DataFrame({"u": nodes, "v": [self.root(n) for n in nodes],
+                             "mark": [int(at == 0) for at in range(len(nodes))]})
+
 
+def _contracted(nodes_at_once: int):
+    """The links of one task as stars, of about `nodes_at_once` nodes at a time."""
 
-def components(links: DataFrame) -> DataFrame:
+    def contract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stars = _Stars()
+        for part in parts:
+            for a, b in zip(part["u"].tolist(), part["v"].tolist(), strict=True):
+                stars.link(a, b)
+            if len(stars.parent) > nodes_at_once:
+                yield stars.rows()
+                stars = _Stars()
+        if stars.parent:
+            yield stars.rows()
+
+    return contract
+
+
+def components(links: DataFrame, nodes_at_once: int = NODES_AT_ONCE) -> DataFrame:
     """(node, label) of every node of a link (columns a, b): the smallest node it reaches.
 
-    Stars are drawn alternately to the smallest neighbour of larger and of smaller
-    nodes, which ends in one star per component after few rounds. Every round is
-    written to the shared folder, so a lost executor costs one round; nothing but
-    the question whether stars are left comes to the driver. Links inside a task are
-    contracted there first.
+    Links are first contracted to stars inside the tasks that read them, and written. As
+    a scan packs small files, the next pass meets the stars of several tasks in one; it
+    goes on while that at least halves the sets of stars, and a single set is the result.
+    Where the links are too many for that, stars are drawn alternately to the smallest
+    neighbour of larger and of smaller nodes, which ends in one star per component after
+    few rounds. Every pass is written to the shared folder, so a lost executor costs one
+    pass; nothing but the number of sets, and whether stars are left, comes to the driver.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = edges.where("u <> v")
+    edges, before = edges.where("u <> v"), None
     while True:
-        edges = stored(edges.mapInPandas(_contracted, "u long, v long").distinct(), "stars")
+        edges = stored(edges.mapInPandas(_contracted(nodes_at_once), _STARS), "stars")
+        sets = edges.agg(F.sum("mark")).first()[0] or 0
+        edges = edges.select("u", "v")
+        if sets <= 1:
+            break
+        if before is None or 2 * sets <= before:
+            before = sets
+            continue
+        edges = stored(edges.distinct(), "stars")
         if _are_stars(edges):
             break
-        edges = _small_star(_large_star(edges))
+        edges, before = _small_star(_large_star(edges)), None
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
             .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")))
             .distinct())

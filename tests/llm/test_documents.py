@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
 import pytest
 
 from fleetvitals.llm import bpe, decontaminate, minhash, shards, token_store
+from fleetvitals.llm.components import components
 from fleetvitals.session import new_folder
 
 from . import brute
@@ -212,3 +214,32 @@ def test_slots_balance_bytes_and_number_places(spark):
 def test_slots_of_an_empty_table(spark):
     records = shards.records(frame(spark, []))
     assert shards.placed(records, shards.initial_map(shards.slot_bytes(records), 24)).collect() == []
+
+
+@pytest.mark.parametrize("nodes_at_once", [1 << 20, 40])
+@pytest.mark.parametrize("kind", ["none", "random", "chain", "hub"])
+def test_components_by_contraction_and_by_star_rounds(spark, kind, nodes_at_once):
+    draw = random.Random(5)
+    links = {
+        "none": [(7, 7)],
+        "random": [(draw.randrange(2_500), draw.randrange(2_500)) for _ in range(2_200)],
+        "chain": [(i, i + 1) for i in range(900)],
+        "hub": [(0, i) for i in range(1, 900)] * 2 + [(2_000, 2_001)],
+    }[kind]
+    label = {}
+    for a, b in links:
+        x, y = label.setdefault(a, {a}), label.setdefault(b, {b})
+        if x is not y:
+            small, large = sorted((x, y), key=len)
+            large |= small
+            label.update(dict.fromkeys(small, large))
+    expected = {n: min(group) for n, group in label.items() if len(group) > 1}
+    rows = spark.createDataFrame(links, "a long, b long").repartition(12)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "50")
+    try:
+        found = components(rows, nodes_at_once).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert {r.node: r.label for r in found} == expected and len(found) == len(expected)
