@@ -24,10 +24,13 @@ def join_keys(left: DataFrame, right: DataFrame, *ids: str) -> list[str]:
     ]
 
 
-# Schemas of the server itself (fixed values).
-SYSTEM_SCHEMAS = ("pg_catalog", "information_schema", "pg_toast")
+# Schemas of the server itself, and how those of its out-of-line storage begin, also of
+# temporary tables (fixed values).
+SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
+TOAST_SCHEMAS = "pg_toast"
 
 
 def is_user_object() -> Column:
     """Whether a table's schema is one of users."""
-    return ~F.col("schema_name").isin(*SYSTEM_SCHEMAS)
+    schema = F.col("schema_name")
+    return ~(schema.isin(*SYSTEM_SCHEMAS) | schema.startswith(TOAST_SCHEMAS))

@@ -98,7 +98,7 @@ def test_key_columns_have_their_names_in_key_order(spark):
         "alpha", "c9"]
 
 
-@pytest.mark.parametrize("schema", ["pg_catalog", "information_schema", "pg_toast"])
+@pytest.mark.parametrize("schema", ["pg_catalog", "information_schema", "pg_toast", "pg_toast_temp_3"])
 def test_objects_of_the_server_are_no_findings(spark, schema):
     rel = make(spark, "rel", dict(schema_name=schema, relname="t", reltuples=1, n_live_tup=900,
                                   n_dead_tup=900, n_tup_ins=10**6, n_tup_del=0, size_bytes=10**10))
