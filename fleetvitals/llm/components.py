@@ -13,6 +13,8 @@ from fleetvitals.session import stored
 
 # A task forgets the nodes it knows and starts anew once it knows so many: some 300 MB.
 NODES_AT_ONCE = 1 << 20
+# Sets of stars that one task of the next pass reads.
+FAN_IN = 16
 _STARS = "u long, v long, mark int"
 
 
@@ -62,9 +64,9 @@ def _contracted(nodes_at_once: int):
 def components(links: DataFrame, nodes_at_once: int = NODES_AT_ONCE) -> DataFrame:
     """(node, label) of every node of a link (columns a, b): the smallest node it reaches.
 
-    Links are first contracted to stars inside the tasks that read them, and written. As
-    a scan packs small files, the next pass meets the stars of several tasks in one; it
-    goes on while that at least halves the sets of stars, and a single set is the result.
+    Links are first contracted to stars inside the tasks that read them, and written. In
+    the next pass a task reads FAN_IN sets of stars, each of bounded size; it goes on
+    while that at least halves the sets, and a single set is the result.
     Where the links are too many for that, stars are drawn alternately to the smallest
     neighbour of larger and of smaller nodes, which ends in one star per component after
     few rounds. Every pass is written to the shared folder, so a lost executor costs one
@@ -79,7 +81,7 @@ def components(links: DataFrame, nodes_at_once: int = NODES_AT_ONCE) -> DataFram
         if sets <= 1:
             break
         if before is None or 2 * sets <= before:
-            before = sets
+            edges, before = edges.coalesce(-(-sets // FAN_IN)), sets
             continue
         edges = stored(edges.distinct(), "stars")
         if _are_stars(edges):
