@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import oracle_texts
 from fleetvitals.functions import pretty_size
 from fleetvitals.operators import (
-    bloat, config, health, indexes, plans, profile, retention, rollup, statements, workload,
+    bloat, config, counters, health, indexes, plans, profile, retention, rollup, statements, workload,
 )
 from fleetvitals.plans import audit, findings, report
 from fleetvitals.session import new_folder, stored
@@ -89,6 +89,14 @@ def _retention(orders: DataFrame, events: DataFrame) -> DataFrame:
     return audits.withColumns({n: F.col(n).cast("date") for n in ("oldest", "newest")})
 
 
+def _changes_of_indexes(captures: DataFrame) -> DataFrame:
+    changes = counters.counter_changes(captures, "idx")
+    days = {c: F.col(c).cast("date") for c in ("captured_at", "previous_at")}
+    return changes.withColumns(days).select(
+        "instance_id", "relid", "index_name", "captured_at", "previous_at", "idx_scan",
+        "idx_tup_read", "idx_tup_fetch", "size_bytes", "was_reset", "exact")
+
+
 def _sizes(rel: DataFrame) -> DataFrame:
     size, dead = F.col("size_bytes"), F.col("n_dead_tup")
     return rel.select("relid", "size_bytes", pretty_size(size).alias("as_bytes"),
@@ -260,6 +268,13 @@ def audit_queries() -> dict[str, Query]:
         "d06_unused_indexes": _on(
             indexes.unused_indexes, "idx", "rel",
             order=_desc("size_bytes", "instance_id", "index_name")),
+        "c01_counter_changes": _on(_changes_of_indexes, "idx_captures"),
+        "d06_unused_over_captures": _on(
+            counters.unused_over_captures, "idx_captures", "rel",
+            order=_desc("size_bytes", "instance_id", "index_name")),
+        "d16_top_time_over_captures": _on(
+            lambda stmt, ext: statements.top_time_statements(counters.activity(stmt, "stmt"), ext),
+            "stmt_captures", "ext", order=by_exec),
         "d07_unused_by_scan": _on(
             indexes.unused_indexes_by_scan, "idx", "rel",
             order=_desc("size_bytes", "instance_id", "index_name")),

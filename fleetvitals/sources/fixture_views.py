@@ -8,6 +8,7 @@ both Spark and the comparison engine read the same way.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.rollup import statement_rollup
 from ..schemas import RELATIONS, conform
@@ -137,6 +138,27 @@ select instance_id, concat('db',cast(instance_id as string)) as datname,
 from {fx_exec} group by instance_id"""
 
 
+# Three daily captures of cumulative counters; n is the number of the capture. Instances that
+# 3 divides are reset before the third. Of tables, those that 5 divides come with the second
+# capture and those that 7 divides are gone in the third; of statements, by their calls.
+CAPTURED = """case n when 1 then timestamp '2024-03-01 00:00:00' when 2 then timestamp '2024-03-02 00:00:00'
+  else timestamp '2024-03-03 00:00:00' end"""
+GROWN = "(case when n=1 then 10 when n=2 then 25 when instance_id%3=0 then 5 else 40 end)"
+
+IDX_CAPTURES = f"""
+select instance_id, index_name, relid, key1, key2, indpred, size_bytes, {CAPTURED} as captured_at,
+ idx_scan*{GROWN} as idx_scan, idx_tup_read*{GROWN}+100 as idx_tup_read,
+ idx_tup_fetch*{GROWN} as idx_tup_fetch
+from (select i.*, o_custkey as instance_id from {{fx_idx_thrice}} i join {{orders}} on o_orderkey=relid)
+where (n>1 or relid%5<>0) and (n<3 or relid%7<>0)"""
+
+STMT_CAPTURES = f"""
+select instance_id, query, calls*{GROWN} as calls,
+ cast(total_exec_time*{GROWN} as decimal(28,2)) as total_exec_time, rows_out*{GROWN} as rows_out,
+ temp_blks_written*{GROWN} as temp_blks_written, shared_blks_hit*{GROWN} as shared_blks_hit,
+ shared_blks_read*{GROWN} as shared_blks_read, has_wildcard, has_ilike, {CAPTURED} as captured_at
+from {{fx_stmt_thrice}} where (n>1 or calls%5<>0) and (n<3 or calls%7<>0)"""
+
 # Terms looked for in the documents, and the order seed of the random subset (fixed values).
 SEARCH_TERMS = ("the", "license", "de ", "http", "Copyright", "password", "und ", "@")
 SUBSET_SEED = 7
@@ -179,6 +201,12 @@ class FixtureTelemetry:
                 fx_exec=self._sql(EXEC_IDS, fx_exec=self["log"])))
         if name == "stmt":
             return statement_rollup(self["exec"])
+        if name in ("idx_captures", "stmt_captures"):
+            kind = name.split("_")[0]
+            thrice = self[kind].withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+            text = {"idx": IDX_CAPTURES, "stmt": STMT_CAPTURES}[kind]
+            orders = {"orders": table(self._spark, self._dir, "orders")} if kind == "idx" else {}
+            return conform(kind, self._sql(text, **{f"fx_{kind}_thrice": thrice}, **orders))
         if name in ("plan", "dbtemp"):
             return self._sql({"plan": PLAN, "dbtemp": DBTEMP}[name], fx_exec=self["log"])
         if name == "sess":

@@ -109,12 +109,50 @@ BAND = f"case when {DEAD} > 20 then 'alarming' when {DEAD} > 10 then 'elevated'
 
 TOP = "row_number() over (partition by instance_id order by {by} desc, query) as rn"
 
+
+
+def _change_parts(kind: str, keys: str, counters: tuple[str, ...], others: str) -> dict[str, str]:
+    """What happened between captures, by joining every row to all earlier ones of its object."""
+    same = " and ".join(f"p.{k.strip()} = c.{k.strip()}" for k in keys.split(","))
+    was = ", ".join(f"arg_max(p.{c}, p.captured_at) as was_{c}" for c in counters)
+    fell = " or ".join(f"{c} < was_{c}" for c in counters)
+    change = ", ".join(f"case when {fell} then {c} else {c} - coalesce(was_{c}, 0) end as {c}"
+                       for c in counters)
+    return {
+        f"{kind}_once": f"""
+select * from fx_{kind}_captures qualify row_number() over (partition by {keys}, captured_at
+ order by {counters[0]} desc, {others} desc) = 1""",
+        f"{kind}_times": f"select distinct instance_id, captured_at from fx_{kind}_captures",
+        f"{kind}_pairs": f"""
+select c.*, max(p.captured_at) as before, {was}
+from {kind}_once c left join {kind}_once p on {same} and p.captured_at < c.captured_at group by all""",
+        f"{kind}_falls": f"select distinct instance_id as fallen, captured_at as fallen_at from {kind}_pairs where {fell}",
+        f"{kind}_since": f"""
+select c.instance_id, c.captured_at, max(p.captured_at) as earlier from {kind}_times c
+ join {kind}_times p on p.instance_id = c.instance_id and p.captured_at < c.captured_at group by all""",
+        f"{kind}_changes": f"""
+select c.* replace ({change}), coalesce(before, earlier) as previous_at,
+ coalesce({fell}, false) as was_reset,
+ not exists (select 1 from {kind}_falls where fallen = c.instance_id
+   and fallen_at > coalesce(before, earlier) and fallen_at <= c.captured_at) as exact
+from {kind}_pairs c join {kind}_since using (instance_id, captured_at)""",
+    }
+
+
 PARTS = {
     "fx_rel": _bound(fx.REL), "fx_col": _bound(fx.COL), "fx_idx": _bound(fx.IDX),
     "fx_fk": _bound(fx.FK), "fx_exec": _bound(fx.EXEC), "fx_plan": _bound(fx.PLAN),
     "fx_sess": _bound(fx.SESS), "fx_set": _bound(fx.SETTING), "fx_ext": _bound(fx.EXT),
     "fx_dbtemp": _bound(fx.DBTEMP),
     "fx_stmt": f"select instance_id, {OPERANDS} as query, {STMT_COLUMNS} {SAMPLE_ID} from fx_exec group by 1,2",
+    "fx_idx_thrice": "select *, unnest([1, 2, 3]) as n from fx_idx",
+    "fx_stmt_thrice": "select *, unnest([1, 2, 3]) as n from fx_stmt",
+    "fx_idx_captures": _bound(fx.IDX_CAPTURES), "fx_stmt_captures": _bound(fx.STMT_CAPTURES),
+    **_change_parts("idx", "instance_id, relid, index_name",
+                    ("idx_scan", "idx_tup_read", "idx_tup_fetch"), "size_bytes"),
+    **_change_parts("stmt", "instance_id, query",
+                    ("calls", "total_exec_time", "rows_out", "temp_blks_written",
+                     "shared_blks_hit", "shared_blks_read"), "query"),
     "partial_missing": f"""
 select r.instance_id, r.relname as table_name, c.attname as column_name,
  r.reltuples as estimated_rows, c.mcv1 as dominant_value,
@@ -519,6 +557,28 @@ select r.instance_id, r.relname as table_name,
 from fx_idx i join fx_rel r on r.relid = i.relid
 group by r.instance_id, r.relname, i.relid, i.key1, i.key2, i.indpred having count(*) > 1""",
     "d06_unused_indexes": "select * from unused",
+    "c01_counter_changes": """
+select instance_id, relid, index_name, cast(captured_at as date) as captured_at,
+ cast(previous_at as date) as previous_at, idx_scan, idx_tup_read, idx_tup_fetch, size_bytes,
+ was_reset, exact from idx_changes""",
+    "d06_unused_over_captures": f"""
+select r.instance_id, r.relname as table_name, i.index_name, i.scans as idx_scan,
+ {pretty('i.size_bytes')} as size, i.size_bytes
+from (select instance_id, relid, index_name, cast(sum(idx_scan) as bigint) as scans,
+  arg_max(size_bytes, captured_at) as size_bytes, max(captured_at) as last from idx_changes
+  group by 1, 2, 3 having bool_and(exact) and sum(idx_scan) = 0 and sum(idx_tup_read) = 0
+  and sum(idx_tup_fetch) = 0) i
+ join fx_rel r on r.relid = i.relid and r.instance_id = i.instance_id
+where i.index_name not like '%_pkey' and r.{USER}
+ and last = (select max(captured_at) from idx_times t where t.instance_id = i.instance_id)""",
+    "d16_top_time_over_captures": f"""
+select instance_id, 'Statement with a high total time' as title, 'MEDIUM' as severity, {_CARD},
+ {_MEANC}, rows_out as rows
+from (select *, {TOP.format(by='total_exec_time')} from (
+  select instance_id, query, cast(sum(calls) as bigint) as calls, sum(total_exec_time) as total_exec_time,
+   cast(sum(rows_out) as bigint) as rows_out from stmt_changes group by 1, 2)
+  where calls > 0 and total_exec_time >= 100)
+where rn <= 5 and instance_id in (select instance_id from tracked)""",
     "d07_unused_by_scan": f"""
 select r.instance_id, r.schema_name, r.relname as table_name, i.index_name,
  i.idx_scan as total_scans, {pretty('i.size_bytes')} as index_size, i.size_bytes
