@@ -100,8 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, rates: Rates | None = None,
     """(place, weight) of a model of labels.toxic, the only column of labels that is used.
 
     Learns from texts whose id lies in folds 1 to 4, about `train_rows` of them at most,
-    chosen by hash of the id; the learner is one task, bounded by that. Rows of one id
-    in `labels` are positive if one is; null labels and null texts are left out.
+    chosen by hash of the id; the learner is one task, bounded by that, since of an id in
+    several rows one text is learnt from, the smallest by hash. Rows of one id in `labels` are
+    positive if one is; null labels and null texts are left out.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("label"))
@@ -111,6 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, rates: Rates | None = None,
     # The bound on rows is what makes this side fit to send to every executor.
     drawn = F.broadcast(known.withColumn("draw", draw).where(F.col("draw") < share))
     texts = docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id")
+    # Starts in the map tasks: an id that holds a third of all rows comes to one row a task.
+    texts = texts.groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"),
+        F.max("label").alias("label"), F.max("draw").alias("draw")).select(
+            "least.text", "label", "draw")
 
     def row(text: bytes, label: int, at: float) -> tuple:
         places = np.append(np.unique(features(text)), BIAS)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetvitals.llm import langid, toxicity, urls
 from fleetvitals.llm.queries import URL_RULES, language, table, toxic_texts
@@ -133,6 +134,26 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.scored(docs.limit(0), model).collect() == []
 
 
+def test_an_id_in_many_rows_is_learnt_from_once(spark):
+    texts = {i: f"vile awful words {i}" if i % 3 == 0 else f"kind calm words {i}" for i in range(60)}
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    hot = next(i for i in texts if zlib.crc32(str(i).encode()) % 5)
+    repeated = [(hot, texts[hot], None, None, None)] * 2000 + [
+        (hot, f"other words {n}", None, None, None) for n in range(1000)]
+    docs = spark.createDataFrame(repeated + [
+        (i, t, None, None, None) for i, t in texts.items() if i != hot], SCHEMA)
+    least = docs.where(f"doc_id = {hot}").orderBy(F.xxhash64("text"), "text").first().text
+    single = spark.createDataFrame([
+        (i, least if i == hot else t, None, None, None) for i, t in texts.items()], SCHEMA)
+    rates = toxicity.Rates(l1=0.5)
+    models = [{r.place: r.weight for r in toxicity.fit(d, labels, rates).collect()}
+              for d in (docs, single)]
+    assert models[0] == models[1] and len(models[0]) > 1
+    # What reaches the learner is bounded in rows, whatever the copies.
+    explained = toxicity.fit(docs, labels, rates)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [doc_id" in explained.split("MapInArrow")[-1]
+
+
 def test_weights_are_those_of_a_plain_learner():
     rng = np.random.RandomState(1)
     rates = toxicity.Rates(l1=0.3)
