@@ -79,12 +79,16 @@ with recursive crc as (select list(c order by b) as t from (select b, list_reduc
   from (select unnest(range(256)) as b))),
 d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h
  from documents),
-r as (select doc_id, strlen(text) + 8 as size,
+k as (select doc_id, strlen(text) + 8 as size,
   xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(text)),
     lambda i: cast(concat('0x', h[2 * i + 1:2 * i + 2]) as bigint))),
     lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) as text_crc32,
-  cast(concat('0x', md5(coalesce(cast(doc_id as varchar), ''))[1:8]) as bigint) % 4096
-    as virtual_slot from d, crc),
+  coalesce(cast(doc_id as varchar), '') as id from d, crc),
+n as (select *, count(*) over (partition by id) as n,
+  row_number() over (partition by id, size, text_crc32) - 1 as copy from k),
+r as (select doc_id, size, text_crc32, cast(concat('0x', md5(case when n = 1 then id
+  else concat(id, ':', size, ':', text_crc32, ':', copy) end)[1:8]) as bigint) % 4096
+    as virtual_slot from n),
 s as (select virtual_slot, sum(size) as bytes, row_number() over (
   order by sum(size) desc, virtual_slot) as i from r group by 1),
 m as (select cast(0 as bigint) as i, list_transform(range(24), lambda x: cast(0 as hugeint)) as loads,

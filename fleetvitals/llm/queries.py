@@ -83,7 +83,7 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stored(shards.records(table(spark, folder, "documents")), "records")
+    rows = stored(shards.records(table(spark, folder, "documents")), "keyed-records")
     slot_map = stored(shards.initial_map(stored(shards.slot_bytes(rows), "slots"), SHARDS), "map")
     return shards.placed(rows, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

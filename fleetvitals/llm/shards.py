@@ -1,7 +1,9 @@
 """Shards of near equal bytes by fixed virtual slots and a stored slot-to-shard map.
 
-A record's slot follows from its key alone and never changes. Bytes are summed per
-slot, and a map, thousands of rows whatever the data, says which shard holds a slot.
+A record's slot follows from its key alone. Where several records carry one key, size,
+checksum and the number among equal records are part of it, so that a key with a third
+of all rows fills no slot. Bytes are summed per slot, and a map, thousands of rows
+whatever the data, says which shard holds a slot.
 The map is versioned: to rebalance or to add shards a new version is stored in which
 only the slots that must move have another shard. All of it is DataFrame operations.
 """
@@ -11,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetvitals.session import stored
+
+from .text import restricted
+
 SLOTS = 4096
 SLOT_ROWS = 50_000
 
@@ -21,7 +27,7 @@ def _digits(key: Column, first: int, count: int) -> Column:
 
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    """The fixed slot of a key; rows without a key share one."""
+    """The fixed slot of a key; null has that of the empty text."""
     return (_digits(key, 1, 8) % slots).cast("int")
 
 
@@ -106,7 +112,8 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     most = rows.groupBy("virtual_slot").count().agg(F.max("count")).first()[0] or 0
     subs = most // SLOT_ROWS + 1
     text = [c for c in ("size", "text_crc32") if c in rows.columns]
-    rows = rows.withColumn("sub", (_digits(F.col("doc_id"), 9, 8) % subs).cast("int"))
+    key = "record_key" if "record_key" in rows.columns else "doc_id"
+    rows = rows.withColumn("sub", (_digits(F.col(key), 9, 8) % subs).cast("int")).drop("record_key")
     counts = rows.groupBy("virtual_slot", "sub").agg(F.count("*").alias("n")).join(
         slot_map.select("virtual_slot", "shard"), "virtual_slot")
     order = Window.partitionBy("shard").orderBy("virtual_slot", "sub")
@@ -121,9 +128,39 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): bytes of the text plus 8, null as none."""
+    """(doc_id, size, text_crc32, record_key, virtual_slot): bytes of the text plus 8, null as none.
+
+    The key of a record is its id. Ids of several rows, null among them, give each row
+    `id:size:crc32:number` instead, the number telling equal rows apart, from 0.
+    """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(
+    # Stored with the place of its scan, by which equal rows are numbered in parts.
+    rows = stored(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-        virtual_slot(F.col(id_col), slots).alias("virtual_slot"))
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("record_key"),
+        F.spark_partition_id().alias("part")), "records")
+    often = stored(rows.groupBy("record_key").agg(F.count("*").alias("n")).where("n > 1")
+                   .select("record_key"), "repeated-ids")
+    if not often.isEmpty():
+        once = restricted(rows, often, "record_key", "left_anti")
+        rows = once.unionByName(_told_apart(restricted(rows, often, "record_key")))
+    return rows.drop("part").withColumn("virtual_slot", virtual_slot(F.col("record_key"), slots))
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows of repeated ids, each with a key of its own.
+
+    Equal rows are numbered inside each part of the scan, and the parts by running sums
+    of their counts, so that no task numbers all copies of a row.
+    """
+    same = ["record_key", "size", "text_crc32"]
+    counts = rows.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        *same, "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*same, "part").orderBy("doc_id")) - 1
+    numbered = rows.withColumn("number", inside).join(before, [*same, "part"])
+    number = F.col("before") + F.col("number")
+    own = F.concat_ws(":", *[c.cast("string") for c in (*map(F.col, same), number)])
+    return numbered.withColumn("record_key", own).drop("number", "before")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from fleetvitals.llm import bpe, decontaminate, minhash, shards, token_store
+from fleetvitals.llm import bpe, decontaminate, minhash, oracles, shards, token_store
 from fleetvitals.llm.components import components
 from fleetvitals.session import new_folder
 
@@ -211,6 +213,40 @@ def test_slots_balance_bytes_and_number_places(spark):
     slot_map.unpersist()
 
 
+def test_slots_of_an_id_with_a_third_of_the_rows(spark):
+    texts = [(i, "x" * (500 + i % 300)) for i in range(1500)]
+    texts += [(7, "y" * (500 + i % 300)) for i in range(400)] + [(7, "again " * 100)] * 300
+    texts += [(None, "nobody " * 90)] * 200
+    records = shards.records(frame(spark, texts).repartition(5)).cache()
+    keys, seen = [], {}
+    often = {i for i, n in Counter(i for i, _ in texts).items() if n > 1}
+    for i, text in texts:
+        raw, own = text.encode(), "" if i is None else str(i)
+        copy = seen[i, text] = seen.get((i, text), -1) + 1
+        keys.append(f"{own}:{len(raw) + 8}:{zlib.crc32(raw)}:{copy}" if i in often else own)
+    slots = [int(hashlib.md5(k.encode()).hexdigest()[:8], 16) % shards.SLOTS for k in keys]
+    found = records.collect()
+    assert Counter((r.record_key, r.virtual_slot) for r in found) == Counter(zip(keys, slots))
+    sizes = shards.slot_bytes(records).cache()
+    slot_map = shards.initial_map(sizes, 24).cache()
+    by, placed = {}, shards.placed(records, slot_map).collect()
+    for row in placed:
+        by.setdefault(row.shard, []).append(row)
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", texts)
+    told = db.execute("select doc_id, text_crc32, shard, slot, virtual_slot from ("
+                      + oracles.SLOTS + ")").fetchall()
+    assert Counter(told) == Counter(
+        (r.doc_id, r.text_crc32, r.shard, r.place, r.virtual_slot) for r in placed)
+    total = [sum(r["size"] for r in own) for own in by.values()]
+    # The last slot dealt makes the difference, and no slot holds many rows.
+    assert len(by) == 24 and max(total) - min(total) <= max(r.bytes for r in sizes.collect()) < 8 * 808
+    assert all(sorted(r.place for r in own) == list(range(len(own))) for own in by.values())
+    for frame_ in (records, sizes, slot_map):
+        frame_.unpersist()
+
+
 def test_slots_of_an_empty_table(spark):
     records = shards.records(frame(spark, []))
     assert shards.placed(records, shards.initial_map(shards.slot_bytes(records), 24)).collect() == []
