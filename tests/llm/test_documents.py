@@ -113,6 +113,41 @@ def test_contamination_agrees_with_a_search(spark, rows, part_bytes):
                    == brute.words(text)[r.word_from:r.word_to] for r in row.runs)
 
 
+@pytest.mark.parametrize("window", [1, 2, 10])
+def test_pieces_hold_every_window_once_or_more(window):
+    rng = random.Random(3)
+    for n in (0, 1, 9, 10, 11, 40, 300):
+        words = [bytes([97 + rng.randrange(4)]) * rng.randint(1, 9) for _ in range(n)]
+        pieces = [p.split() for p in decontaminate._cut(words, window, 50)]
+        cut = {tuple(p[i:i + window]) for p in pieces for i in range(max(1, len(p) - window + 1))}
+        assert cut == {tuple(words[i:i + window]) for i in range(max(1, n - window + 1)) if n}
+        assert all(sum(len(w) + 1 for w in p) < 50 + 2 * window * 10 for p in pieces)
+
+
+def test_one_item_with_most_rows_and_text_makes_no_large_part(spark, monkeypatch):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(500)}" for _ in range(4_000))
+    items = [("hot", long)] * 30 + [("hot", f"hot text number {i} of many such") for i in range(300)]
+    items += [(f"i{i}", f"an item of its own called {i} and nothing else") for i in range(200)]
+    benchmark = spark.createDataFrame(items, "item_id string, text string").repartition(3)
+    pieces = decontaminate._pieces(
+        benchmark.selectExpr("item_id as item", "text as words"), 10, 1_000)
+    dealt = decontaminate._parts(pieces, 4_000).collect()
+    sizes = Counter()
+    for r in dealt:
+        sizes[r.at] += len(r.words)
+    assert len(dealt) == len({(r["item"], r.words) for r in dealt}) and max(sizes.values()) < 5_200
+    assert sum(sizes.values()) < 2 * sum(len(t) for _, t in set(items))
+    cut = decontaminate._pieces
+    monkeypatch.setattr(decontaminate, "_pieces", lambda rows, window: cut(rows, window, 1_000))
+    texts = [(1, long[2_000:9_000]), (2, "so hot text number 7 of many such, too"), (3, long), (4, "none")]
+    found = {r.doc_id: r for r in decontaminate.benchmark_hits(
+        frame(spark, texts), benchmark, part_bytes=20_000).collect()}
+    for doc_id, text in texts:
+        row, wanted = found[doc_id], brute.contamination(text, sorted(set(items)))
+        assert (row.n_words, sum(r.word_to - r.word_from for r in row.runs), list(row["items"])) == wanted
+
+
 def test_contamination_without_items_or_documents(spark, docs):
     none = spark.createDataFrame([], "item_id string, text string")
     assert all(not r.runs for r in decontaminate.benchmark_hits(docs, none).collect())
