@@ -10,13 +10,16 @@ documents it spans and how many ids lie before it. A document is found by its bl
 one hash, one fingerprint and one slice, however many documents a block has.
 
 Documents lie in ascending order of id. Rows of one id are told apart by their copy
-number, in the order of their texts; rows without an id come first.
+number, in the order of their texts' first HEAD characters, then of a hash of the whole
+text; rows without an id come first. An id may most of the rows: its rows are dealt to several tasks, each numbers its own from 0, and
+the directory says how many of them lie in the tasks before.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ BLOCK_IDS = 1 << 20
 BLOCK_DOCS = 1 << 15
 SEEDS_AT_ONCE = 64
 PER_BUCKET = 3
+# So many characters order texts of one id; they go to the driver with Spark's range samples.
+HEAD = 32
 NO_ID = np.iinfo(np.int64).min
-_BLOCKS = ("part int, block int, first_id long, last_id long, n_docs int, n_ids long, width int, "
+_BLOCKS = ("part int, block int, first_id long, last_id long, last_copy long, n_docs int, n_ids long, width int, "
            "doc_ids binary, copies binary, seeds binary, fingerprints binary, offsets binary, "
            "lengths binary, payload binary")
 
@@ -108,7 +113,7 @@ class _Block:
         keys = keys_of(ids, copies)
         seeds = perfect_hash(keys)
         order = np.argsort(slots_of(keys, seeds, len(keys)))
-        return (part, number, self.ids[0], self.ids[-1], len(ids), int(lengths.sum()), width,
+        return (part, number, self.ids[0], self.ids[-1], self.copies[-1], len(ids), int(lengths.sum()), width,
                 ids.tobytes(), copies.astype("<u4").tobytes(), seeds.astype("<u4").tobytes(),
                 fingerprints_of(keys)[order].tobytes(), offsets[order].astype("<u4").tobytes(),
                 lengths[order].astype("<u4").tobytes(), b"".join(self.payload))
@@ -120,8 +125,10 @@ def write_store(
 ) -> None:
     """Encode every whole text, append `end_id`, and write the store to `folder`.
 
-    Documents are dealt by ranges of id, so a task writes its blocks in order; a null
-    text is the end id alone. The encoder's tables are bounded, a task holds one block.
+    Documents are dealt by ranges of id, head and hash of the text and place in the scan, so a task
+    writes its blocks in order and rows of one id need not be in one task, equal ones
+    included; a null text is the end id alone. The encoder's tables are bounded, a task
+    holds one block.
     """
     schema = docs.sparkSession.createDataFrame([], _BLOCKS).schema
 
@@ -155,21 +162,38 @@ def write_store(
         if block.ids:
             yield batch()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
+                       F.substring(text, 1, HEAD).alias("head"), F.xxhash64(text).alias("digest"),
+                       F.monotonically_increasing_id().alias("row"))
+    order = ("doc_id", "head", "digest", "row")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(blocks, schema).write.parquet(f"{folder}/blocks")
     _directory(docs.sparkSession, folder).write.parquet(f"{folder}/directory")
 
 
 def _directory(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per block: its documents, `start`, the ids before it, `edge_id`, the first id
+    of its task, and `edge_copies`, the rows of that id in the tasks before."""
     rows = spark.read.parquet(f"{folder}/blocks").select(
-        "part", "block", "first_id", "last_id", "n_docs", "n_ids")
-    totals = rows.groupBy("part").agg(F.sum("n_ids").alias("total"))
+        "part", "block", "first_id", "last_id", "last_copy", "n_docs", "n_ids")
+    ends = rows.groupBy("part").agg(
+        F.sum("n_ids").alias("total"), F.min("first_id").alias("edge_id"),
+        F.max("last_id").alias("last"), F.max_by("last_copy", "block").alias("last_copy"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return rows.join(starts, "part").withColumn(
+    starts = ends.select(
+        "part", "edge_id", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    # A task asks for the rows of its first id so far, then adds those of its last.
+    asks = ends.select("part", F.col("edge_id").alias("id"), F.lit(0).alias("adds"), F.lit(0).cast(
+        "long").alias("n"))
+    adds = ends.select("part", F.col("last").alias("id"), F.lit(1).alias("adds"),
+                       (F.col("last_copy") + 1).alias("n"))
+    sofar = Window.partitionBy("id").orderBy("part", "adds").rowsBetween(Window.unboundedPreceding, 0)
+    edges = asks.unionByName(adds).withColumn("edge_copies", F.sum("n").over(sofar)).where(
+        "adds = 0").select("part", "edge_copies")
+    return rows.drop("last_copy").join(starts, "part").join(edges, "part").withColumn(
         "start", F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).drop("base")
 
 
@@ -199,9 +223,11 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     Each is looked up by its key in the index of its block; start counts the ids of all
     documents before it; the checksum is over its ids as unsigned 32-bit numbers.
     """
-    blocks = spark.read.parquet(f"{folder}/blocks").drop("first_id", "last_id", "n_ids")
+    blocks = spark.read.parquet(f"{folder}/blocks").drop(
+        "first_id", "last_id", "last_copy", "n_ids")
     starts = spark.read.parquet(f"{folder}/directory").select(
-        F.col("part").alias("at_part"), F.col("block").alias("at_block"), F.col("start").alias("base"))
+        F.col("part").alias("at_part"), F.col("block").alias("at_block"), F.col("start").alias("base"),
+        "edge_id", "edge_copies")
 
     def digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -220,28 +246,38 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     found = blocks.mapInArrow(
         digests, "part int, block int, doc_id long, copy int, offset long, n_tokens long, ids_crc32 long")
     on = (F.col("part") == F.col("at_part")) & (F.col("block") == F.col("at_block"))
+    at_edge = F.coalesce("doc_id", F.lit(NO_ID)) == F.col("edge_id")
+    copy = F.col("copy") + F.when(at_edge, F.col("edge_copies")).otherwise(0)
     return found.join(starts, on).select(
-        "doc_id", "copy", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+        "doc_id", copy.alias("copy"), (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, copy, start, n_tokens, ids) of the documents that `wanted` (doc_id) asks for.
 
     Keys meet blocks over bins of ids, about as many as there are blocks; only the
-    blocks they fall into are read into memory, one at a time. Copy 0 is returned; ids
+    blocks they fall into are read into memory, one at a time. Copy 0 is returned, which is
+    in the first task that has rows of the id; ids
     that the store lacks are left out, but for a chance of 2^-32 each. Null ids are not
     looked up.
     """
     directory = spark.read.parquet(f"{folder}/directory").where(F.col("last_id") > NO_ID)
-    span = directory.agg(F.min(F.greatest("first_id", F.lit(NO_ID + 1))).alias("low"),
-                         F.max("last_id").alias("high"), F.count("*").alias("n")).first()
+    # Ids below the lowest named one can only be in a block that begins with rows without id.
+    least = F.when(F.col("first_id") > NO_ID, F.col("first_id")).otherwise(F.col("last_id"))
+    span = directory.agg(F.min(least).alias("low"), F.max("last_id").alias("high"),
+                         F.count("*").alias("n")).first()
     low, width = span.low or 0, max(1, ((span.high or 0) - (span.low or 0)) // max(1, span.n) + 1)
-    bin_of = lambda c: F.expr(f"cast(floor((greatest({c}, {low}L) - {low}L) / {width}) as long)")
-    bins = directory.select("part", "block", "first_id", "last_id", "start", F.explode(
+    # As decimals: the distance of two ids can be beyond 64 bits.
+    bin_of = lambda c: F.floor(
+        (F.greatest(F.col(c), F.lit(low)).cast("decimal(20,0)") - F.lit(Decimal(low)))
+        / F.lit(Decimal(width))).cast("long")
+    bins = directory.select("part", "block", "first_id", "last_id", "start", "edge_id",
+                            "edge_copies", F.explode(
         F.sequence(bin_of("first_id"), bin_of("last_id"))).alias("bin"))
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().where(
         "doc_id is not null").withColumn("bin", bin_of("doc_id"))
     placed = (asked.join(bins, "bin").where("doc_id between first_id and last_id")
+              .where("edge_copies = 0 or doc_id <> edge_id")
               .groupBy("part", "block", "start").agg(F.collect_list("doc_id").alias("asked")))
     blocks = spark.read.parquet(f"{folder}/blocks").select("part", "block", *_INDEX)
 

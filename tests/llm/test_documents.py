@@ -217,6 +217,44 @@ def test_token_store_of_repeated_and_null_ids(spark):
     assert token_store.read_store(spark, empty).collect() == []
 
 
+def test_token_store_of_an_id_with_most_rows(spark):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(WORD_FILE)
+    texts = [(i, f"text {i}") for i in range(40)] + [(20, "hot one " * (1 + i % 3)) for i in range(300)]
+    texts += [(20, "always the same")] * 300 + [(None, f"none {i % 9}") for i in range(200)]
+    folder = new_folder(spark, "test-store")
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        token_store.write_store(frame(spark, texts).repartition(6), folder, WORD_FILE, 2)
+    finally:
+        spark.conf.unset(coalesced)
+    blocks = spark.read.parquet(f"{folder}/blocks").where("20 between first_id and last_id")
+    parts = {r.part for r in blocks.collect()}
+    found = sorted(token_store.read_store(spark, folder).collect(), key=lambda r: r.start)
+    ids = [library.encode(t, add_special_tokens=False).ids + [2] for _, t in texts]
+    digests = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
+               for (i, _), x in zip(texts, ids, strict=True)]
+    assert len(parts) > 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter(digests)
+    assert [r.start for r in found] == np.cumsum([0] + [r.n_tokens for r in found])[:-1].tolist()
+    order = [(r.doc_id is not None, r.doc_id or 0, r.copy) for r in found]
+    assert order == sorted(set(order)) and Counter(r.doc_id for r in found) == Counter(i for i, _ in texts)
+    assert max(c for _, i, c in order if i == 20) == 600
+    wanted = spark.createDataFrame([(i,) for i in range(-1, 42)], "doc_id long")
+    got = token_store.lookup(spark, folder, wanted).collect()
+    firsts = {r.doc_id: (r.start, r.n_tokens) for r in found if r.copy == 0 and r.doc_id is not None}
+    assert {r.doc_id: (r.start, r.n_tokens) for r in got} == firsts and len(got) == len(firsts) == 40
+
+
+def test_lookup_over_the_widest_span_of_ids(spark):
+    ids = [-2**63 + 1, -5, 0, 7, 2**63 - 1]
+    folder = new_folder(spark, "test-store")
+    token_store.write_store(frame(spark, [(i, str(i)) for i in ids] + [(None, "x")]), folder, WORD_FILE, 2)
+    wanted = spark.createDataFrame([(i,) for i in ids + [8, -2**63 + 2]], "doc_id long")
+    assert sorted(r.doc_id for r in token_store.lookup(spark, folder, wanted).collect()) == ids
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     for n in (1, 2, 7, 1000):
         keys = token_store.keys_of(np.arange(n) * 17, np.zeros(n, int))
