@@ -11,6 +11,8 @@ from ..schemas import conform
 FILE_PATTERN = r"instance=(\d+)/plan=(\d+)\.txt"
 # How a plan shown with its statement's id says so.
 QUERY_IDENTIFIER = r"(?m)^\s*Query Identifier:\s*(-?\d+)\s*$"
+# Folders of a plan log.
+LOG_PARTS = 16
 
 
 def read_plan_files(spark: SparkSession, folder: str, query_ids: bool = False) -> DataFrame:
@@ -37,27 +39,31 @@ def read_plan_files(spark: SparkSession, folder: str, query_ids: bool = False) -
 
 
 def write_plan_log(plan: DataFrame, folder: str, mode: str = "append") -> None:
-    """Plans as lines ``plan_id<TAB>line_no<TAB>text``, many plans to a file, by instance.
+    """Plans as lines ``instance_id<TAB>plan_id<TAB>line_no<TAB>text``, many instances to a file.
 
-    Where the relation has ``queryid``, the first field is ``plan_id:queryid``.
+    Where the relation has ``queryid``, the second field is ``plan_id:queryid``. Instances
+    are dealt to LOG_PARTS folders, so a task writes that many files at most, however large
+    the fleet is.
     """
     own = ["plan_id", "queryid"] if "queryid" in plan.columns else ["plan_id"]
     named = F.concat_ws(":", *[F.col(c).cast("string") for c in own])
-    line = F.concat_ws("\t", named, F.col("line_no").cast("string"),
+    instance = F.coalesce(F.col("instance_id").cast("string"), F.lit(""))
+    line = F.concat_ws("\t", instance, named, F.col("line_no").cast("string"),
                        F.coalesce("line", F.lit("")))
-    plan.select("instance_id", line.alias("value")).write.mode(mode).partitionBy(
-        "instance_id").text(folder)
+    part = F.pmod("instance_id", F.lit(LOG_PARTS)).alias("part")
+    plan.select(part, line.alias("value")).write.mode(mode).partitionBy("part").text(folder)
 
 
 def read_plan_log(spark: SparkSession, folder: str, query_ids: bool = False) -> DataFrame:
-    """The lines of a plan log. Files are split between tasks, instances are folders.
+    """The lines of a plan log. Files are split between tasks.
 
     `query_ids` adds ``queryid``, null where a line has none.
     """
-    lines = spark.read.schema("value string, instance_id bigint").text(folder)
-    parts = F.split("value", "\t", 3)
-    own = F.split(parts[0], ":", 2)
+    lines = spark.read.schema("value string, part int").text(folder)
+    parts = F.split("value", "\t", 4)
+    own = F.split(parts[1], ":", 2)
     named = [F.get(own, F.lit(1)).try_cast("bigint").alias("queryid")] if query_ids else []
     return conform("plan", lines.select(
-        "instance_id", own[0].cast("bigint").alias("plan_id"), *named, parts[1].cast("int").alias("line_no"),
-        parts[2].alias("line")))
+        F.nullif(parts[0], F.lit("")).cast("bigint").alias("instance_id"),
+        own[0].cast("bigint").alias("plan_id"), *named, parts[2].cast("int").alias("line_no"),
+        parts[3].alias("line")))

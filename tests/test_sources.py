@@ -66,6 +66,16 @@ def test_plan_log_holds_many_plans_to_a_file(spark, tmp_path):
     assert len(back.inputFiles()) == 2
 
 
+def test_plan_log_of_many_instances_has_few_files(spark, tmp_path):
+    rows = [dict(instance_id=i, plan_id=7, line=f"\ta {i}\t") for i in (None, -5, *range(500))]
+    plan = make(spark, "plan", *rows).coalesce(1)
+    plan_files.write_plan_log(plan, str(tmp_path / "log"))
+    back = plan_files.read_plan_log(spark, str(tmp_path / "log"))
+    shown = {(r.instance_id, r.plan_id, r.line_no, r.line) for r in back.collect()}
+    assert shown == {(r["instance_id"], 7, 1, r["line"]) for r in rows} and back.count() == 502
+    assert len(back.inputFiles()) <= plan_files.LOG_PARTS + 1
+
+
 def test_a_plan_file_without_a_name_stops_the_read(spark, tmp_path):
     (tmp_path / "other.txt").write_text("Seq Scan on t")
     with pytest.raises(Exception, match="no instance and plan"):
