@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetvitals.llm import langid, toxicity, urls
 from fleetvitals.llm.queries import URL_RULES, language, table, toxic_texts
+from fleetvitals.llm.text import fold
 
 FOLDER = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -177,6 +178,16 @@ def test_weights_are_those_of_a_plain_learner():
     assert np.allclose(learner.weights(every), [weight(i) for i in every])
 
 
+def test_limits_judge_every_text_held_back(spark, monkeypatch):
+    docs = spark.range(400_000).selectExpr("id as doc_id", "concat('the word ', id) as text", "'en' as lang")
+    back = docs.where((fold(F.col("doc_id"), langid.FOLDS) != langid.HELD_OUT)
+                      & (fold(F.col("doc_id"), langid.PARTS) == langid.BACK))
+    model, judged, seen = langid.fit(docs.where("doc_id < 200")), langid.judged, []
+    monkeypatch.setattr(langid, "judged", lambda df, *rest, **more: seen.append(df) or judged(df, *rest, **more))
+    assert set(langid.limits(docs, model)) == {"en"}
+    assert seen[0].count() == back.count() > langid.TRAIN_ROWS
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
