@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indexes import unused_indexes
@@ -83,7 +83,8 @@ def _with_previous(captures: DataFrame, name: str) -> DataFrame:
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    """Every capture of an instance: the one before, the first, the last, the resets until then.
+    """Every capture of an instance: the one before, the first, the last, the last one until
+    then at which a counter of the instance had fallen.
 
     A row per instance and capture, whatever the number of objects.
     """
@@ -95,31 +96,31 @@ def _spans(rows: DataFrame) -> DataFrame:
         *home, "captured_at", F.lag("captured_at").over(in_time).alias("previous_at"),
         F.min("captured_at").over(whole).alias("first_at"),
         F.max("captured_at").over(whole).alias("last_at"),
-        F.sum("_fallen").over(in_time).alias("resets"))
+        F.max(F.when(F.col("_fallen") == 1, F.col("captured_at"))).over(in_time).alias("fell_at"))
 
 
 def _with_spans(rows: DataFrame, spans: DataFrame, at: str, **taken: str) -> DataFrame:
-    """`rows` with columns of the capture that their column `at` names; null is a value of ids."""
+    """`rows` with columns of the capture that their column `at` names; null is a value of ids.
+
+    Captures are few beside rows: they are hashed, and the rows need no sort.
+    """
     left, right = rows.alias("r"), spans.alias("s")
     same = F.col(f"r.{at}") == F.col("s.captured_at")
     for c in _home(rows):
         same &= F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-    return left.join(right, same, "left").select(
+    return left.join(right.hint("shuffle_hash"), same, "left").select(
         "r.*", *[F.col(f"s.{source}").alias(name) for name, source in taken.items()])
 
 
-def _changes(captures: DataFrame, name: str) -> DataFrame:
-    rows = _with_previous(captures, name)
-    spans = _spans(rows)
-    rows = _with_spans(rows, spans, "captured_at", _previous="previous_at", _first="first_at",
-                       _last="last_at", _resets="resets")
-    rows = rows.where("captured_at > _first").withColumn(
-        "_since", F.coalesce("_before", "_previous"))
-    rows = _with_spans(rows, spans, "_since", _resets_before="resets")
-    counters = {c: F.col(f"change_{c}").cast(captures.schema[c].dataType)
-                for c in _counters(captures, name)}
-    return rows.withColumns({**counters, "previous_at": F.col("_since"), "was_reset": F.col("_fell"),
-                             "exact": F.col("_resets") == F.col("_resets_before")})
+def _typed(rows: DataFrame, captures: DataFrame, name: str) -> DataFrame:
+    """`rows` with every counter replaced by its change."""
+    return rows.withColumns({c: F.col(f"change_{c}").cast(captures.schema[c].dataType)
+                             for c in _counters(captures, name)})
+
+
+def _is_exact(since: str) -> Column:
+    """Whether no counter of the instance fell after `since` until the capture joined."""
+    return F.coalesce(F.col("_fell_at") <= F.col(since), F.lit(True))
 
 
 def counter_changes(captures: DataFrame, name: str) -> DataFrame:
@@ -137,7 +138,13 @@ def counter_changes(captures: DataFrame, name: str) -> DataFrame:
     stands, rows without captured_at are left out, null keys are keys like others. An empty
     relation gives an empty result. A relation without instance_id is one instance.
     """
-    return _changes(captures, name).select(*captures.columns, "previous_at", "was_reset", "exact")
+    rows = _with_previous(captures, name)
+    rows = _with_spans(rows, _spans(rows), "captured_at", _previous="previous_at",
+                       _first="first_at", _fell_at="fell_at").where("captured_at > _first")
+    changes = _typed(rows, captures, name).withColumns({
+        "previous_at": F.coalesce("_before", "_previous"), "was_reset": F.col("_fell")})
+    return changes.withColumn("exact", _is_exact("previous_at")).select(
+        *captures.columns, "previous_at", "was_reset", "exact")
 
 
 def activity(captures: DataFrame, name: str) -> DataFrame:
@@ -151,15 +158,28 @@ def activity(captures: DataFrame, name: str) -> DataFrame:
     single capture has no activity that is known, and no row.
     """
     counters, keys = _counters(captures, name), _object_keys(captures, name)
-    changes = _changes(captures, name)
+    rows = _with_previous(captures, name)
+    spans = _spans(rows)
+    # Objects are summed up where their rows lie; one row of each meets the captures.
     whole = Window.partitionBy(*keys)
-    newest = whole.orderBy(F.col("captured_at").desc())
-    sums = {c: F.sum(c).over(whole).cast(captures.schema[c].dataType) for c in counters}
-    found = changes.withColumns({
-        **sums, "_row": F.row_number().over(newest),
-        "observed_from": F.min("previous_at").over(whole),
-        "resets": F.sum(F.col("was_reset").cast("bigint")).over(whole),
-        "exact": F.bool_and("exact").over(whole)}).where("_row = 1")
+    later, in_time = F.col("_before").isNotNull(), whole.orderBy("captured_at")
+    sums = {f"_sum_{c}": F.sum(F.when(later, F.col(c))).over(whole) for c in counters}
+    firsts = {f"_new_{c}": F.max(F.when(~later, F.col(c))).over(whole) for c in counters}
+    found = _typed(rows, captures, name).withColumns({
+        **sums, **firsts, "_begun": F.min("captured_at").over(whole),
+        "resets": F.sum(F.col("_fell").cast("bigint")).over(whole),
+        "_next": F.lead("captured_at").over(in_time)}).where("_next is null")
+    found = _with_spans(found, spans, "captured_at", _first="first_at", _last="last_at",
+                        _fell_at="fell_at").where("captured_at > _first")
+    found = _with_spans(found, spans, "_begun", _previous="previous_at")
+    # What an object shows at the instance's first capture was before it.
+    known = F.coalesce("_previous", "_begun")
+    new = F.col("_begun") > F.col("_first")
+    totals = {c: (F.coalesce(f"_sum_{c}", F.lit(0))
+                  + F.when(new, F.col(f"_new_{c}")).otherwise(F.lit(0))
+                  ).cast(captures.schema[c].dataType) for c in counters}
+    found = found.withColumns({**totals, "observed_from": known}).withColumn(
+        "exact", _is_exact("observed_from"))
     if name not in FORGETFUL:
         found = found.where("captured_at = _last")
     elif "calls" in counters:
