@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as spark_entry
+from fleetvitals.operators import counters, indexes, plans
+from fleetvitals.plans import findings, report
+from helpers import NOON, make
 
 STREAMED = ("t01", "t02")
 ALL = [n for n in spark_entry.audit_queries() if not n.startswith(STREAMED)]
@@ -63,3 +68,40 @@ def test_score_reads_no_text_columns(plan_of):
 def test_scans_are_pruned(plan_of, name, filters, columns):
     plan = plan_of(name)
     assert filters in plan and f"struct<{columns}>" in plan
+
+
+def physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_the_log_are_read_after_the_join(spark):
+    log, plan, stmt = (make(spark, n, {}) for n in ("exec", "plan", "stmt"))
+    top = plans.with_statement_key(stmt, plan)
+    joined = top.join(plans.statement_signals(top, plan, log), ["instance_id", "statement"])
+    lines = joined._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    reading = [i for i, line in enumerate(lines) if "md5(" in line and "sql_text" in line]
+    assert reading
+    for i in reading:
+        assert "Filter" not in lines[i] and "Join Inner" in lines[i + 1]
+
+
+def test_a_report_moves_its_findings_once(spark, tmp_path):
+    relations = {n: make(spark, n, {}) for n in ("rel", "setting", "ext")}
+    findings.all_findings(relations).write.parquet(f"{tmp_path}/findings")
+    found = spark.read.parquet(f"{tmp_path}/findings")
+    instances = spark.range(3).withColumnRenamed("id", "instance_id")
+    assert physical(report.nested_report(found, instances)).count("Exchange hash") == 1
+
+
+def test_captures_meet_changes_without_a_sort_and_once(spark, plan_of):
+    rows = make(spark, "idx", dict(instance_id=1, captured_at=NOON),
+                instance_id="bigint", captured_at="timestamp_ntz")
+    for build, joins in ((counters.counter_changes, 1), (counters.activity, 2)):
+        plan = physical(build(rows, "idx"))
+        assert "SortMergeJoin" not in plan and plan.count("ShuffledHashJoin") == joins
+
+
+def test_names_of_duplicates_move_once(spark, plan_of):
+    plan = physical(indexes.duplicate_indexes(make(spark, "idx", {}), make(spark, "rel", {})))
+    moves = [line for line in plan.split("\n") if "Exchange hash" in line]
+    assert moves and not any(re.search(r"hashpartitioning\(.*index_name", line) for line in moves)
