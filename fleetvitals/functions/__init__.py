@@ -1,6 +1,6 @@
 """Column expressions and small DataFrame helpers shared by the operators."""
 
-from .keys import SCOPE, is_user_object, join_keys, scope_of
+from .keys import SCOPE, is_user_object, join_keys, scope_of, spread
 from .ranking import top_k
 from .sizes import blocks_to_mb, bytes_to_mb, pretty_size, setting_to_mb, spill_severity
 from .text import (
@@ -9,8 +9,8 @@ from .text import (
 )
 
 __all__ = [
-    "SCOPE", "is_user_object", "join_keys", "scope_of", "top_k", "blocks_to_mb", "bytes_to_mb", "pretty_size",
-    "setting_to_mb", "spill_severity", "fingerprint", "fixed", "grouped", "is_wildcard_ilike",
+    "SCOPE", "is_user_object", "join_keys", "scope_of", "spread", "top_k", "blocks_to_mb", "bytes_to_mb",
+    "pretty_size", "setting_to_mb", "spill_severity", "fingerprint", "fixed", "grouped", "is_wildcard_ilike",
     "is_wildcard_search", "query_id", "quoted", "rounded",
     "statement_key",
 ]

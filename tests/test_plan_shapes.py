@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
+from fleetvitals.functions import keys
 from fleetvitals.operators import counters, indexes, plans
 from fleetvitals.plans import findings, report
 from helpers import NOON, make
@@ -105,3 +107,19 @@ def test_names_of_duplicates_move_once(spark, plan_of):
     plan = physical(indexes.duplicate_indexes(make(spark, "idx", {}), make(spark, "rel", {})))
     moves = [line for line in plan.split("\n") if "Exchange hash" in line]
     assert moves and not any(re.search(r"hashpartitioning\(.*index_name", line) for line in moves)
+
+
+def test_more_rows_make_more_tasks_not_larger_ones(spark, monkeypatch):
+    monkeypatch.setattr(keys, "TASK_ROWS", 20)
+    fk, rel = make(spark, "fk", dict(attnum=1), dict(attnum=7)), make(spark, "rel", {})
+    idx = make(spark, "idx", *[dict(index_name=f"i{n}", key1=n % 3) for n in range(90)])
+    bare = indexes.bare_foreign_keys(fk, idx, rel)
+    moved = r"hashpartitioning\(relid\S* \S*attnum\S* {}\), REPARTITION_BY_NUM"
+    assert re.search(moved.format(5), physical(bare))
+    assert [r.attnum for r in bare.collect()] == [7]
+    relations = {"rel": make(spark, "rel", *[dict(instance_id=n) for n in range(8)])}
+    status = report.audit_status(relations)
+    # 8 instances become 200 rows: 10 tasks.
+    assert re.search(r"hashpartitioning\(instance_id\S* 10\), REPARTITION_BY_NUM", physical(status))
+    listed = status.groupBy("instance_id").agg(F.count_distinct("detector").alias("n"), F.count("*").alias("m"))
+    assert sorted(listed.collect()) == [(n, 25, 25) for n in range(8)]
