@@ -97,6 +97,32 @@ def test_sessions_equal_batch_in_any_order(spark, tmp_path, files_per_trigger):
     assert sorted(r.session_pid for r in batch.collect()) == [1, 2, 3, 4, 5]
 
 
+def test_sessions_share_a_call_and_its_state(spark, tmp_path):
+    folder = str(tmp_path)
+    pids = [*range(40), None]
+    frames = [
+        changes(spark, *[(pid, 7 * (pid or 0), "active") for pid in pids]),
+        changes(spark, *[(pid, 100 + 5 * (pid or 0), "idle") for pid in pids], (900, 320, "idle")),
+        make(spark, "sess", dict(pid=900, state_change=START + timedelta(hours=1)),
+             dict(pid=901, state="active", state_change=None)),
+    ]
+    write_files(frames, folder)
+    stream = sessions.stream_long_sessions(
+        stream_of(spark, folder, frames[0].schema), "app", delay="5 minutes", shares=3)
+    query = (stream.writeStream.format("memory").queryName("shared_sessions").outputMode("append")
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    updated = [o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert updated and max(updated) <= 3
+    everything = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    until = int((START - datetime(1970, 1, 1)).total_seconds() + 3300) * 1_000_000
+    names = ("instance_id", "session_pid", "session_state", "since_us")
+    key = lambda row: tuple((v is not None, v) for v in row)
+    streamed, batch = (sorted([tuple(r[n] for n in names) for r in df.collect()], key=key) for df in (
+        spark.table("shared_sessions"), sessions.batch_long_sessions(everything, "app", until)))
+    assert streamed == batch and len(batch) == 21
+
+
 def test_other_users_are_not_followed(spark, tmp_path):
     folder = str(tmp_path)
     frames = [make(spark, "sess", dict(state="active", state_change=START, usename="other"),
