@@ -39,14 +39,16 @@ _BLANK = "▁"
 class Groups:
     """Index of the last token of every group, in either array."""
 
-    a_last: list[int]
-    b_last: list[int]
+    a_last: np.ndarray
+    b_last: np.ndarray
 
 
 def aligned(a_ends: list[int], b_ends: list[int]) -> Groups:
     """Groups of two arrays of rising ends that close with the same offset."""
-    a_last: list[int] = []
-    b_last: list[int] = []
+    # Stretches of one-to-one groups: token of a that ends the first, shift to b, number of groups.
+    firsts: list[int] = []
+    shifts: list[int] = []
+    runs: list[int] = []
     i, shift, n = 0, 0, len(a_ends)
     while i < n:
         j = i + shift
@@ -61,8 +63,9 @@ def aligned(a_ends: list[int], b_ends: list[int]) -> Groups:
                 part = a_ends[i + run:i + run + width]
                 if part and part == b_ends[j + run:j + run + width]:
                     run += len(part)
-            a_last.extend(range(i, i + run))
-            b_last.extend(range(j, j + run))
+            firsts.append(i)
+            shifts.append(shift)
+            runs.append(run)
             i += run
             continue
         while x != y:
@@ -72,11 +75,12 @@ def aligned(a_ends: list[int], b_ends: list[int]) -> Groups:
             else:
                 j += 1
                 y = b_ends[j]
-        a_last.append(i)
-        b_last.append(j)
-        i += 1
-        shift = j + 1 - i
-    return Groups(a_last, b_last)
+        # The group that closes here begins the next stretch, at the shift it leaves.
+        shift = j - i
+    lengths = np.array(runs, np.int64)
+    before = np.cumsum(lengths) - lengths
+    a_last = np.arange(lengths.sum()) + np.repeat(np.array(firsts, np.int64) - before, lengths)
+    return Groups(a_last, a_last + np.repeat(np.array(shifts, np.int64), lengths))
 
 
 def _byte_of() -> dict[str, int]:
@@ -110,8 +114,10 @@ class Pair:
                                 else piece.replace(_BLANK, " ").encode())
         self.a_sizes = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_sizes = np.array(list(map(len, self.b_bytes)), np.int64)
-        self.a_names = list(map(str, range(len(self.a_bytes))))
-        self.b_names = list(map(str, range(len(self.b_bytes))))
+        # Every token inside its side of a group and at its end; those of b from `b_marks` on.
+        self.marks = [f"{at}{mark}" for size, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))
+                      for at in range(size) for mark in ends]
+        self.b_marks = 2 * len(self.a_bytes)
 
     def _byte_ids(self, text: str) -> list[int]:
         # Both encoders give the same ids; on characters of every Unicode version the second is faster.
@@ -153,15 +159,22 @@ def tokenizer_pair(byte_file: str, piece_file: str) -> Pair:
     return _pairs[byte_file, piece_file]
 
 
-def _groups_text(a: list[str], b: list[str], groups: Groups) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the tokens of every group."""
-    parts = []
-    i = j = 0
-    for x, y in zip(groups.a_last, groups.b_last, strict=True):
-        parts.append(f"{a[x] if i == x else ','.join(a[i:x + 1])}"
-                     f"|{b[y] if j == y else ','.join(b[j:y + 1])}")
-        i, j = x + 1, y + 1
-    return ";".join(parts)
+def _groups_text(a_ids: np.ndarray, b_ids: np.ndarray, groups: Groups, pair: Pair) -> str:
+    """`a1,a2|b1;a3|b2,b3`: the tokens of every group.
+
+    The names of tokens stand in `pair.marks` with what follows them.
+    """
+    a_last, b_last = groups.a_last, groups.b_last
+    a_sizes, b_sizes = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+    a_marks, b_marks = 2 * a_ids, 2 * b_ids
+    a_marks[a_last] += 1
+    b_marks[b_last] += 1
+    # Before a token stand those of its own side, and those of the other in the groups before;
+    # before one of b also those of a in its own group.
+    order = np.empty(len(a_ids) + len(b_ids), np.int64)
+    order[np.arange(len(a_ids)) + np.repeat(b_last + 1 - b_sizes, a_sizes)] = a_marks
+    order[np.arange(len(b_ids)) + np.repeat(a_last + 1, b_sizes)] = b_marks + pair.b_marks
+    return "".join(map(pair.marks.__getitem__, order.tolist()))[:-1]
 
 
 def alignments(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id",
@@ -180,8 +193,7 @@ def alignments(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "
         a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
         groups = aligned(np.cumsum(pair.a_sizes[a_ids]).tolist(),
                          np.cumsum(pair.b_sizes[b_ids]).tolist())
-        named = _groups_text(list(map(pair.a_names.__getitem__, a)),
-                             list(map(pair.b_names.__getitem__, b)), groups)
+        named = _groups_text(a_ids, b_ids, groups, pair)
         ends = a_ids[groups.a_last] * len(pair.b_bytes) + b_ids[groups.b_last] if a else a_ids
         pairs, times = np.unique(ends, return_counts=True)
         return doc_id, len(a), len(b), len(groups.a_last), named, pairs, times

@@ -129,6 +129,25 @@ def test_groups_end_where_both_ends_meet(a, b, both):
     assert [a[i] for i in groups.a_last] == common == [b[j] for j in groups.b_last]
 
 
+def test_stretches_name_the_same_groups_as_a_plain_walk(pair):
+    rng = random.Random(11)
+    texts = [t for t in TOKEN_TEXTS if pair.encoded(t)[0]] + [
+        " ".join("".join(rng.choices("abdeimnorst", k=rng.randint(1, 9))) for _ in range(n))
+        for n in (1, 40, 400)]
+    for text in texts:
+        a, b = (np.array(ids) for ids in pair.encoded(text))
+        a_ends, b_ends = (np.cumsum(sizes[ids]).tolist() for sizes, ids in (
+            (pair.a_sizes, a), (pair.b_sizes, b)))
+        groups = align.aligned(a_ends, b_ends)
+        plain, done = [], 0
+        for end in sorted(set(a_ends) & set(b_ends)):
+            own = [",".join(str(t) for t, e in zip(ids, ends, strict=True) if done < e <= end)
+                   for ids, ends in ((a, a_ends), (b, b_ends))]
+            plain.append("|".join(own))
+            done = end
+        assert align._groups_text(a, b, groups, pair) == ";".join(plain)
+
+
 def test_the_query_on_alignment_agrees_with_a_plain_version(spark, pair, tmp_path):
     rows = list(enumerate([None, "", *TOKEN_TEXTS, *TOKEN_TEXTS[:5]]))
     rows += [(None, "no id here"), (3, "twice the id"), (3, "twice the id")]
