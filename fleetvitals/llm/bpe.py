@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -33,26 +34,32 @@ BYTE_PIECES = re.compile(
     rf"| ?[^\t\n\r {LETTER}{NUMBER}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 WORD_PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+")
+# These stand for themselves in byte-level vocabularies.
+ASCII_PRINTED = re.compile(r"[!-~]*")
 SYNC = re.compile(r"(?<=\S)[ \n]")
 
 WINDOW, CUT_BITS = 8, 6
 WORDS_KEPT, CHUNKS_KEPT = 200_000, 20_000
+# Longer runs between blanks are parted each time they come.
+RUN_CHARS = 64
 _ODD = [np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
     0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
 class Kept(dict):
-    """A table that makes what it lacks, and starts anew when full."""
+    """A table that makes what it lacks, and starts anew when full; longer keys are not kept."""
 
-    def __init__(self, make: Callable, limit: int):
+    def __init__(self, make: Callable, limit: int, longest: float = float("inf")):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key: str) -> object:
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -81,6 +88,7 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.words = Kept(self._word, WORDS_KEPT)
+        self.runs = Kept(self._run, WORDS_KEPT, RUN_CHARS)
         self.spans = Kept(self.encode, CHUNKS_KEPT)
         self.chunks = Kept(self._chunk, CHUNKS_KEPT)
 
@@ -88,14 +96,23 @@ class Encoder:
         return np.array(ids, self.kind).tobytes()
 
     def _word(self, piece: str) -> bytes:
-        mapped = "".join([self.letters[b] for b in piece.encode()])
-        return self._packed([t.id for t in self.model.tokenize(mapped)])
+        mapped = piece if ASCII_PRINTED.fullmatch(piece) else "".join(
+            [self.letters[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        # Of the few ids of a word in less time than by an array.
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+
+    def _run(self, run: str) -> bytes:
+        """The ids of a text without special tokens, as far as the pieces' rule holds."""
+        return b"".join(map(self.words.__getitem__, self.pieces.findall(run)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text that starts and ends at sync points, or is whole."""
         if PLAIN.fullmatch(text) and not self.special.search(text):
-            text = text.lower() if self.lower else text
-            return b"".join(map(self.words.__getitem__, self.pieces.findall(text)))
+            if self.lower:
+                # No piece of a word tokenizer holds white space, so runs between it are kept whole.
+                return b"".join(map(self.runs.__getitem__, text.lower().split()))
+            return self._run(text)
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: str) -> tuple[str, bytes, str] | None:

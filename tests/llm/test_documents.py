@@ -352,3 +352,16 @@ def test_components_by_contraction_and_by_star_rounds(spark, kind, nodes_at_once
     finally:
         spark.conf.set(batch, before)
     assert {r.node: r.label for r in found} == expected and len(found) == len(expected)
+
+
+def test_runs_between_blanks_are_parted_once():
+    encoder = bpe.Encoder(WORD_FILE, bpe.WORD_PIECES, lower=True)
+    parted = []
+    encoder.runs.make = lambda run, make=encoder.runs.make: parted.append(run) or make(run)
+    long = "x1" * bpe.RUN_CHARS
+    texts = ["It's we'LL,'s ab12. ¿Qué?", "it's we'll\tit's\n", f"{long} a {long}", " ", "ß½ 'tis--don't 3rd"]
+    for text in texts:
+        wanted = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.array(wanted, encoder.kind).tobytes(), text
+    assert parted.count("it's") == 1 and parted.count(long) == 2
+    assert all(len(run) <= bpe.RUN_CHARS for run in encoder.runs)
