@@ -154,40 +154,56 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS, train_rows: int = TRAIN_ROWS,
         F.col("total").desc(), "order", "context").limit(contexts).select("order", "context"), "nodes")
     found = levels.join(nodes, ["order", "context"]).select(
         "order", "context", F.col("gram").bitwiseAND(255).cast("int").alias("byte"), "lang", "n")
-    return _tables(found.toPandas())
+    return _tables(found.toArrow())
 
 
-def _tables(counts) -> Model:
-    """The automaton and code lengths from counts by order, context, byte and language."""
+def _tables(counts: pa.Table) -> Model:
+    """The automaton and code lengths from counts by order, context, byte and language.
+
+    Beside the code lengths the driver holds the counts as they came, those of one node as a
+    table, and the probabilities of the nodes that are suffixes of others.
+    """
     if not len(counts):
         return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    langs = sorted(counts["lang"].unique())
-    bytes_seen = np.sort(counts["byte"].unique()).astype(int)
+    orders, contexts, codes, times = (
+        counts.column(c).to_numpy() for c in ("order", "context", "byte", "n"))
+    own_langs = counts.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(own_langs.dictionary.to_pylist())
+    lang_at = {lang: i for i, lang in enumerate(langs)}
+    own_langs = np.array([lang_at[x] for x in own_langs.dictionary.to_pylist()])[
+        own_langs.indices.to_numpy()]
+    bytes_seen = np.unique(codes).astype(int)
     symbol = np.full(256, len(bytes_seen) + 1, np.int32)
     symbol[0] = 0
     symbol[bytes_seen] = np.arange(1, len(bytes_seen) + 1)
     size = len(bytes_seen) + 2
-    nodes = counts[["order", "context"]].drop_duplicates().sort_values(["order", "context"])
-    names = [(0, 0), *[n for n in zip(nodes["order"].tolist(), nodes["context"].tolist(), strict=True)
-                       if n[0] > 0]]
+    # A context has 32 bits at most, so these sort by order, then context; the root is 0.
+    keys = (orders.astype(np.int64) << 32) | contexts
+    nodes = np.union1d(keys, [0])
+    names = [(k >> 32, k & 0xFFFFFFFF) for k in nodes.tolist()]
     number = {name: i for i, name in enumerate(names)}
-    rows = [number[n] for n in zip(counts["order"].tolist(), counts["context"].tolist(), strict=True)]
-    n = np.zeros((len(names), size, len(langs)))
-    lang_at = {lang: i for i, lang in enumerate(langs)}
-    np.add.at(n, (rows, symbol[counts["byte"].to_numpy()],
-                  counts["lang"].map(lang_at).to_numpy(int)), counts["n"].to_numpy())
+    rows = np.searchsorted(nodes, keys)
+    by_node = np.argsort(rows, kind="stable")
+    firsts = np.searchsorted(rows[by_node], np.arange(len(names) + 1))
     suffix = [0 if not o else number[(o - 1, c & ((1 << 8 * (o - 1)) - 1))] for o, c in names]
-    chance = np.full((len(names), size, len(langs)), 1 / 256)
+    lowers = set(suffix)
+    chances: dict[int, np.ndarray] = {}
+    bits = np.empty((len(names), size, len(langs)), np.float32)
     for node in range(len(names)):  # suffixes come first: they are shorter
-        lower = chance[suffix[node]] if node else np.full((size, len(langs)), 1 / 256)
-        seen, total = n[node] > 0, n[node].sum(axis=0)
+        at = by_node[firsts[node]:firsts[node + 1]]
+        n = np.zeros((size, len(langs)))
+        np.add.at(n, (symbol[codes[at]], own_langs[at]), times[at])
+        lower = chances[suffix[node]] if node else np.full((size, len(langs)), 1 / 256)
+        seen, total = n > 0, n.sum(axis=0)
         kinds = seen.sum(axis=0)
         # At the root the other bytes are single ones of 256; elsewhere the suffix's total is 1.
         left = np.maximum(1 - np.where(seen, lower, 0).sum(axis=0), 1e-9)
-        own = np.where(seen, n[node] / np.maximum(total + kinds, 1),
+        own = np.where(seen, n / np.maximum(total + kinds, 1),
                        kinds / np.maximum(total + kinds, 1) * lower / left)
-        chance[node] = np.where(total > 0, own, lower)
-    bits = -np.log2(np.maximum(chance, 1e-12))
+        chance = np.where(total > 0, own, lower)
+        if node in lowers:
+            chances[node] = chance
+        bits[node] = -np.log2(np.maximum(chance, 1e-12))
     bits[:, 0, :] = 0
     goto = np.zeros((len(names), size), np.int32)
     for node, (order, context) in enumerate(names):
@@ -199,8 +215,7 @@ def _tables(counts) -> Model:
                 length -= 1
                 longer &= (1 << 8 * length) - 1
             goto[node, at] = number[(length, longer)] if length else 0
-    return Model(langs, symbol, (goto * size).ravel(),
-                 np.ascontiguousarray(bits.reshape(-1, len(langs)).astype(np.float32)))
+    return Model(langs, symbol, (goto * size).ravel(), bits.reshape(-1, len(langs)))
 
 
 def code_lengths(texts: list[bytes], model: Model) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,6 +94,20 @@ def test_rare_languages_are_learnt_beside_large_ones(spark):
     assert langid.level([10, 2000, 5000], 3010) == 1500 and langid.level([3, 4], 100) == 4
 
 
+def test_learning_holds_little_beside_the_model(spark):
+    """Of all nodes, bytes and languages the driver has one table, of four bytes a value."""
+    random = np.random.RandomState(7)
+    rows = [(100 * lang + i, "".join(chr(97 + c) for c in random.randint(0, 26, 150)), f"l{lang}", "s", 1)
+            for lang in range(40) for i in range(8)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    tracemalloc.start()
+    model = langid.fit(docs, contexts=8_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.langs) == 40 and model.bits.nbytes > 20 << 20
+    assert peak < 4 * model.bits.nbytes
+
+
 def test_language_of_odd_rows(spark):
     rows = [(i, f"the and of {i} with", "en", "s", 1) for i in range(1, 41)]
     rows += [(100 + i, f"der die das {i} und", "de", "s", 1) for i in range(40)]
