@@ -3,7 +3,9 @@
 Detectors that share a pass over their input run as one Spark job; several such groups run
 at a time. A group that fails while running is run again detector by detector, so one bad
 value costs the detector that trips over it and no other. Every step leaves Spark's
-success marker behind; a resumed audit keeps what is marked and goes on from there.
+success marker behind; a resumed audit keeps what is marked and goes on from there. The shuffle
+files of a step go when it is written, and steps are compressed well, so that the disk holds the
+steps and what is being moved for the next ones.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql.types import StructType
 from ..functions import scope_of
 from ..operators.rollup import statement_rollup
 from ..schemas import RelationError, conform
-from ..session import path_exists, remove_path
+from ..session import brief_shuffles, path_exists, remove_path
 from ..sources.report_sink import write_findings
 from .catalog import PASSES
 from .findings import FINDING_COLUMNS, Relations, all_findings, available
@@ -31,6 +33,7 @@ CAPTURE_NAME = r"[\w.-]+"
 WRITTEN, KEPT, FAILED = "written", "kept", "failed"
 # So much of a failure is kept with its detector.
 PROBLEM_CHARS = 2_000
+STEP_OPTIONS = {"compression": "zstd"}
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,7 @@ class AuditFolder:
         path = self.path(step)
         if not self.is_kept(path):
             self.resume = False
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**STEP_OPTIONS).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,7 +103,7 @@ class _Findings:
         if self.folder.is_kept(self._step(step)):
             return KEPT
         self.changed = True
-        write_findings(found, self._step(step))
+        write_findings(found, self._step(step), **STEP_OPTIONS)
         return WRITTEN
 
     def run(self, step: str, names: tuple[str, ...], job_group: str) -> list[Outcome]:
@@ -177,7 +180,15 @@ def run_audit(
     complete is kept, what failed is tried again. Returns the stored findings, scores,
     counts, statuses, documents, the problems found and the outcome of every detector.
     """
-    steps = AuditFolder(spark, folder, capture, resume)
+    with brief_shuffles(spark):
+        return _run_audit(
+            AuditFolder(spark, folder, capture, resume), relations, unread, workers, **options)
+
+
+def _run_audit(
+    steps: AuditFolder, relations: Relations, unread: DataFrame | None, workers: int, **options,
+) -> dict[str, DataFrame]:
+    spark = steps.spark
     usable, problems = usable_relations(relations)
     if "stmt" not in relations and "exec" in usable:
         usable["stmt"] = conform("stmt", steps.stored("stmt", statement_rollup(usable["exec"], "all")))

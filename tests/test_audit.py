@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from fleetvitals import session
 from fleetvitals.plans import audit
 from fleetvitals.plans.catalog import DETECTORS, PASSES
 from fleetvitals.sources import snapshots
@@ -138,3 +140,36 @@ def test_a_fleet_reader_packs_servers(spark):
     assert [p.value for p in reader.partitions()] == [((3, "a"), (7, "b")), ((9, "c"),)]
     rows = list(reader.read(reader.partitions()[1]))
     assert [(r[0], r[-2]) for r in rows] == [(9, snapshots.UNREAD)] and "ModuleNotFoundError" in rows[0][-1]
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def left_behind(spark, before):
+    """Shuffle files that are still there when those of ended jobs had time to go."""
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return left
+
+
+def test_an_audit_leaves_no_shuffle_files(spark, tmp_path):
+    before = shuffle_files(spark)
+    bad = {**telemetry(spark), "dbtemp": broken(telemetry(spark)["dbtemp"], "temp_bytes")}
+    stored = audit.run_audit(spark, bad, str(tmp_path))
+    assert not left_behind(spark, before)
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
+    assert states(stored)["db_temp_usage"] == ("error", 0)
+    assert stored["documents"].count() == 1
+
+
+def test_the_cleanup_of_shuffles_ends_with_the_last_to_leave(spark):
+    spark.conf.set(session.SHUFFLE_CLEANUP, "false")
+    with session.brief_shuffles(spark):
+        with pytest.raises(ZeroDivisionError), session.brief_shuffles(spark):
+            1 / 0
+        assert spark.conf.get(session.SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
+    spark.conf.unset(session.SHUFFLE_CLEANUP)
