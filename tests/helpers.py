@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,3 +60,16 @@ def make(spark: SparkSession, relation: str, *rows: dict, **extra_types: str) ->
 
 def column(df: DataFrame, name: str) -> list:
     return sorted((r[name] for r in df.collect()), key=lambda v: (v is None, v))
+
+
+def shuffle_files(spark: SparkSession) -> set[str]:
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def left_behind(spark: SparkSession, before: set[str]) -> set[str]:
+    """Shuffle files that are still there when those of ended jobs had time to go."""
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return left

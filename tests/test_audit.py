@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from fleetvitals import session
 from fleetvitals.plans import audit
 from fleetvitals.plans.catalog import DETECTORS, PASSES
 from fleetvitals.sources import snapshots
-from helpers import make
+from helpers import left_behind, make, shuffle_files
 
 
 def telemetry(spark):
@@ -142,19 +141,6 @@ def test_a_fleet_reader_packs_servers(spark):
     assert [(r[0], r[-2]) for r in rows] == [(9, snapshots.UNREAD)] and "ModuleNotFoundError" in rows[0][-1]
 
 
-def shuffle_files(spark):
-    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
-
-
-def left_behind(spark, before):
-    """Shuffle files that are still there when those of ended jobs had time to go."""
-    until = time.time() + 20
-    while (left := shuffle_files(spark) - before) and time.time() < until:
-        time.sleep(0.2)
-    return left
-
-
 def test_an_audit_leaves_no_shuffle_files(spark, tmp_path):
     before = shuffle_files(spark)
     bad = {**telemetry(spark), "dbtemp": broken(telemetry(spark)["dbtemp"], "temp_bytes")}

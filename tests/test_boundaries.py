@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetvitals.functions import pretty_size, setting_to_mb
 from fleetvitals.operators import bloat, config, health, indexes, plans, rollup, statements
-from fleetvitals.plans import report
+from fleetvitals.plans import findings, report
 from fleetvitals.schemas import RelationError, conform
-from helpers import NOON, before, column, make
+from helpers import NOON, before, column, left_behind, make, shuffle_files
 
 
 def test_partial_index_limits(spark):
@@ -374,3 +374,21 @@ def test_schema_check(spark):
 ])
 def test_empty_input(spark, relation, rule):
     assert rule(make(spark, relation)).count() == 0
+
+
+def test_findings_stored_for_a_report_are_all_and_leave_no_shuffle_files(spark):
+    relations = {
+        "rel": make(spark, "rel", dict(relname="a", n_dead_tup=50), dict(instance_id=None, relid=2)),
+        "idx": make(spark, "idx", *[dict(index_name=f"i{n}", idx_scan=0, idx_tup_read=0, idx_tup_fetch=0)
+                                    for n in range(3)] * 2),
+        "fk": make(spark, "fk", dict(attnum=7)), "setting": make(spark, "setting", dict(name="work_mem")),
+        "ext": make(spark, "ext", dict(extname=None)), "stmt": make(spark, "stmt", dict(total_exec_time=500)),
+    }
+    there = shuffle_files(spark)
+    kept = report.stored_findings(relations, session_user="app")
+    assert not left_behind(spark, there)
+    whole = findings.all_findings(relations, session_user="app")
+    assert kept.schema.simpleString() == whole.schema.simpleString()
+    assert kept.count() and sorted(map(str, kept.collect())) == sorted(map(str, whole.collect()))
+    with pytest.raises(ValueError):
+        report.stored_findings({})
