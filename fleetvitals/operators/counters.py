@@ -46,12 +46,16 @@ def _counters(df: DataFrame, name: str) -> list[str]:
 
 
 def _one_row_each(captures: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:
-    """One row per object and capture: of repeated rows the one with the largest counters."""
+    """One row per object and capture: of repeated rows the one with the largest counters.
+
+    Rows need to lie together by object only, so those that a join has left so need no move.
+    """
     others = [c for c in captures.columns if c not in (*keys, "captured_at", *counters)]
     order = [F.col(c).desc_nulls_last() for c in (*counters, *others)]
-    first = Window.partitionBy(*keys, "captured_at").orderBy(*order)
-    return (captures.where("captured_at is not null").repartition(*keys)
-            .withColumn("_row", F.row_number().over(first)).where("_row = 1").drop("_row"))
+    in_time = Window.partitionBy(*keys).orderBy("captured_at", *order)
+    again = F.lag("captured_at").over(in_time).eqNullSafe(F.col("captured_at"))
+    return (captures.where("captured_at is not null")
+            .withColumn("_again", again).where(~F.col("_again")).drop("_again"))
 
 
 def _with_previous(captures: DataFrame, name: str) -> DataFrame:

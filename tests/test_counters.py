@@ -9,6 +9,8 @@ import pytest
 
 from fleetvitals.operators import counters, indexes, statements
 from fleetvitals.plans.findings import all_findings
+from fleetvitals.schemas import conform
+from fleetvitals.sources import fixture_views
 
 from helpers import make
 
@@ -142,3 +144,33 @@ def test_one_exchange_serves_repeats_and_differences(spark):
     df = databases(spark, shop=[1, 2])
     plan = counters._with_previous(df, "dbtemp")._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_rows_that_a_join_left_by_their_object_are_not_moved_again(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = captures(spark, "idx", dict(instance_id=1, captured_at=DAYS[0])).drop("instance_id")
+        owners = make(spark, "rel", {}).select("relid", "instance_id")
+        plan = counters._with_previous(df.join(owners, "relid"), "idx")._jdf.queryExecution()
+        assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_captures_of_the_fixture_are_repeated_after_their_join(spark, tmp_path):
+    items = [(1, 1, 5, 9, 10.0), (1, 1, 5, 9, 10.0), (1, 2, 9, 2, None), (7, 1, 3, 3, 2.5), (5, None, 1, 1, 1.0),
+             (None, 1, 1, 1, 1.0), (99, 1, 1, 1, 1.0), (35, 4, None, 6, 8.0)]
+    spark.createDataFrame(items, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, "
+                          "l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 4), (1, 5), (7, None), (5, 3), (None, 2), (35, 6)], "o_orderkey bigint, o_custkey bigint"
+                          ).write.parquet(f"{tmp_path}/orders.parquet")
+    made = fixture_views.FixtureTelemetry(spark, str(tmp_path))
+    lines = made["idx_captures"]._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    generate, join = (min(i for i, line in enumerate(lines) if kind in line) for kind in ("Generate", "Join"))
+    assert generate < join
+    thrice = made["idx"].crossJoin(spark.createDataFrame([(1,), (2,), (3,)], "n int"))
+    wanted = conform("idx", spark.sql(fixture_views.IDX_CAPTURES, fx_idx_thrice=thrice,
+                                      orders=fixture_views.table(spark, str(tmp_path), "orders")))
+    assert made["idx_captures"].dtypes == wanted.dtypes
+    assert wanted.count() and sorted(map(str, made["idx_captures"].collect())) == sorted(map(str, wanted.collect()))
